@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
 }
 
