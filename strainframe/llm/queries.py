@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op4_fingerprints
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_fingerprints": op4_fingerprints,
     "op7_quality_rules": op7_quality_rules,
 }
 
