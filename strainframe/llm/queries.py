@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
+from .html_extraction import op6_html_extraction
 from .near_dedup import op9_near_dedup
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -10,6 +11,7 @@ from .quality_rules import op7_quality_rules
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op9_near_dedup": op9_near_dedup,
 }
