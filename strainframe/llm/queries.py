@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
 from .html_extraction import op6_html_extraction
+from .line_dedup import op8_line_dedup
 from .near_dedup import op9_near_dedup
 from .pii import op10_pii
 from .quality_classifier import op3_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
