@@ -5,12 +5,14 @@ from __future__ import annotations
 from .fingerprints import op4_fingerprints
 from .html_extraction import op6_html_extraction
 from .line_dedup import op8_line_dedup
+from .mixing import mixing_sql, op2_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op10_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
     "op6_html_extraction": op6_html_extraction,
@@ -20,4 +22,6 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing_sql(),
+}
