@@ -10,8 +10,10 @@ from .near_dedup import op9_near_dedup
 from .pii import op10_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
+from .sentencepiece_codec import op1_sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
