@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op4_fingerprints
 from .html_extraction import op6_html_extraction
 from .line_dedup import op8_line_dedup
+from .lm_scoring import op5_lm_scoring
 from .mixing import mixing_sql, op2_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op10_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_fingerprints": op4_fingerprints,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
