@@ -28,9 +28,9 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 CACHED_WORDS = 400_000
 
 SCHEMA = """doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long,
-    n_repeat_words long, signature long, lines array<struct<h: long, n: int>>"""
+    n_repeat_words long, signature long, lines array<struct<h: long, n: int>>, text_row long"""
 LINES = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-ARROW = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature")), ("lines", LINES)])
+ARROW = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature")), ("lines", LINES), ("text_row", pa.int64())])
 
 
 class WordHashes(dict):
@@ -92,33 +92,34 @@ def measure(text: str, hashes: WordHashes) -> tuple:
 def _measured(batches):
     hashes = WordHashes()
     for batch in batches:
-        ids, hosts, texts = (batch.column(i) for i in range(3))
+        ids, hosts, texts, rows = (batch.column(i) for i in range(4))
         for at in range(0, len(texts), 500):
             part = texts.slice(at, 500).to_pylist()
             if len(hashes) > CACHED_WORDS:
                 hashes.clear()
             cols = list(zip(*(measure(t, hashes) for t in part), strict=True))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, 500), hosts.slice(at, 500), *(pa.array(c, f.type) for c, f in zip(cols, list(ARROW)[2:], strict=True))], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([ids.slice(at, 500), hosts.slice(at, 500), *(pa.array(c, f.type) for c, f in zip(cols, list(ARROW)[2:-1], strict=True)), rows.slice(at, 500)], schema=ARROW)
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """The base counts and the hashed lines of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_measured, SCHEMA)
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.xxhash64(doc_id, text).alias("text_row")).mapInArrow(_measured, SCHEMA)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least_documents: int = 40, share_of_host: float = 0.02, least_words: int = 10, most_repeated: int = 20, least_left: int = 5, least_kept: float = 0.2) -> DataFrame:
-    """One row per row of docs: the base counts, words_left, base_failed and kept.
+def quality_rules(docs: DataFrame, host: str = "source", least_documents: int = 40, share_of_host: float = 0.02, least_words: int = 10, most_repeated: int = 20, least_left: int = 5, least_kept: float = 0.2, with_row: bool = False) -> DataFrame:
+    """One row per row of docs: the base counts, words_left, base_failed and kept; with_row adds text_row, xxhash64 of doc_id and text.
 
     A line is removed where more than least_documents documents of its host, and more than share_of_host of them,
     hold it. base_failed: fewer than least_words words, or more than most_repeated per cent of them in repeated windows.
     Not kept: base_failed, or fewer than least_left words or least_kept of all words are left after the removal.
     """
-    base = written(measured(docs, host), "rules").withColumn("row", F.xxhash64("doc_id", "host", "n_words", "word_chars", "signature", "lines"))
+    base = written(measured(docs, host), "rules").withColumn("row", F.xxhash64("text_row", "host"))
     lines = base.select("row", "host", "signature", F.explode("lines").alias("line")).select("row", "host", "signature", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     sizes = base.groupBy("host", "signature").agg(F.count("*").alias("copies")).groupBy("host").agg(F.count("*").alias("host_documents"))
     found = lines.groupBy("host", "h", "signature").agg(F.count("*").alias("times")).groupBy("host", "h").agg(F.count("*").alias("documents"))
     common = found.where(F.col("documents") > least_documents).join(sizes, "host").where(F.col("documents") > share_of_host * F.col("host_documents")).select("host", "h")
-    # A row that occurs more than once has its lines once here: rows of one hash have the same lines.
+    # A row that occurs more than once has its lines once here: rows of one hash have the same text and host.
     once = lines.groupBy("row", "host", "h").agg((F.sum("n") / F.count("*")).alias("n"), F.count("*").alias("times"))
     rows = base.groupBy("row").agg(F.count("*").alias("same"))
     removed = once.join(common, ["host", "h"], "left_semi").groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("gone")).join(rows, "row").select("row", F.round(F.col("gone") / F.col("same")).cast("long").alias("removed"))
@@ -126,7 +127,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least_documents: int =
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return base.join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (left >= least_left) & (left >= least_kept * F.col("n_words"))).alias("kept"), left.alias("words_left"))
+        (~failed & (left >= least_left) & (left >= least_kept * F.col("n_words"))).alias("kept"), left.alias("words_left"), *(["text_row"] if with_row else []))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
