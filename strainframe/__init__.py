@@ -1,0 +1 @@
+"""Sequence-surveillance analytics on Spark."""

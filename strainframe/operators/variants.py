@@ -239,7 +239,7 @@ def vcf_rows(calls: DataFrame, references: DataFrame, samples: list[str]) -> Dat
     n = subs.join(alts, ["chrom", "pos", "ref"]).withColumn("gt", F.array_position("alts", F.col("alt")).cast("string"))
     sub_rows = n.groupBy("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt")).pivot("id", samples).agg(F.min("gt")).fillna("0", samples)
     dels = calls.where(deleted("alt")).join(references, "replicon").select("id", F.col("replicon").alias("chrom"), F.col("start").alias("pos"), F.substring("sequence", F.greatest(F.col("start"), F.lit(1)), F.lit(1)).alias("anchor"), "ref")
-    del_rows = dels.select("id", "chrom", "pos", F.concat("anchor", "ref").alias("ref"), F.col("anchor").alias("alt")).groupBy("chrom", "pos", "ref", "alt").pivot("id", samples).agg(F.lit("1")).fillna("./.", samples)
+    del_rows = dels.select("id", "chrom", "pos", F.concat("anchor", "ref").alias("ref"), F.col("anchor").alias("alt"), F.lit("1").alias("gt")).groupBy("chrom", "pos", "ref", "alt").pivot("id", samples).agg(F.max("gt")).fillna("./.", samples)
     return sub_rows.unionByName(del_rows)
 
 
