@@ -6,7 +6,7 @@ have. A long line that agrees with its leaf's template in nearly all tokens belo
 A template found in least_documents documents or more is dropped from all of them but the first (least doc_id).
 
 Copies of a text are one document here: documents count by their signature, the least hash of their lines. So copies
-keep their lines; whole copies are the near-dedup's work.
+keep their lines; whole copies are the near-dedup's work. (Documents that hold little but a shared line can count as one.)
 
 Defined results: a null text stays null, an empty one empty; lines of white space alone are never dropped; a text may become
 empty; repeated rows lose equal lines; rows of a null doc_id are never first unless no other document has the template.
@@ -27,7 +27,9 @@ FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 def normalised(text: Column) -> Column:
     """Lines as one array: lower case, single spaces, variable fields as <*>."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\S\n]+", " "), FIELD, "<*>"), "\n")
+    # Most white space is one space and most lines hold no digit: the patterns meet only what changes.
+    lines = F.split(F.regexp_replace(F.lower(text), r"[^\S\n ][^\S\n]*+|\x20[^\S\n]++", " "), "\n")
+    return F.transform(lines, lambda line: F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, FIELD, "<*>")).otherwise(line))
 
 
 def _parsed(line: Column) -> Column:
@@ -60,7 +62,12 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
         return lines.sparkSession.createDataFrame([], "h long, leaf long")
     if small_enough(several, BROADCAST_ROWS):
         several = F.broadcast(several)
-    texts = docs.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf").join(several, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"))
+    # One document of each line is enough to read its tokens from.
+    sources = written(long.join(several, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min("row").alias("row")).select("row").distinct(), "sources")
+    own = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
+    if small_enough(sources, BROADCAST_ROWS):
+        own = own.join(F.broadcast(sources), "row", "left_semi")
+    texts = own.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf").join(several, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"))
     weights = _documents(long.join(several, "leaf", "left_semi"), "leaf", "h")
     tokens = texts.join(weights, ["leaf", "h"]).select("leaf", "h", "documents", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     tokens = written(tokens, "tokens")
