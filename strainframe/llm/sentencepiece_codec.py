@@ -14,6 +14,7 @@ a text that holds the mark itself decodes with a space there; repeated rows get
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ class Codec:
         inner = set("".join(p[1:] for p in self.id_of)) | set("".join(p[:-1] for p in self.id_of if len(p) > 1))
         # Line feeds and tabs are words of their own unless a longer piece holds them.
         alone = "".join(c for c in "\n\t\r" if c not in inner)
+        self.single = "\n" in alone
         self.word = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         as_byte = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
         raw = [as_byte.get(i, b"" if i in model.special else p.replace(MARK, " ").encode()) for i, p in enumerate(model.pieces)]
@@ -69,6 +71,9 @@ class Codec:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids: list[list[int]] = []
+        self.flat, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+        # Pieces of texts without runs of marks, cut at spaces: the same words under shorter names.
+        self.plain: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """BPE by merging, best score first, then leftmost."""
@@ -138,18 +143,33 @@ class Codec:
         """All ids one after the other, and how many each text has."""
         if len(self.ids) > CACHED:
             self._clear()
-        words = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for own in words for w in own} - self.index.keys()
+        # A text with single spaces only is cut by split(): a piece is a marked word, or a line feed and a word without a mark.
+        easy = [bool(t) and self.single and t[0] > " " and t[-1] != " " and "  " not in t and " \n" not in t and MARK not in t and "\t" not in t and "\r" not in t for t in texts]
+        words = [t.replace("\n", " \n").split(" ") if e else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t, e in zip(texts, easy, strict=True)]
+        pieces = {w for own, e in zip(words, easy, strict=True) if e for w in own} - self.plain.keys()
+        new = {w for own, e in zip(words, easy, strict=True) if not e for w in own}
+        for w in pieces:
+            new.update(("\n", w[1:]) if w[0] == "\n" else (MARK + w,))
+        new = new - self.index.keys() - {""}
         if self.kind == "bpe":
             # Runs of marks are merged directly: their pieces have equal scores, so their order matters.
             for w in [w for w in new if w.startswith(MARK + MARK)]:
                 new.discard(w)
                 self._keep(w, self.merged(list(w)))
         self.walk(sorted(new))
-        sizes = np.array([len(x) for x in self.ids], dtype=np.int64)
-        flat = np.fromiter((i for x in self.ids for i in x), dtype=np.int32, count=int(sizes.sum()))
+        for w in pieces:
+            if w[0] == "\n":
+                self.plain[w] = len(self.ids)
+                self.ids.append(self.ids[self.index["\n"]] + (self.ids[self.index[w[1:]]] if len(w) > 1 else []))
+            else:
+                self.plain[w] = self.index[MARK + w]
+        added = self.ids[len(self.sizes) :]
+        more = np.array([len(x) for x in added], dtype=np.int64)
+        self.sizes = np.concatenate([self.sizes, more])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in added for i in x), dtype=np.int32, count=int(more.sum()))])
+        flat, sizes = self.flat, self.sizes
         starts = np.cumsum(sizes) - sizes
-        at = np.fromiter((self.index[w] for own in words for w in own), dtype=np.int64, count=sum(map(len, words)))
+        at = np.concatenate([np.fromiter(map((self.plain if e else self.index).__getitem__, own), dtype=np.int64, count=len(own)) for own, e in zip(words, easy, strict=True)] or [np.empty(0, dtype=np.int64)])
         ids = flat[spread(starts[at], sizes[at])]
         per_word = np.concatenate([[0], np.cumsum(sizes[at])])
         ends = per_word[np.cumsum([len(own) for own in words])] if words else np.empty(0, dtype=np.int64)
@@ -168,14 +188,14 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
-#: A worker's codec, by the id of the broadcast model.
-_codecs: dict[int, Codec] = {}
+#: A worker's codec, by the name of its encoding run.
+_codecs: dict[str, Codec] = {}
 
 
 def encoded(docs: DataFrame, model: Pieces | None = None, texts_a_step: int = 500) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (whether the decoded ids are the text) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model or Pieces.load())
-    key = id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches):
         if key not in _codecs:
