@@ -5,9 +5,10 @@ keeps the shingle of its first arrival, and a shingle ends once its next arrival
 registers estimate the probability Jaccard likeness. Bands of registers give buckets, and pairs within a bucket are
 verified on whole shingle sets. Texts that are equal are one node throughout.
 
-A bucket's pairs are not all made. In each round a few members of each bucket are pivots and are held against the
-members of other classes that have not been pivots; linked texts become one class. A bucket is settled when its
-members that have not been pivots are of one class: then every two of its members have been compared, or are linked.
+A bucket's pairs are not all made. First every member is held against the bucket's pivot, the member that meets most
+others over all buckets: of a text and its copies, the text. Linked texts become one class. Then, in buckets that still hold several
+classes, the members outside the largest class are held against all of the bucket's members, in blocks of bounded size
+whose intersections are counted by one matrix product. So every two members have been compared or are of one class.
 
 Defined results: texts without words (null, empty, white space) are alike by equal text only; texts of one to four words
 have one shingle, all their words; repeated rows are in one class; a null doc_id is given its class too. Class ids are the least doc_id
@@ -21,13 +22,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import table, text_of, written
+from .common import small_enough, table, text_of, written
 from .quality_rules import CACHED_WORDS, WordHashes, window_hashes
 
 REGISTERS, BANDS = 128, 32
 SIMILARITY = 0.8
+#: Link graphs of no more edges are walked in one task.
+BOUNDED_EDGES = 50_000
+#: Rows of a block, and shingles that a matrix product takes at once.
+BLOCK, COLUMNS = 256, 20_000
 #: Texts and shingles that one numpy step takes together, about.
 STEP_TEXTS, STEP_SHINGLES = 400, 400_000
 SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
@@ -142,6 +146,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node that is not itself the least; large and small stars in turn."""
     now, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges"), None
     while True:
+        if small_enough(now, BOUNDED_EDGES):
+            now = now.coalesce(1)  # so few edges need no exchange
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -154,36 +160,82 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels after more links: the links between labels are contracted, so only what is new is walked."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    more = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    moved = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(moved.unionByName(more), "labels")
+
+
+def _crossed(least: float):
+    """Links between the query and the member block of each row, by set intersections as a matrix product."""
+
+    def sets(block: list[dict]) -> list[np.ndarray]:
+        return [np.unique(np.frombuffer(x["shingles"], dtype=np.uint32)) for x in block]
+
+    def run(batches):
+        for batch in batches:
+            for queries, members in zip(batch.column(0), batch.column(1), strict=True):
+                q, m = queries.as_py(), members.as_py()
+                s, t = sets(q), sets(m)
+                common = np.intersect1d(np.concatenate(s), np.concatenate(t))
+                both = np.zeros((len(q), len(m)), dtype=np.float32)
+                for at in range(0, len(common), COLUMNS):
+                    part = common[at : at + COLUMNS]
+                    both += _matrix(s, part) @ _matrix(t, part).T
+                sizes = np.array([len(x) for x in s])[:, None] + np.array([len(x) for x in t])[None, :]
+                apart = np.array([x["label"] for x in q])[:, None] != np.array([x["label"] for x in m])[None, :]
+                i, j = np.nonzero((both >= least * (sizes - both)) & apart)
+                yield pa.RecordBatch.from_arrays([pa.array([q[k]["node"] for k in i], pa.int64()), pa.array([m[k]["node"] for k in j], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), dtype=np.float32)
+    for i, x in enumerate(sets):
+        at = np.searchsorted(columns, x)
+        at[at == len(columns)] = 0
+        out[i, at[columns[at] == x]] = 1
+    return out
+
+
+def crossed(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within buckets of several classes: what is outside a bucket's largest class against the bucket.
+
+    Buckets of one largest class are taken together, so a pair that shares several buckets is compared once.
+    """
+    now = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("largest"))
+    held = written(now.join(groups, "key").groupBy("largest", "node", "label").agg(F.count("*").alias("_")).drop("_"), "held")
+    outside = F.col("label") != F.col("largest")
+    blocks = held.groupBy("largest").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(outside) / BLOCK).alias("query_blocks"))
+    full = held.join(blocks, "largest").join(nodes, "node").withColumn("at", F.xxhash64("node", F.lit(9)))
+    piece = F.collect_list(F.struct("node", "label", "shingles"))
+    queries = full.where(outside).groupBy("largest", F.pmod("at", "query_blocks").alias("q")).agg(piece.alias("queries"))
+    every = full.groupBy("largest", F.pmod("at", "blocks").alias("m")).agg(piece.alias("members"))
+    return queries.join(every, "largest").select("queries", "members").mapInArrow(_crossed(least), "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node and label of each row of docs; rows of one label are one class."""
     sketches = written(sketched(docs), "sketches")
     sets = sketches.groupBy("node").agg(F.first("shingles").alias("shingles"))
     keys = sketches.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "members")
-    nodes = written(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")
-    labels, tested, edges, pivots_each = None, None, None, 1
-    while True:
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        groups = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-        rank, alone = Window.partitionBy("key").orderBy("n", "pivot"), Window.partitionBy("key")
-        chosen = written(groups.select("*", F.row_number().over(rank).alias("r"), F.count("*").over(alone).alias("labels")).where((F.col("labels") > 1) & (F.col("r") < F.col("labels")) & (F.col("r") <= pivots_each)).select("key", "pivot", F.col("label").alias("own")), "pivots")
-        if chosen.isEmpty():
-            break
-        pairs = chosen.join(now, "key").where("label != own").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(pairs, nodes, least), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        # What stays: members that have not been pivots, of the buckets that had any.
-        members = written(members.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "members")
-        pivots_each *= 4
-    rows = sketches.select("doc_id", "node")
-    return rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    nodes = written(sets.join(met, "node").drop("met"), "sets")
+    pivots = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("pivot"))
+    pairs = members.join(pivots, "key").where("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    labels = relabelled(None, written(verified(pairs, nodes, least), "links"))
+    labels = relabelled(labels, written(crossed(members, nodes, labels, least), "links"))
+    return sketches.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
