@@ -22,6 +22,7 @@ from .common import small_enough, table, written
 #: Leading tokens below the token count; lines of so many tokens can differ from a template in DIFFERENT of them.
 DEPTH, LONG, DIFFERENT = 3, 10, 0.1
 BROADCAST_ROWS = 200_000
+SALTS = 16
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -52,23 +53,32 @@ def _documents(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "signature").agg(F.count("*").alias("_")).groupBy(*keys).agg(F.count("*").alias("documents"))
 
 
+def of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Lines whose leaf is among leaves: by broadcast up to BROADCAST_ROWS, beyond that salted by line, so that a hot leaf is dealt out."""
+    if small_enough(leaves, BROADCAST_ROWS):
+        return lines.join(F.broadcast(leaves), "leaf", "left_semi")
+    salted = leaves.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return lines.withColumn("_salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "_salt"], "left_semi").drop("_salt")
+
+
 def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFrame:
     """h and leaf of the long lines that belong to the template of a leaf which enough documents and two lines or more share."""
     long = lines.where(F.col("n") >= LONG)
     shared = _documents(long, "leaf").where(F.col("documents") >= least_documents).select("leaf")
-    several = long.join(shared, "leaf", "left_semi").groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("leaf")
+    # Both sides have one row a leaf: no task meets all rows of a hot one.
+    several = long.groupBy("leaf").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("leaf").join(shared, "leaf")
     several = written(several, "leaves")
     if several.isEmpty():
         return lines.sparkSession.createDataFrame([], "h long, leaf long")
-    if small_enough(several, BROADCAST_ROWS):
-        several = F.broadcast(several)
+    long = of_leaves(long, several)
     # One document of each line is enough to read its tokens from.
-    sources = written(long.join(several, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min("row").alias("row")).select("row").distinct(), "sources")
+    sources = written(long.groupBy("leaf", "h").agg(F.min("row").alias("row")).select("row").distinct(), "sources")
     own = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
     if small_enough(sources, BROADCAST_ROWS):
         own = own.join(F.broadcast(sources), "row", "left_semi")
-    texts = own.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf").join(several, "leaf").groupBy("leaf", "h").agg(F.first("line").alias("line"))
-    weights = _documents(long.join(several, "leaf", "left_semi"), "leaf", "h")
+    texts = own.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf")
+    texts = of_leaves(texts, several).groupBy("leaf", "h").agg(F.first("line").alias("line"))
+    weights = _documents(long, "leaf", "h")
     tokens = texts.join(weights, ["leaf", "h"]).select("leaf", "h", "documents", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     tokens = written(tokens, "tokens")
     chosen = tokens.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("w")).groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("top")).select("leaf", "pos", F.col("top.token").alias("constant"))

@@ -13,6 +13,7 @@ a text that holds the mark itself decodes with a space there; repeated rows get
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 
@@ -76,17 +77,29 @@ class Codec:
         self.plain: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """BPE by merging, best score first, then leftmost."""
-        symbols = list(symbols)
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                s = self.score.get(symbols[i] + symbols[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        """BPE by merging, best score first, then leftmost; a queue of pairs keeps very long words in bounds."""
+        left, n = list(symbols), len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n and (s := self.score.get(left[i] + left[after[i]])) is not None:
+                heapq.heappush(queue, (-s, i, left[i], left[after[i]]))
+
+        for i in range(n):
+            offer(i)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            # A pair counts only while both of its pieces are still what they were.
+            if left[i] != a or after[i] >= n or left[after[i]] != b:
+                continue
+            gone = after[i]
+            left[i], left[gone], after[i] = a + b, "", after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in left if x]
 
     def stays(self, a: str, b: str) -> bool:
         """Whether merging leaves two pieces side by side as they are."""
