@@ -4,7 +4,9 @@ The pages of a host are merged by the paths of their elements (tag and class). F
 content importance comes from the entropy of its contents over the host's pages (a content on every page says nothing,
 one on a single page says most), and presentation importance from the entropy of its children's tag sequences. Branches of
 low importance are removed from each page, beside those that say themselves what they are (nav, footer, class="ad", ...).
-An article or main element is never removed; where a page has one, the text is what it holds.
+Copies of a page count as one page of their host. html, body, an article or main element and what holds one on any page of the host
+are never of low importance, branches inside an article can be; where a page has an article, the text is what it holds. A page
+that would lose all its text to the tree keeps it, less its noise.
 
 Text: character references decoded, white space in a block as one space, blocks in page order joined by one line
 feed. Defined results: null and empty html give an empty text; a null or bad url is a host of its own kind (empty); repeated
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, table
+from .common import small_enough, table, written
 
 # Element names of HTML by kind, and words that class, id and role use for what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +39,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|xmp)\b[^>]*>.*?(?:
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 LEAST_PAGES, LEAST_IMPORTANCE, PRESENTATION = 4, 0.35, 0.1
+#: Copied pages whose counts are broadcast.
+BROADCAST_PAGES = 200_000
 
 
 def _key(path: str) -> int:
@@ -112,7 +116,7 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
         bad, style = _noise(tag, m[4], mains > 0)
         bad = bad and not everything
         path = f"{stack[-1][1] if stack else ''}/{tag}" + (f".{style}" if style else "")
-        if low and not bad and not mains and tag not in MAIN and _key(path) in low:
+        if low and not bad and tag not in MAIN and _key(path) in low:
             bad = True
         if stack and (not stack[-1][3] or stack[-1][3][-1] != tag):
             stack[-1][3].append(tag)
@@ -129,38 +133,56 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
     return [(p, t) for p, t, inside in blocks if inside or not met or everything], nodes, met
 
 
-CONTENT, CHILDREN, PAGE = 0, 1, 2
-STYLED = pa.schema([("host", pa.int64()), ("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("above", pa.list_(pa.int64())), ("n", pa.int64())])
+CONTENT, CHILDREN, PAGE, HOLDS = 0, 1, 2, 3
+STYLED = pa.schema([("host", pa.int64()), ("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("above", pa.list_(pa.int64())), ("n", pa.float64())])
+
+
+def _tag(part: str) -> str:
+    return part.split(".", 1)[0]
 
 
 def _styled(batches):
-    """The site trees' contents and children's tags by host and path, each counted once a page; above: the path and its ancestors."""
+    """The site trees' contents and children's tags by host and path, each counted once a page, of whose copies each counts in part; above: the path and its ancestors below body."""
     for batch in batches:
-        rows: dict[tuple, int] = {}
+        rows: dict[tuple, float] = {}
         above: dict[str, list[int]] = {}
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, html, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             blocks, nodes, _ = parse(html, everything=True)
             found = {(path, CONTENT, _key(text)) for path, text in blocks} | {(path, CHILDREN, _key(" ".join(children))) for path, children in nodes}
+            for path in {path for path, _ in nodes}:
+                parts = path.split("/")
+                if _tag(parts[-1]) in MAIN:
+                    found |= {("/".join(parts[: i + 1]), HOLDS, 0) for i in range(1, len(parts))}
             for x in found | {("", PAGE, 0)}:
-                rows[host, *x] = rows.get((host, *x), 0) + 1
+                rows[host, *x] = rows.get((host, *x), 0.0) + 1 / copies
         for _, path, kind, _ in rows:
             if kind == CHILDREN and path not in above:
                 parts = path.split("/")
-                above[path] = [_key("/".join(parts[: i + 1])) for i in range(1, len(parts))]
+                above[path] = [_key("/".join(parts[: i + 1])) for i in range(1, len(parts)) if parts[i] not in ("html", "body")]
         cols = list(zip(*((h, _key(p), k, f, above[p] if k == CHILDREN else None, n) for (h, p, k, f), n in rows.items()), strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STYLED, strict=True)], schema=STYLED)
 
 
+def with_copies(pages: DataFrame) -> DataFrame:
+    """host, html and how many rows of the host have this html."""
+    own = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
+    copies = own.groupBy("page").agg(F.count("*").alias("copies")).where("copies > 1")
+    if small_enough(copies, BROADCAST_PAGES):
+        copies = F.broadcast(copies)
+    return own.join(copies, "page", "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def low_branches(pages: DataFrame) -> DataFrame:
     """host and the paths of its branches of low importance (pages: host as a 64-bit hash, html)."""
-    rows = pages.mapInArrow(_styled, "host long, path long, kind int, feature long, above array<long>, n long")
-    found = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.first("above", ignorenulls=True).alias("above"))
+    rows = with_copies(pages).mapInArrow(_styled, "host long, path long, kind int, feature long, above array<long>, n double")
+    found = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"), F.first("above", ignorenulls=True).alias("above"))
     logs = F.when((F.col("kind") == CONTENT), F.log("n"))
     styles = F.when(F.col("kind") == CHILDREN, F.col("n") * F.log("n"))
-    paths = found.groupBy("host", "path").agg(F.sum(logs).alias("logs"), F.count(logs).alias("contents"), F.sum(styles).alias("styles"), F.sum(F.when(F.col("kind") == CHILDREN, F.col("n"))).alias("seen"), F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("m"), F.first("above", ignorenulls=True).alias("above"))
+    paths = found.groupBy("host", "path").agg(F.sum(logs).alias("logs"), F.count(logs).alias("contents"), F.sum(styles).alias("styles"), F.sum(F.when(F.col("kind") == CHILDREN, F.col("n"))).alias("seen"), F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("m"), F.first("above", ignorenulls=True).alias("above"), F.max(F.col("kind") == HOLDS).alias("holds"))
+    paths = written(paths, "paths")  # the pages are parsed once for it
     hosts = paths.where(F.col("m") >= LEAST_PAGES).select("host", "m")
     inside = paths.where("contents > 0").select("host", F.explode("above").alias("path"), "logs", "contents").groupBy("host", "path").agg(F.sum("logs").alias("logs"), F.sum("contents").alias("contents"))
-    rated = inside.join(paths.select("host", "path", "styles", "seen"), ["host", "path"]).join(hosts, "host")
+    rated = inside.join(paths.where("NOT holds").select("host", "path", "styles", "seen"), ["host", "path"]).join(hosts, "host")
     # A content on k of m pages has entropy log k / log m; children's sequences have the entropy of their shares.
     content = 1 - F.col("logs") / F.col("contents") / F.log("m")
     presentation = F.least(F.lit(1.0), (F.log("seen") - F.col("styles") / F.col("seen")) / F.log("m"))
@@ -172,7 +194,8 @@ def _extracted(batches):
     for batch in batches:
         texts = []
         for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            texts.append("\n".join(t for _, t in parse(html, frozenset(low or ()))[0]))
+            blocks = parse(html, frozenset(low or ()))[0] or (parse(html)[0] if low else [])
+            texts.append("\n".join(t for _, t in blocks))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

@@ -195,6 +195,23 @@ def test_site_tree_finds_low_branches(spark):
     assert low == {1: {html_extraction._key("/html/body/div.y")}}
 
 
+def test_copies_of_pages_keep_their_text(spark):
+    page = "<html><body><div class='c'><p>Words of page {0}</p><p>and more {0}</p></div></body></html>"
+    rows = [(i, "http://same.com/", page.format(0)) for i in range(6)] + [(10 + i, f"http://two.com/{i}", page.format(i % 2)) for i in range(10)] + [(20 + i, None, page.format(7)) for i in range(5)]
+    rows += [(30 + i, f"http://near.com/{i}", f"<!-- {i} -->" + page.format(i % 2)) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "Words of page {0}\nand more {0}"
+    assert got == {i: text.format(0 if i < 10 else 7 if 20 <= i < 30 else i % 2) for i, _, _ in rows}
+
+
+def test_site_tree_and_articles(spark):
+    """What holds an article stays although its text is on most pages; what is on all pages goes from inside the article."""
+    page = "<html><body><div class='w'>{1}<article><p>{0}</p><div class='tail'>Share it with your friends</div></article></div></body></html>"
+    rows = [(i, f"http://a.com/{i}", page.format("Own words" if i < 7 else f"Rare words {i}", "<!-- -->" * i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Rare words 7" and all("Own words" in t for i, t in got.items() if i < 7)
+
+
 def test_line_dedup(spark, docs, empty):
     rng = random.Random(6)
     shared = prose(rng, 60)
