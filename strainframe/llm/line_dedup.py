@@ -5,8 +5,8 @@ level and the leading tokens below; a leaf's template takes, position by positio
 have. A long line that agrees with its leaf's template in nearly all tokens belongs to it; every other line is a template of its own.
 A template found in least_documents documents or more is dropped from all of them but the first (least doc_id).
 
-Copies of a text are one document here: documents count by their signature, the least hash of their lines. So copies
-keep their lines; whole copies are the near-dedup's work. (Documents that hold little but a shared line can count as one.)
+Copies of a text are one document here: documents count by their signature, the hash of the whole text. So copies
+keep their lines; whole copies are the near-dedup's work. Texts that differ at all, near copies too, are documents of their own.
 
 Defined results: a null text stays null, an empty one empty; lines of white space alone are never dropped; a text may become
 empty; repeated rows lose equal lines; rows of a null doc_id are never first unless no other document has the template.
@@ -41,10 +41,8 @@ def _parsed(line: Column) -> Column:
 
 def parsed(docs: DataFrame) -> DataFrame:
     """doc_id, row, signature, and position, hash, token count and leaf of each line that is not blank."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), normalised(F.coalesce("text", F.lit(""))).alias("_lines"))
-    own = own.select("doc_id", "row", F.transform("_lines", _parsed).alias("lines"))
-    signature = F.array_min(F.transform(F.filter("lines", lambda x: x["n"] > DEPTH), lambda x: x["h"]))
-    every = own.select("doc_id", "row", F.coalesce(signature, F.xxhash64("lines")).alias("signature"), F.posexplode("lines").alias("at", "line"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.xxhash64("text").alias("signature"), normalised(F.coalesce("text", F.lit(""))).alias("_lines"))
+    every = own.select("doc_id", "row", "signature", F.posexplode(F.transform("_lines", _parsed)).alias("at", "line"))
     return every.where("line.n > 0").select("doc_id", "row", "signature", "at", "line.h", "line.n", "line.leaf")
 
 

@@ -227,6 +227,14 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(docs).count() == docs.count() and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_counts_every_text(spark):
+    """A passage in five texts recurs, whatever its hash and however short the texts are."""
+    rng = random.Random(12)
+    rows = [(5 * k + i, f"{prose(rng, 12)} {5 * k + i}x\n{line}", "en", "s", 1) for k, line in enumerate(f"passage{chr(97 + j)} " + prose(rng, 14) for j in range(20)) for i in range(5)]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert [got[i]["n_dropped"] for i in range(100)] == [0, 1, 1, 1, 1] * 20
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:
