@@ -1,8 +1,8 @@
 """Quality rules (operator 7): base counts of each text, and cross-document line frequency.
 
 Lines are normalised (lower case, digits as 0, white space as one space) and hashed. For each host the documents
-that hold a line are counted. Copies of one text are one document here: a document counts by its content
-signature, the least hash of its five-word windows. Lines found in more documents than the limits allow are
+that hold a line are counted. Copies of one text are one document here: a document counts by its signature, the hash
+of its whole text, so texts that differ at all count each. Lines found in more documents than the limits allow are
 removed, and a document that keeps too little is rejected.
 
 Defined results: a null text is empty and has no words, so it fails the base rules; a null host is a host of its own;
@@ -84,9 +84,8 @@ def measure(text: str, hashes: WordHashes) -> tuple:
             seen.add(line)
             plain = b" ".join(own).decode("utf-8", "replace").lower().encode().translate(DIGITS)
             lines.append({"h": xxhash.xxh3_64_intdigest(plain) - (1 << 63), "n": len(own)})
-    least = int(windows.min()) if len(windows) else xxhash.xxh3_64_intdigest(b" ".join(words))
     spaces = len(raw) - len(raw.translate(None, SPACES))
-    return len(words), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(windows), least - (1 << 63), lines
+    return len(words), len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(windows), xxhash.xxh3_64_intdigest(raw) - (1 << 63), lines
 
 
 def _measured(batches):

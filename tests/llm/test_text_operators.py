@@ -82,6 +82,17 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert all(got[i]["kept"] and got[i]["words_left"] == 40 for i in range(60)) and all(got[100 + i]["kept"] for i in range(60))
 
 
+def test_quality_rules_count_every_text_of_boilerplate(spark):
+    """Texts that are mostly one line of their host are all rejected, whatever its hash."""
+    rows = []
+    for seed in range(20):
+        rng = random.Random(seed)
+        line = prose(rng, 30)
+        rows += [(100 * seed + i, f"{line}\n{prose(rng, 6)} own{i}", "en", f"host{seed}", 1) for i in range(100)]
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)))
+    assert all(r["words_left"] == 7 and not r["kept"] for r in got.values())
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = random.Random(2)
     rows, labels = [], []
