@@ -1,8 +1,10 @@
 """Line dedup (operator 8): a log-template tree of fixed depth, with DataFrame functions only.
 
 Lines are in lower case, with tokens that hold a digit generalised to <*>. The tree has the token count at its first
-level and the leading tokens below; a leaf's template takes, position by position, the token that most of its documents
-have. A long line that agrees with its leaf's template in nearly all tokens belongs to it; every other line is a template of its own.
+level and the leading tokens below. A leaf holds several templates: one of all its lines, and one of the lines that share a run
+of tokens; there are so many runs that lines that differ in no more places than a template allows share one. A template takes, position by
+position, the token that most of its documents have. A long line that agrees with a template in nearly all tokens belongs to
+it, with several to each of them, and goes with the one of most documents; every other line is a template of its own.
 A template found in least_documents documents or more is dropped from all of them but the first (least doc_id).
 
 Copies of a text are one document here: documents count by their signature, the hash of the whole text. So copies
@@ -59,8 +61,16 @@ def of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     return lines.withColumn("_salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "_salt"], "left_semi").drop("_salt")
 
 
+def _groups() -> Column:
+    """The leaf and, for each of the runs that a line's tokens after the leading ones are cut into, the hash of leaf, run and its tokens."""
+    runs = F.floor(F.size("words") * DIFFERENT) + 1
+    end = lambda j: (DEPTH + F.floor(j * (F.size("words") - DEPTH) / runs)).cast("int")
+    run = lambda j: F.xxhash64("leaf", j, F.slice("words", end(j) + 1, end(j + 1) - end(j)))
+    return F.concat(F.array("leaf"), F.transform(F.sequence(F.lit(0).cast("long"), runs - 1), run))
+
+
 def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFrame:
-    """h and leaf of the long lines that belong to the template of a leaf which enough documents and two lines or more share."""
+    """h and group of the long lines that belong to a template of a leaf which enough documents and two lines or more share."""
     long = lines.where(F.col("n") >= LONG)
     shared = _documents(long, "leaf").where(F.col("documents") >= least_documents).select("leaf")
     # Both sides have one row a leaf: no task meets all rows of a hot one.
@@ -76,8 +86,10 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
         own = own.join(F.broadcast(sources), "row", "left_semi")
     texts = own.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf")
     texts = of_leaves(texts, several).groupBy("leaf", "h").agg(F.first("line").alias("line"))
-    weights = _documents(long, "leaf", "h")
-    tokens = texts.join(weights, ["leaf", "h"]).select("leaf", "h", "documents", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    texts = written(texts.withColumn("words", F.split("line", " ")).select("h", "line", F.explode(_groups()).alias("leaf")), "groups")
+    texts = of_leaves(texts, texts.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
+    weights = _documents(long, "h")
+    tokens = texts.join(weights, "h").select("leaf", "h", "documents", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     tokens = written(tokens, "tokens")
     chosen = tokens.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("w")).groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("top")).select("leaf", "pos", F.col("top.token").alias("constant"))
     agree = tokens.join(chosen, ["leaf", "pos"]).groupBy("leaf", "h").agg(F.avg((F.col("token") == F.col("constant")).cast("double")).alias("agree"))
@@ -91,7 +103,8 @@ def recurring(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFr
     named = lines.join(groups.withColumnRenamed("leaf", "template"), "h", "left").withColumn("template", F.coalesce("template", "h"))
     counted = named.groupBy("template", "h", "signature").agg(F.min("doc_id").alias("first"))
     totals = counted.groupBy("template", "signature").agg(F.min("first").alias("first")).groupBy("template").agg(F.count("*").alias("documents"), F.min("first").alias("first")).where(F.col("documents") >= least_documents)
-    return counted.select("template", "h").distinct().join(totals, "template").select("h", "first")
+    found = counted.select("template", "h").distinct().join(totals, "template")
+    return found.groupBy("h").agg(F.max(F.struct("documents", "template", "first"))["first"].alias("first"))
 
 
 def line_dedup(docs: DataFrame, least_documents: int = 5) -> DataFrame:

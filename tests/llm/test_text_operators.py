@@ -246,6 +246,15 @@ def test_line_dedup_counts_every_text(spark):
     assert [got[i]["n_dropped"] for i in range(100)] == [0, 1, 1, 1, 1] * 20
 
 
+def test_line_dedup_templates_of_one_leaf(spark):
+    """Two templates of one leaf and of equal weight recur, each but in its first document; a line of neither stays."""
+    names = "ann bob cleo dan eve fay gus hal ida jon kit leo".split()
+    lines = [f"in the end {'the old mill by that river was' if i % 2 else 'a new road over these hills is'} sold to {n}" for i, n in enumerate(names)]
+    rows = [(i, f"text of {n} alone\n{line}", "en", "s", 1) for i, (n, line) in enumerate(zip(names, lines, strict=True))] + [(50, "in the end nobody at all could say why it had come so far", "en", "s", 1)]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert [got[i]["n_dropped"] for i in (*range(12), 50)] == [0, 0, *[1] * 10, 0]
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:
