@@ -3,7 +3,8 @@
 Each shingle (weight 1 + ln of its count) is a Poisson process whose arrivals fall on random registers; a register
 keeps the shingle of its first arrival, and a shingle ends once its next arrival is later than all registers. Equal
 registers estimate the probability Jaccard likeness. Bands of registers give buckets, and pairs within a bucket are
-verified on whole shingle sets. Texts that are equal are one node throughout.
+verified on whole shingle sets. Texts that repeat shingles have the bands of a second sketch too, of weights 1 (without repeats
+both sketches are one), so pairs are found by the likeness of their sets as well. Texts that are equal are one node throughout.
 
 A bucket's pairs are not all made. First every member is held against the bucket's pivot, the member that meets most
 others over all buckets: of a text and its copies, the text. Linked texts become one class. Then, in buckets that still hold several
@@ -87,6 +88,11 @@ def _sketched(batches):
         registers = prob_min_hash(np.concatenate([s for s, _ in sets]), 1 + np.log(np.concatenate([c for _, c in sets])), np.repeat(np.arange(len(sets)), sizes), len(sets))
         keys = band_keys(registers)
         bands = [keys[i] if n else [] for i, n in enumerate(sizes)]
+        if repeats := [i for i, (_, c) in enumerate(sets) if len(c) and c.max() > 1]:
+            plain = np.concatenate([sets[i][0] for i in repeats])
+            more = band_keys(prob_min_hash(plain, np.ones(len(plain)), np.repeat(np.arange(len(repeats)), sizes[repeats]), len(repeats)))
+            for i, own in zip(repeats, more, strict=True):
+                bands[i] = np.concatenate([bands[i], own])
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_signed(xxhash.xxh64_intdigest(r, 42)) for r in raws], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s, _ in sets], pa.binary())], schema=SKETCH)
 
     for batch in batches:

@@ -304,6 +304,21 @@ def test_near_dedup_chains(spark):
     assert [got[i]["class_id"] for i in range(len(rows))] == brute_classes(rows)
 
 
+def test_near_dedup_finds_texts_with_repeats(spark):
+    """Texts that repeat a quarter of themselves 300 times meet their near copies without repeats."""
+    rows = []
+    for k in range(100):
+        words = [f"w{k}x{j}" for j in range(200)]
+        edited = list(words)
+        for j in (110, 140, 170):
+            edited[j] = f"edit{k}x{j}"
+        part = " ".join(words[:50])
+        rows += [" ".join(edited), " ".join(words) + "".join(f" {part}" for _ in range(300))]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(*(shingle_sets(rows)[i::2] for i in (0, 1)), strict=True))
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")))
+    assert [got[i]["class_id"] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     shingles = rng.integers(0, 2**63, 300).astype(np.uint64)
