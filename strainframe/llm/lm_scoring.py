@@ -5,7 +5,7 @@ the document. Tokens are the corpus's most frequent words; other words are token
 word's class times the word's within it.
 
 All documents are counted for the vocabulary and take part in training: each task trains on positions of all its
-documents (every STRIDE-th, another set in each round), tasks' parameters are averaged by the positions they saw, and the next
+documents (every ROUNDS-th, another set in each round, so each position once), tasks' parameters are averaged by the positions they saw, and the next
 round begins from there. So what is gathered grows with the input, and no task holds more than its own documents.
 
 Defined results: null and empty texts have no tokens, log_prob 0 and a null mean; repeated rows get equal scores; a null
@@ -29,7 +29,7 @@ SIZE = CLASSES * MEMBERS
 WORDS = SIZE - HASHED
 WIDTH = 16
 OFFSETS = np.array([-2, -1, 1, 2])
-ROUNDS, STRIDE, BATCH, STEP = 2, 8, 1024, 0.15
+ROUNDS, BATCH, STEP = 2, 1024, 0.15
 SLICES, FAN = 32, 64
 #: Words that a task counts before it passes its counts on; tokens that are scored together, about.
 COUNTED, TOGETHER = 300_000, 60_000
@@ -196,6 +196,11 @@ def _lists(batches):
         yield ids, lists
 
 
+def targets(at: np.ndarray, turn: int) -> np.ndarray:
+    """The positions that a round trains on; the rounds share all positions."""
+    return at[turn % ROUNDS :: ROUNDS]
+
+
 def averaged(tokens: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
     """The tasks' parameters after a round of training from flat, averaged by the positions they saw."""
     shared = tokens.sparkSession.sparkContext.broadcast(flat)
@@ -204,7 +209,7 @@ def averaged(tokens: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
         def examples():
             for _, lists in _lists(batches):
                 ids, at = padded(lists)
-                at = at[turn % STRIDE :: STRIDE]
+                at = targets(at, turn)
                 # Neighbouring positions are dealt to different steps.
                 at = np.random.default_rng(turn).permutation(at)
                 for k in range(0, len(at), BATCH):
@@ -238,7 +243,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts[WORDS:] = max(1.0, counts.sum() / HASHED / 4)
     flat = initial(counts)
     for turn in range(ROUNDS):
-        flat = averaged(tokens, flat, turn * (STRIDE // ROUNDS))
+        flat = averaged(tokens, flat, turn)
     shared = docs.sparkSession.sparkContext.broadcast(flat)
 
     def score(batches):

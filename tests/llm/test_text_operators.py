@@ -397,6 +397,11 @@ def test_lm_gradients_and_learning():
     assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(g[0], abs=1e-6)
 
 
+def test_lm_trains_on_every_position():
+    at = np.arange(101)
+    assert sorted(np.concatenate([lm_scoring.targets(at, turn) for turn in range(lm_scoring.ROUNDS)])) == list(at)
+
+
 def test_lm_scores(spark, docs, empty):
     """A text whose words follow from their neighbours scores better than the same words shuffled; nothing depends on the order of rows."""
     rng = random.Random(2)
