@@ -1,11 +1,12 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, Arrow helpers."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, joins that split hot keys."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,23 +14,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables with more rows are not broadcast; parts that a key is dealt to in a join with such a table.
+BROADCAST_ROWS, SALTS = 200_000, 16
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strainframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors. cleared() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession):
+    """Deletes at its end the tables that operators wrote meanwhile: for callers that have stored their results by then."""
+    before = len(_tables)
+    try:
+        yield
+    finally:
+        for path in _tables[before:]:
+            deleted(spark, path)
+        del _tables[before:]
+
+
+def met(rows: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column) -> DataFrame:
+    """rows joined with few, which has one row a key: by broadcast up to BROADCAST_ROWS; beyond that a key's rows are
+    dealt to SALTS tasks by the hash of spread, so that no task meets all rows of a hot key."""
+    if small_enough(few, BROADCAST_ROWS):
+        return rows.join(F.broadcast(few), on, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def text_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null becomes empty) and the columns in more; whatever else the table has is left out."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -19,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, table, written
+from .common import met, table, written
 
 #: Leading tokens below the token count; lines of so many tokens can differ from a template in DIFFERENT of them.
 DEPTH, LONG, DIFFERENT = 3, 10, 0.1
-BROADCAST_ROWS = 200_000
-SALTS = 16
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -44,7 +42,8 @@ def _parsed(line: Column) -> Column:
 def parsed(docs: DataFrame) -> DataFrame:
     """doc_id, row, signature, and position, hash, token count and leaf of each line that is not blank."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.xxhash64("text").alias("signature"), normalised(F.coalesce("text", F.lit(""))).alias("_lines"))
-    every = own.select("doc_id", "row", "signature", F.posexplode(F.transform("_lines", _parsed)).alias("at", "line"))
+    # The outer form, as the inner one would infer a filter on the array's size, which parses every text once more.
+    every = own.select("doc_id", "row", "signature", F.posexplode_outer("_lines").alias("at", "line")).select("doc_id", "row", "signature", "at", _parsed(F.col("line")).alias("line"))
     return every.where("line.n > 0").select("doc_id", "row", "signature", "at", "line.h", "line.n", "line.leaf")
 
 
@@ -54,11 +53,8 @@ def _documents(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Lines whose leaf is among leaves: by broadcast up to BROADCAST_ROWS, beyond that salted by line, so that a hot leaf is dealt out."""
-    if small_enough(leaves, BROADCAST_ROWS):
-        return lines.join(F.broadcast(leaves), "leaf", "left_semi")
-    salted = leaves.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return lines.withColumn("_salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["leaf", "_salt"], "left_semi").drop("_salt")
+    """Lines whose leaf is among leaves."""
+    return met(lines, leaves, ["leaf"], "left_semi", F.col("h"))
 
 
 def _groups() -> Column:
@@ -82,25 +78,28 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
     # One document of each line is enough to read its tokens from.
     sources = written(long.groupBy("leaf", "h").agg(F.min("row").alias("row")).select("row").distinct(), "sources")
     own = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
-    if small_enough(sources, BROADCAST_ROWS):
-        own = own.join(F.broadcast(sources), "row", "left_semi")
-    texts = own.select(F.explode(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf")
+    own = met(own, sources, ["row"], "left_semi", F.lit(0))
+    texts = own.select(F.explode_outer(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf")
     texts = of_leaves(texts, several).groupBy("leaf", "h").agg(F.first("line").alias("line"))
     texts = written(texts.withColumn("words", F.split("line", " ")).select("h", "line", F.explode(_groups()).alias("leaf")), "groups")
     texts = of_leaves(texts, texts.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
-    weights = _documents(long, "h")
-    tokens = texts.join(weights, "h").select("leaf", "h", "documents", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    tokens = written(tokens, "tokens")
-    chosen = tokens.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("w")).groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("top")).select("leaf", "pos", F.col("top.token").alias("constant"))
-    agree = tokens.join(chosen, ["leaf", "pos"]).groupBy("leaf", "h").agg(F.avg((F.col("token") == F.col("constant")).cast("double")).alias("agree"))
-    return agree.where(F.col("agree") >= 1 - DIFFERENT).select("h", "leaf")
+    texts = written(texts.withColumn("words", F.transform(F.split("line", " "), lambda t: F.xxhash64(t))).drop("line"), "words")
+    tokens = texts.join(_documents(long, "h"), "h").select("leaf", "documents", F.posexplode_outer("words").alias("pos", "token"))
+    # The heaviest token of a position, among equals that of the largest low bits.
+    rank = F.col("w") * (1 << 24) + F.col("token").bitwiseAND(F.lit((1 << 24) - 1))
+    chosen = tokens.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("w")).groupBy("leaf", "pos").agg(F.max_by("token", rank).alias("constant"))
+    template = chosen.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "constant")))["constant"].alias("constants"))
+    both = met(texts, written(template, "constants"), ["leaf"], "inner", F.col("h"))
+    same = F.size(F.filter(F.zip_with("words", "constants", lambda a, b: a == b), lambda x: x))
+    return both.where(same >= (1 - DIFFERENT) * F.size("words")).select("h", "leaf")
 
 
 def recurring(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFrame:
     """h of the lines whose templates recur, and the first document of the template."""
     groups = generalised(docs, lines, least_documents)
-    groups = F.broadcast(groups) if small_enough(groups, BROADCAST_ROWS) else groups
-    named = lines.join(groups.withColumnRenamed("leaf", "template"), "h", "left").withColumn("template", F.coalesce("template", "h"))
+    # A line that belongs to templates is counted for each of them; every other line is its own.
+    groups = written(groups.groupBy("h").agg(F.collect_list("leaf").alias("templates")), "named")
+    named = met(lines, groups, ["h"], "left", F.col("row")).withColumn("template", F.explode(F.coalesce("templates", F.array("h"))))
     counted = named.groupBy("template", "h", "signature").agg(F.min("doc_id").alias("first"))
     totals = counted.groupBy("template", "signature").agg(F.min("first").alias("first")).groupBy("template").agg(F.count("*").alias("documents"), F.min("first").alias("first")).where(F.col("documents") >= least_documents)
     found = counted.select("template", "h").distinct().join(totals, "template")
@@ -108,15 +107,20 @@ def recurring(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFr
 
 
 def line_dedup(docs: DataFrame, least_documents: int = 5) -> DataFrame:
-    """docs with its text less the dropped lines, and n_lines and n_dropped."""
+    """docs with its text less the dropped lines, and n_lines and n_dropped in place of columns of these names."""
     lines = written(parsed(docs), "lines")
     common = written(recurring(docs, lines, least_documents), "templates")
-    common = F.broadcast(common) if small_enough(common, BROADCAST_ROWS) else common
-    gone = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("at").alias("_gone"))
-    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    out = own.join(gone.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumns({"n_lines": F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1, "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)), "text": F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text"))}).drop("_gone")
+    gone = met(lines, common, ["h"], "inner", F.col("row")).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    own = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
+    text = F.col("doc.text")
+    out = own.join(gone, "row", "left").select("doc", "gone", F.when(F.col("gone").isNotNull(), F.split(text, "\n")).alias("lines"))
+    # What is left are the runs of lines between the dropped ones.
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
+    run = lambda a, b: F.slice("lines", a + 2, b - a - 1)
+    left = F.array_join(F.flatten(F.zip_with(F.slice(edges, 1, F.size("gone") + 1), F.slice(edges, 2, F.size("gone") + 1), run)), "\n")
+    return out.select(
+        *(F.coalesce(left, text).alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        (F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\n")) + 1).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
