@@ -3,8 +3,9 @@
 A text is cut into marked words, which no piece crosses. The distinct words of a batch are sorted, which is the order of a
 depth-first walk over their trie, and each word begins with the forward states of the prefix it shares with the word
 before it. A unigram model's forward state is the best score of the prefix and its last piece. A BPE model's is the last
-piece alone: merging gives every prefix exactly one last piece, the one that merging would leave beside the last piece of
-the prefix before it. So one walk serves both kinds of models, and BPE results are those of merging.
+piece alone: merging gives every prefix exactly one last piece, the longest one that merging leaves beside the last piece of
+the prefix before it, and the best sum of scores is another result (README). So one walk serves both kinds of models, and
+BPE results are those of merging. Words are cut, and told apart, by Arrow; Python meets the distinct ones.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the first one.
 Defined results: null and empty texts have no ids and decode to an empty text; characters without a piece become byte pieces;
@@ -19,13 +20,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import table, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED = 300_000
+#: Bytes of words whose ids are kept between steps, and pairs of pieces that are remembered.
+CACHED, PAIRS = 6_000_000, 2_000_000
+#: A state before the first character, as a piece; pieces' codes are below it.
+START = (1 << 20) - 1
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
@@ -55,7 +60,10 @@ class Codec:
         self.id_of = dict(usable)
         self.score = {p: model.scores[i] for p, i in usable}
         self.floor = min(self.score.values(), default=0.0) - 10.0
-        self.longest = max(map(len, self.id_of), default=1)
+        # Pieces by code: the model's by id, characters without a piece behind them as they are met.
+        self.pieces, self.lens, self.strange = list(model.pieces), [len(p) for p in model.pieces], {}
+        # Every end of a piece, with its code where it is a piece itself: a search backwards stops where no piece ends so.
+        self.tails = {p[k:]: -1 for p in self.id_of for k in range(1, len(p))} | self.id_of
         inner = set("".join(p[1:] for p in self.id_of)) | set("".join(p[:-1] for p in self.id_of if len(p) > 1))
         # Line feeds and tabs are words of their own unless a longer piece holds them.
         alone = "".join(c for c in "\n\t\r" if c not in inner)
@@ -66,14 +74,15 @@ class Codec:
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_len = np.array([len(r) for r in raw], dtype=np.int64)
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
+        self.held = 0
         self.index: dict[str, int] = {}
         self.ids: list[list[int]] = []
         self.flat, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
-        # Pieces of texts without runs of marks, cut at spaces: the same words under shorter names.
+        # Words of texts without runs of marks, as cut at spaces.
         self.plain: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -101,97 +110,146 @@ class Codec:
             offer(i)
         return [x for x in left if x]
 
-    def stays(self, a: str, b: str) -> bool:
-        """Whether merging leaves two pieces side by side as they are."""
-        known = self.beside.get((a, b))
-        if known is None:
-            if len(self.beside) > 2_000_000:
-                self.beside.clear()
-            known = self.beside[a, b] = self.merged([*a, *b]) == [a, b]
+    def stays(self, key: int) -> bool:
+        """Whether merging leaves two pieces side by side as they are; the key holds both codes, START for no first piece."""
+        if len(self.beside) > PAIRS:
+            self.beside.clear()
+        a, b = key >> 20, self.pieces[key & START]
+        first = [] if a == START else [self.pieces[a]]
+        known = self.beside[key] = self.merged([*"".join(first), *b]) == [*first, b]
         return known
 
-    def walk(self, words: list[str]) -> None:
-        """Encodes new words, sorted: states[i] belongs to the prefix of i characters."""
-        before, states = "", [("", 0.0)]
-        bpe, vocabulary, score = self.kind == "bpe", self.id_of, self.score
+    def _strange(self, character: str) -> int:
+        code = self.strange.get(character)
+        if code is None:
+            code = self.strange[character] = len(self.pieces)
+            self.pieces.append(character)
+            self.lens.append(1)
+        return code
+
+    def walk(self, words: list[str]) -> list[list[int]]:
+        """The pieces' codes of words, sorted: states[i] is the last piece of the prefix of i characters."""
+        before, states, out = "", [START], []
+        scores = None if self.kind == "bpe" else [0.0]
+        tails, lens, beside, score = self.tails, self.lens, self.beside, self.score
         for word in words:
             same, top = 0, min(len(before), len(word))
             while same < top and word[same] == before[same]:
                 same += 1
             del states[same + 1 :]
+            if scores:
+                del scores[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                best = None
-                for j in range(max(0, i - self.longest), i):
-                    piece = word[j:i]
-                    if piece not in vocabulary and j < i - 1:
-                        continue
-                    if bpe:
-                        if j == 0 or self.stays(states[j][0], piece):
-                            best = (piece, 0.0)
+                j, fits = i - 1, []
+                while j >= 0:
+                    code = tails.get(word[j:i])
+                    if code is None:
+                        break
+                    if code >= 0:
+                        fits.append(code)
+                    j -= 1
+                if not fits or lens[fits[0]] > 1:
+                    fits.insert(0, self._strange(word[i - 1]))
+                if scores:
+                    s, code = max((scores[i - lens[code]] + score.get(self.pieces[code], self.floor), code) for code in fits)
+                    scores.append(s)
+                else:
+                    for code in reversed(fits):  # noqa: B007
+                        key = states[i - lens[code]] << 20 | code
+                        stays = beside.get(key)
+                        if self.stays(key) if stays is None else stays:
                             break
-                    else:
-                        s = states[j][1] + score.get(piece, self.floor)
-                        if best is None or s > best[1]:
-                            best = (piece, s)
-                states.append(best)
-            before, i, out = word, len(word), []
+                states.append(code)
+            before, i, own = word, len(word), []
             while i:
-                out.append(states[i][0])
-                i -= len(states[i][0])
-            self._keep(word, out[::-1])
-
-    def _keep(self, word: str, pieces: list[str]) -> None:
+                code = states[i]
+                own.append(code)
+                i -= lens[code]
+            own.reverse()
+            out.append(own)
+        return out
+
+    def _ids(self, codes: list[int]) -> list[int]:
+        known = len(self.raw_len)
+        if not codes or max(codes) < known:
+            return codes
         ids: list[int] = []
-        for p in pieces:
-            if p in self.id_of:
-                ids.append(self.id_of[p])
+        for code in codes:
+            if code < known:
+                ids.append(code)
             elif len(self.bytes_of) == 256:
-                ids += [self.bytes_of[b] for b in p.encode("utf-8", "surrogatepass")]
+                ids += [self.bytes_of[b] for b in self.pieces[code].encode("utf-8", "surrogatepass")]
             else:
                 ids.append(self.unknown)
-        self.index[word] = len(self.ids)
-        self.ids.append(ids)
+        return ids
+
+    def _learn(self, words: list[str], marked: bool) -> None:
+        """Ids of new words, sorted. marked: words as they are met in texts, with their marks; else words to be marked."""
+        direct = [w for w in words if marked and self.kind == "bpe" and w.startswith(MARK + MARK)]
+        # Runs of marks are merged directly: their pieces have equal scores, so their order matters.
+        for w in direct:
+            self.index[w] = len(self.ids)
+            self.ids.append(self._ids([self.id_of[p] if p in self.id_of else self._strange(p) for p in self.merged(list(w))]))
+        rest = [w for w in words if w not in set(direct)] if direct else words
+        target = self.index if marked else self.plain
+        for w, codes in zip(rest, self.walk(rest if marked else [MARK + w for w in rest]), strict=True):
+            target[w] = len(self.ids)
+            self.ids.append(self._ids(codes))
+        self.held += sum(map(len, words))
+
+    def _at(self, words: list[str], easy: bool) -> np.ndarray:
+        """Places of distinct words in self.ids."""
+        if easy:
+            new = [w for w in words if w not in self.plain]
+            lines = [w for w in new if w[0] == "\n"]
+            self._learn(sorted(({w[1:] for w in lines} | ({"\n"} if lines else set())) - {""} - self.index.keys()), True)
+            self._learn(sorted(w for w in new if w[0] != "\n"), False)
+            for w in lines:
+                self.plain[w] = len(self.ids)
+                self.ids.append(self.ids[self.index["\n"]] + (self.ids[self.index[w[1:]]] if len(w) > 1 else []))
+        else:
+            self._learn(sorted({*words} - self.index.keys()), True)
+        return np.fromiter(map((self.plain if easy else self.index).__getitem__, words), dtype=np.int64, count=len(words))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.ids) > CACHED:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.held > CACHED:
             self._clear()
-        # A text with single spaces only is cut by split(): a piece is a marked word, or a line feed and a word without a mark.
-        easy = [bool(t) and self.single and t[0] > " " and t[-1] != " " and "  " not in t and " \n" not in t and MARK not in t and "\t" not in t and "\r" not in t for t in texts]
-        words = [t.replace("\n", " \n").split(" ") if e else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t, e in zip(texts, easy, strict=True)]
-        pieces = {w for own, e in zip(words, easy, strict=True) if e for w in own} - self.plain.keys()
-        new = {w for own, e in zip(words, easy, strict=True) if not e for w in own}
-        for w in pieces:
-            new.update(("\n", w[1:]) if w[0] == "\n" else (MARK + w,))
-        new = new - self.index.keys() - {""}
-        if self.kind == "bpe":
-            # Runs of marks are merged directly: their pieces have equal scores, so their order matters.
-            for w in [w for w in new if w.startswith(MARK + MARK)]:
-                new.discard(w)
-                self._keep(w, self.merged(list(w)))
-        self.walk(sorted(new))
-        for w in pieces:
-            if w[0] == "\n":
-                self.plain[w] = len(self.ids)
-                self.ids.append(self.ids[self.index["\n"]] + (self.ids[self.index[w[1:]]] if len(w) > 1 else []))
+        # A text with single spaces only is cut at them: each part is a word to be marked, or a line feed and a word without a mark.
+        odd = pc.match_substring_regex(texts, f"^[\\x00-\\x20]| $|  | \n|{MARK}|\t|\r") if self.single else pa.array([True] * len(texts))
+        blank, odd = (np.asarray(x.to_numpy(zero_copy_only=False), dtype=bool) for x in (pc.equal(texts, ""), odd))
+        places, starts, counts, total = [], np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), 0
+        for easy in (True, False):
+            own = np.flatnonzero(~blank & (odd != easy))
+            part = texts.take(pa.array(own))
+            if easy:
+                cut = pc.split_pattern(pc.replace_substring(part, "\n", " \n"), " ")
             else:
-                self.plain[w] = self.index[MARK + w]
+                cut = pa.array([self.word.findall(MARK + t.replace(" ", MARK)) for t in part.to_pylist()], pa.list_(pa.string()))
+            many = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = pc.list_flatten(cut).dictionary_encode()
+            places.append(self._at(words.dictionary.to_pylist(), easy)[words.indices.to_numpy()])
+            starts[own], counts[own] = total + np.cumsum(many) - many, many
+            total += int(many.sum())
         added = self.ids[len(self.sizes) :]
         more = np.array([len(x) for x in added], dtype=np.int64)
         self.sizes = np.concatenate([self.sizes, more])
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in added for i in x), dtype=np.int32, count=int(more.sum()))])
-        flat, sizes = self.flat, self.sizes
-        starts = np.cumsum(sizes) - sizes
-        at = np.concatenate([np.fromiter(map((self.plain if e else self.index).__getitem__, own), dtype=np.int64, count=len(own)) for own, e in zip(words, easy, strict=True)] or [np.empty(0, dtype=np.int64)])
-        ids = flat[spread(starts[at], sizes[at])]
-        per_word = np.concatenate([[0], np.cumsum(sizes[at])])
-        ends = per_word[np.cumsum([len(own) for own in words])] if words else np.empty(0, dtype=np.int64)
-        return ids, np.diff(ends, prepend=0)
-
-    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        at = np.concatenate(places)[spread(starts, counts)]
+        first = np.cumsum(self.sizes) - self.sizes
+        ids = self.flat[spread(first[at], self.sizes[at])]
+        per_word = np.concatenate([[0], np.cumsum(self.sizes[at])])
+        return ids, np.diff(per_word[np.cumsum(counts)], prepend=0)
+
+    def raw_of(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts, each with the space of its first mark, and where they begin and end."""
         lens = self.raw_len[ids]
         data = self.raw[spread(self.raw_at[ids], lens)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return data, np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        data, ends = self.raw_of(ids, sizes)
         return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:], strict=False)]
 
 
@@ -205,7 +263,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _codecs: dict[str, Codec] = {}
 
 
-def encoded(docs: DataFrame, model: Pieces | None = None, texts_a_step: int = 500) -> DataFrame:
+def encoded(docs: DataFrame, model: Pieces | None = None, bytes_a_step: int = 4_000_000) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (whether the decoded ids are the text) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model or Pieces.load())
     key = uuid.uuid4().hex
@@ -216,20 +274,15 @@ def encoded(docs: DataFrame, model: Pieces | None = None, texts_a_step: int = 50
             _codecs[key] = Codec(shared.value)
         codec = _codecs[key]
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                # Steps end after so many texts or 4 MB.
-                n, size = 0, 0
-                column = batch.column(1)
-                while at + n < batch.num_rows and n < texts_a_step and size < 4_000_000:
-                    size += column[at + n].as_buffer().size
-                    n += 1
-                own = column.slice(at, n).to_pylist()
-                ids, sizes = codec.encode(own)
-                same = [a == b for a, b in zip(codec.decode(ids, sizes), own, strict=True)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same)], schema=OUT)
-                at += n
+            column = batch.column(1).cast(pa.large_binary())
+            sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1])
+            step = (np.cumsum(sizes) - sizes) // bytes_a_step
+            for at, end in zip(*(f(np.flatnonzero(np.diff(step, prepend=-1, append=step[-1:] + 1))) for f in (lambda x: x[:-1], lambda x: x[1:])), strict=True):
+                ids, many = codec.encode(batch.column(1).slice(at, end - at))
+                data, ends = codec.raw_of(ids, many)
+                same = [data[a + 1 : b] == t.as_buffer() for a, b, t in zip(ends, ends[1:], column.slice(at, end - at), strict=False)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(many), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(same, pa.bool_())], schema=OUT)
 
     return text_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
