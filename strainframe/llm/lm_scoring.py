@@ -1,8 +1,9 @@
 """LM scoring (operator 5): masked pseudo-likelihood by a bidirectional window network.
 
 The network predicts every token from the two tokens on either side of it; the sum of the log-probabilities scores
-the document. Tokens are the corpus's most frequent words; other words are tokens by hash. Probabilities are those of a
-word's class times the word's within it.
+the document. Tokens are the corpus's most frequent words; other words are tokens by hash, counted in the corpus as well.
+Probabilities are those of a word's class times the word's within it; a word known by its hash has an equal share of what
+the corpus's words of that hash have together.
 
 All documents are counted for the vocabulary and take part in training: each task trains on positions of all its
 documents (every ROUNDS-th, another set in each round, so each position once), tasks' parameters are averaged by the positions they saw, and the next
@@ -153,10 +154,18 @@ def _counted(batches):
         yield out()
 
 
-def vocabulary(texts: DataFrame) -> list[tuple[bytes, int]]:
-    """The WORDS most frequent words of all documents, with their counts."""
-    counts = texts.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+def vocabulary(texts: DataFrame) -> tuple[list[tuple[bytes, int]], np.ndarray, np.ndarray]:
+    """The WORDS most frequent words of all documents with their counts; of each hash class, how many words and how many occurrences the others are."""
+    counts = written(texts.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    words = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    # What the vocabulary holds is counted and taken off again, so the table is not joined with it.
+    kinds, many = np.zeros(HASHED), np.zeros(HASHED)
+    for r in counts.groupBy((F.crc32("word") % HASHED).cast("int").alias("class")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():
+        kinds[r["class"]], many[r["class"]] = r["kinds"], r["n"]
+    for word, n in words:
+        kinds[zlib.crc32(word) % HASHED] -= 1
+        many[zlib.crc32(word) % HASHED] -= n
+    return words, kinds, many
 
 
 class Ids(dict):
@@ -236,11 +245,14 @@ def averaged(tokens: DataFrame, flat: np.ndarray, turn: int) -> np.ndarray:
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of each document."""
     texts = text_of(docs)
-    words = vocabulary(texts)
+    words, kinds, many = vocabulary(texts)
     tokens = written(tokenised(texts, [w for w, _ in words]), "tokens")
     counts = np.zeros(SIZE)
     counts[: len(words)] = [n for _, n in words]
-    counts[WORDS:] = max(1.0, counts.sum() / HASHED / 4)
+    counts[WORDS:] = many
+    # A word of a hash class has an equal share of the class's probability.
+    share = np.zeros(SIZE)
+    share[WORDS:] = np.log(np.maximum(kinds, 1))
     flat = initial(counts)
     for turn in range(ROUNDS):
         flat = averaged(tokens, flat, turn)
@@ -250,7 +262,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         params = unpacked(shared.value)
         for doc_ids, lists in _lists(batches):
             ids, at = padded(lists)
-            found = np.concatenate([log_probs(params, ids[at[k : k + TOGETHER, None] + OFFSETS], ids[at[k : k + TOGETHER]]) for k in range(0, len(at), TOGETHER)] or [np.empty(0)])
+            found = np.concatenate([log_probs(params, ids[at[k : k + TOGETHER, None] + OFFSETS], ids[at[k : k + TOGETHER]]) - share[ids[at[k : k + TOGETHER]]] for k in range(0, len(at), TOGETHER)] or [np.empty(0)])
             sizes = np.array([len(x) for x in lists])
             sums = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])
             ends = np.cumsum(sizes)
