@@ -13,7 +13,8 @@ whose intersections are counted by one matrix product. So every two members have
 
 Defined results: texts without words (null, empty, white space) are alike by equal text only; texts of one to four words
 have one shingle, all their words; repeated rows are in one class; a null doc_id is given its class too. Class ids are the least doc_id
-of a class (null if it has none). Texts are told apart by a 64-bit hash.
+of a class (null if it has none). Texts are told apart by a 64-bit hash. Shingles are compared by 32 bits of theirs: of two
+sets of 20,000 by chance 0.1 shingles are taken as shared. Columns beside doc_id and text are carried by kept() as they are.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, table, text_of, written
+from .common import BROADCAST_ROWS, small_enough, table, text_of, written
 from .quality_rules import CACHED_WORDS, WordHashes, window_hashes
 
 REGISTERS, BANDS = 128, 32
 SIMILARITY = 0.8
 #: Link graphs of no more edges are walked in one task.
 BOUNDED_EDGES = 50_000
-#: Rows of a block, and shingles that a matrix product takes at once.
-BLOCK, COLUMNS = 256, 20_000
+#: Rows and bytes of a block, about, and shingles that a matrix product takes at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8_000_000, 20_000
 #: Texts and shingles that one numpy step takes together, about.
 STEP_TEXTS, STEP_SHINGLES = 400, 400_000
 SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
@@ -220,12 +221,18 @@ def crossed(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: floa
     groups = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("largest"))
     held = written(now.join(groups, "key").groupBy("largest", "node", "label").agg(F.count("*").alias("_")).drop("_"), "held")
     outside = F.col("label") != F.col("largest")
-    blocks = held.groupBy("largest").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(outside) / BLOCK).alias("query_blocks"))
-    full = held.join(blocks, "largest").join(nodes, "node").withColumn("at", F.xxhash64("node", F.lit(9)))
+    full = written(held.join(nodes, "node").select("largest", "node", "label", "shingles", F.xxhash64("node", F.lit(9)).alias("at")), "full")
+    many = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES))
+    size = F.length("shingles")
+    blocks = full.groupBy("largest").agg(many(F.count("*"), F.sum(size)).alias("blocks"), many(F.count_if(outside), F.sum(F.when(outside, size))).alias("query_blocks"))
+    blocks = F.broadcast(blocks) if small_enough(blocks, BROADCAST_ROWS) else blocks
+    full = full.join(blocks, "largest")
     piece = F.collect_list(F.struct("node", "label", "shingles"))
     queries = full.where(outside).groupBy("largest", F.pmod("at", "query_blocks").alias("q")).agg(piece.alias("queries"))
     every = full.groupBy("largest", F.pmod("at", "blocks").alias("m")).agg(piece.alias("members"))
-    return queries.join(every, "largest").select("queries", "members").mapInArrow(_crossed(least), "a long, b long").distinct()
+    # Numbers of blocks are paired first and meet their contents by block, so those of one class are dealt to many tasks.
+    turns = blocks.select("largest", F.explode(F.expr("sequence(0L, query_blocks - 1)")).alias("q"), "blocks").select("largest", "q", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("m"))
+    return turns.join(queries, ["largest", "q"]).join(every, ["largest", "m"]).select("queries", "members").mapInArrow(_crossed(least), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -247,19 +254,22 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and class_size (rows) of each row of docs."""
     found = written(classes(docs, least), "classes")
-    heads = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Written, so that both sides of the join are plain exchanges, whose hot labels Spark splits by itself.
+    heads = written(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "heads")
     return found.join(heads, "label").select("doc_id", "class_id", "class_size")
 
 
 def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: the one of the least doc_id, then of the least text hash."""
-    found = written(classes(docs, least), "classes")
-    heads = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count("*").alias("n"))
-    heads = heads.select(F.col("head.doc_id").alias("_doc_id"), F.col("head.node").alias("_node"))
-    own = docs.withColumn("_at", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_at") == F.col("_node")), "left_semi").drop("_at")
+    """docs with one row of each class: the one of the least doc_id (null last), then of the least text hash; of rows equal in both, any one."""
+    found = classes(docs, least)
+    heads = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"))
+    heads = written(heads.select(F.coalesce("head.doc_id", F.lit(0)).alias("id"), F.col("head.doc_id").isNull().alias("none"), F.col("head.node").alias("node")), "heads")
+    doc_id = F.col("doc_id").cast("long")
+    own = docs.select(F.struct("*").alias("doc"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    out = own.join(heads, ["id", "none", "node"], "left_semi")
     again = found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    out = out if again.isEmpty() else out.dropDuplicates(["id", "none", "node"])
+    return out.select("doc.*")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
