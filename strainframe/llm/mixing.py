@@ -1,12 +1,15 @@
 """Mixing sources to target weights (operator 2): iterative proportional fitting, with DataFrame functions only.
 
 Documents fall into cells of source, language and topic (the register of the text). The cells' token counts are raked until
-their sums by source, by language and by topic have the target shares. A document is kept with probability min(1, rate x
-raked / present tokens of its cell), by a hash of its id, and carries the weight that makes up for what sampling could not do.
+their sums by source, by language and by topic have the target shares. mix() keeps a document with probability min(1, rate x
+raked / present tokens of its cell), by a hash of its id, with the weight that makes up for what sampling could not do.
+sampled() returns documents without weights, so its fit is bounded: no cell is raked beyond what it has, and the sum is
+the largest at which every value of a target share of LEAST_SHARE or more can reach it; smaller ones are taken whole if need be.
 
 Targets are shares by value; without them a dimension's present shares to the power of its temperature, so large
 sources shrink. Defined results: a null or empty text has no tokens and topic "empty"; null source and lang are values of their own ("");
-cells without tokens are kept whole with weight 1; repeated rows are kept or dropped together; a value without a target keeps its share.
+cells without tokens are kept whole with weight 1; repeated rows are kept or dropped together; a value without a target keeps its share;
+one with the target 0 loses all its documents with tokens; targets that are all 0 give no documents with tokens; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -15,14 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_enough, table, written
+from .common import met, small_enough, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 ROUNDS = 10
 RATE = 1.0
 SEED = "mix"
+#: Cells that one task rakes; more are summed by value and joined with the sums.
 BOUNDED_CELLS = 100_000
+#: Passes of ROUNDS rounds end when all sums are as near to their goals, or after so many.
+TOLERANCE, PASSES = 1e-4, 3
+LEAST_SHARE = 0.02
 
 
 def topic(text: Column, tokens: Column) -> Column:
@@ -40,38 +47,67 @@ def measured(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "source", "lang", topic(F.col("text"), F.col("tokens")).alias("topic"), "tokens")
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with raked, their tokens after the fit."""
-    if small_enough(cells, BOUNDED_CELLS):
-        cells = cells.coalesce(1)  # so many rows at most: the windows below need no exchange
-    out = cells.withColumn("raked", F.col("tokens").cast("double"))
-    total = F.sum("share").over(Window.partitionBy(F.lit(0)))
-    goals = {}
+def goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, total: float) -> dict[str, DataFrame]:
+    """For each dimension its values' present tokens and goal shares, which sum to 1."""
+    out = {}
     for dim, power in TEMPERATURES.items():
         present = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("present"))
         given = (targets or {}).get(dim)
-        wish = F.col("present")
         if given:
-            wish = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in given.items() for x in kv)), F.col(dim)) * F.lit(1.0) * F.sum("present").over(Window.partitionBy(F.lit(0))), "present")
+            wish = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in given.items() for x in (k, float(v)))), F.col(dim)) * total, "present")
         else:
             wish = F.pow("present", F.lit(power))
-        goals[dim] = present.withColumn("share", wish).select(dim, (F.col("share") / total).alias(f"goal_{dim}"))
-    out = out.withColumn("all", F.sum("raked").over(Window.partitionBy(F.lit(0))))
-    for dim, goal in goals.items():
-        out = out.join(F.broadcast(goal) if small_enough(goal, BOUNDED_CELLS) else goal, dim)
-    for _ in range(rounds):
-        for dim in TEMPERATURES:
-            out = out.withColumn("raked", F.col("raked") * F.col(f"goal_{dim}") * F.col("all") / F.sum("raked").over(Window.partitionBy(dim)))
+        present = written(present.withColumn("wish", wish), "goals")
+        wishes = present.agg(F.sum("wish")).first()[0] or 0.0
+        out[dim] = present.select(dim, F.col("present").alias(f"present_{dim}"), (F.col("wish") / wishes if wishes else F.lit(0.0)).alias(f"goal_{dim}"))
+    return out
+
+
+def _summed(out: DataFrame, dim: str, together: bool) -> DataFrame:
+    """out with the sum of raked over each value of dim."""
+    if together:
+        return out.withColumn("_sum", F.sum("raked").over(Window.partitionBy(dim)))
+    return met(out, written(out.groupBy(dim).agg(F.sum("raked").alias("_sum")), "sums"), [dim], "inner", F.struct(*TEMPERATURES))
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
+    """cells (source, lang, topic, tokens) with raked, their tokens after the fit; bounded: none has more than it had."""
+    cells = written(cells, "cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    by = goals(cells, targets, total)
+    rate = 1.0
+    if bounded:
+        for dim, goal in by.items():
+            least = goal.where(F.col(f"goal_{dim}") >= LEAST_SHARE).agg(F.min(F.col(f"present_{dim}") / (F.col(f"goal_{dim}") * total))).first()[0]
+            rate = min(rate, least if least is not None else 1.0)
+    together = small_enough(cells, BOUNDED_CELLS)
+    out = (cells.coalesce(1) if together else cells).withColumn("raked", F.col("tokens").cast("double"))
+    for dim, goal in by.items():
+        out = met(out, goal.drop(f"present_{dim}"), [dim], "inner", F.struct(*TEMPERATURES))
+    # A value's goal is what it can give at most.
+    reach = lambda dim: F.least(F.col(f"goal_{dim}") * F.lit(total * rate), F.col(f"most_{dim}")) if bounded else F.col(f"goal_{dim}") * F.lit(total)
+    if bounded:
+        for dim in by:
+            out = _summed(out, dim, together).withColumnRenamed("_sum", f"most_{dim}")
+    for _ in range(PASSES):
+        for _ in range(rounds):
+            for dim in by:
+                fitted = F.when(F.col("_sum") > 0, F.col("raked") * reach(dim) / F.col("_sum")).otherwise(F.lit(0.0))
+                out = _summed(out, dim, together).withColumn("raked", F.least("tokens", fitted) if bounded else fitted).drop("_sum")
+        out = written(out, "raked")
+        off = [out.groupBy(dim).agg((F.abs(F.sum("raked") - F.first(reach(dim))) / F.lit(max(total, 1.0))).alias("off")).agg(F.max("off")).first()[0] for dim in by]
+        if max(x or 0.0 for x in off) < TOLERANCE:
+            break
+        out = out.coalesce(1) if together else out
     return out.select("source", "lang", "topic", "tokens", "raked")
 
 
-def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
+def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, bounded: bool = False) -> DataFrame:
     """source, lang and topic of each cell, and its documents' probability and weight."""
-    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    fitted = written(raked(cells.where("tokens > 0"), targets), "cells")
-    factor = F.col("raked") / F.col("tokens")
-    p = F.least(F.lit(1.0), rate * factor)
-    return fitted.select("source", "lang", "topic", p.alias("p"), (rate * factor / p).alias("weight"))
+    fitted = raked(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), targets, bounded=bounded)
+    factor = F.lit(rate) * F.col("raked") / F.col("tokens")
+    p = F.least(F.lit(1.0), factor)
+    return fitted.select("source", "lang", "topic", p.alias("p"), F.when(p > 0, factor / p).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def chance(seed: str = SEED) -> Column:
@@ -82,20 +118,19 @@ def chance(seed: str = SEED) -> Column:
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """The sampled documents: doc_id, source, lang, topic, tokens and weight."""
     rows = written(measured(docs), "measured")
-    cells = probabilities(rows, targets, rate)
-    cells = F.broadcast(cells) if small_enough(cells, BOUNDED_CELLS) else cells
-    out = rows.join(cells, ["source", "lang", "topic"], "left").withColumns({"p": F.coalesce("p", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(1.0))})
+    out = met(rows, probabilities(rows, targets, rate), ["source", "lang", "topic"], "left", F.col("doc_id"))
+    out = out.withColumns({"p": F.coalesce("p", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(1.0))})
     return out.where(chance() < F.col("p")).select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"))
 
 
-def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
-    """docs, less the documents that the sample leaves out."""
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """docs, less the documents that a bounded fit leaves out: what stays has the target shares without weights."""
     rows = written(measured(docs), "measured")
-    cells = probabilities(rows, targets, rate).select("source", "lang", "topic", "p").select(*(F.col(c).alias(f"_{c}") for c in ("source", "lang", "topic", "p")))
-    cells = F.broadcast(cells) if small_enough(cells, BOUNDED_CELLS) else cells
     text = F.coalesce("text", F.lit(""))
-    own = docs.withColumn("_topic", topic(text, F.regexp_count(text, F.lit(WORD)).cast("long"))).withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(""))})
-    return own.join(cells, ["_source", "_lang", "_topic"], "left").where(chance() < F.coalesce("_p", F.lit(1.0))).select(*docs.columns)
+    dims = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")} | {"topic": topic(text, F.regexp_count(text, F.lit(WORD)).cast("long"))}
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), *(v.alias(k) for k, v in dims.items()))
+    out = met(own, probabilities(rows, targets, bounded=True), ["source", "lang", "topic"], "left", F.col("doc_id"))
+    return out.where(chance() < F.coalesce("p", F.lit(1.0))).select("doc.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
