@@ -1,12 +1,13 @@
 """HTML extraction (operator 6): a site style tree for each host.
 
-The pages of a host are merged by the paths of their elements (tag and class). For each path of the merged tree,
+The pages of a host are merged by the paths of their elements (tag and class). For each container of the merged tree,
 content importance comes from the entropy of its contents over the host's pages (a content on every page says nothing,
-one on a single page says most), and presentation importance from the entropy of its children's tag sequences. Branches of
-low importance are removed from each page, beside those that say themselves what they are (nav, footer, class="ad", ...).
-Copies of a page count as one page of their host. html, body, an article or main element and what holds one on any page of the host
-are never of low importance, branches inside an article can be; where a page has an article, the text is what it holds. A page
-that would lose all its text to the tree keeps it, less its noise.
+one on a single page says most), and presentation importance from the entropy of its children's tag sequences. Containers of
+low importance are removed from each page, beside those that say themselves what they are (nav, footer, class="ad", ...);
+inside an article fewer words say so. Copies of a page count as one page of their host. Paragraphs, headings and the like, html, body,
+an article or main element and what holds one on any page of the host are never of low importance; containers inside an article can be.
+Where a page has an article, the text is what it holds. A page that would lose all its text to the tree keeps it, less its noise.
+Elements nested below DEPTH containers are judged with the container at that depth.
 
 Text: character references decoded, white space in a block as one space, blocks in page order joined by one line
 feed. Defined results: null and empty html give an empty text; a null or bad url is a host of its own kind (empty); repeated
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, table, written
+from .common import BROADCAST_ROWS, met, small_enough, table, written
 
 # Element names of HTML by kind, and words that class, id and role use for what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,19 +34,24 @@ NOISE_TAGS = frozenset("head nav footer aside form button select textarea iframe
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement banner nav navbar navigation menu sidebar footer header cookie cookies consent notice popup
     modal promo sponsor sponsored share sharing social related comment comments reply respond disqus breadcrumb breadcrumbs newsletter subscribe signup
     login search form widget toolbar pagination pager skip alert masthead copyright contentinfo complementary dialog""".split())
+#: Of these, words that an article may use for its own parts.
+OWN_WORDS = frozenset("related reply respond header search alert login widget share sharing social skip pagination pager form dialog complementary".split())
+#: Elements that are text: no word and no tree removes them.
+TEXTUAL = frozenset("html body p h1 h2 h3 h4 h5 h6 blockquote pre li tr td th tbody thead dd dt figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(["article", "main"])
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*(?:>|\Z)""", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
-LEAST_PAGES, LEAST_IMPORTANCE, PRESENTATION = 4, 0.35, 0.1
+LEAST_PAGES, LEAST_IMPORTANCE, PRESENTATION, DEPTH = 2, 0.35, 0.1, 64
 #: Copied pages whose counts are broadcast.
 BROADCAST_PAGES = 200_000
 
 
-def _key(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _key(text: str, above: int = 0) -> int:
+    """A 64-bit hash of a text, or of an element (tag and class) below the path of a hash."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), above & (2**64 - 1)) - (1 << 63)
 
 
 def _noise(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
@@ -53,7 +60,8 @@ def _noise(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     if attrs and tag not in MAIN and tag not in ("html", "body"):
         for m in NAMED.finditer(attrs):
             value = (m[2] or m[3] or m[4] or "").lower()
-            if not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            said = NOISE_WORDS.intersection(re.split(r"[^a-z0-9]+", value))
+            if said and not (in_main and (tag in TEXTUAL or said <= OWN_WORDS)):
                 bad = True
             if m[1].lower() == "class":
                 style = value
@@ -61,30 +69,32 @@ def _noise(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     return bad, style
 
 
-def parse(html: str, low: frozenset = frozenset(), everything: bool = False) -> tuple[list[tuple[str, str]], list[tuple[str, tuple]], bool]:
-    """Blocks (path, text) that no noise or low branch holds, elements (path, tags of children), and whether an article or main was met.
+def parse(html: str, low: frozenset = frozenset(), everything: bool = False) -> tuple[list[tuple[int, str]], list[tuple], set[int]]:
+    """Blocks (path, text) that no noise or low branch holds, elements (path, tags of children, containers they are in), and the paths of what holds an article or main.
 
-    With such an element the blocks are those in it. everything: all blocks, noise or not, for the site's tree.
+    With such an element the blocks are those in it. everything: all blocks, noise or not, for the site's tree. Paths are hashes.
     """
-    blocks: list[tuple[str, str, bool]] = []
-    nodes: list[tuple[str, tuple]] = []
-    stack: list[tuple[str, str, bool, list]] = []  # tag, path, noise, tags of children
+    blocks: list[tuple[int, str, bool]] = []
+    nodes: list[tuple] = []
+    stack: list[tuple] = []  # tag, path, noise, tags of children, containers
+    holders: set[int] = set()
     text: list[str] = []
     noise = mains = 0
-    met = False
+    met_main = False
 
     def flush() -> None:
         if text:
             if not noise and (block := " ".join(entities.unescape("".join(text)).split())):
-                blocks.append((stack[-1][1] if stack else "", block, mains > 0))
+                blocks.append((stack[-1][1] if stack else 0, block, mains > 0))
             text.clear()
 
     def pop() -> None:
         nonlocal noise, mains
-        tag, path, bad, children = stack.pop()
+        tag, path, bad, children, inside = stack.pop()
         noise -= bad
         mains -= tag in MAIN
-        nodes.append((path, tuple(children)))
+        if everything:
+            nodes.append((path, tuple(children), inside))
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -115,51 +125,45 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
             pop()
         bad, style = _noise(tag, m[4], mains > 0)
         bad = bad and not everything
-        path = f"{stack[-1][1] if stack else ''}/{tag}" + (f".{style}" if style else "")
-        if low and not bad and tag not in MAIN and _key(path) in low:
+        path = _key(f"{tag}.{style}", stack[-1][1] if stack else 0)
+        judged = tag not in TEXTUAL and tag not in MAIN
+        if judged and not bad and path in low:
             bad = True
         if stack and (not stack[-1][3] or stack[-1][3][-1] != tag):
             stack[-1][3].append(tag)
+        if tag in MAIN:
+            holders.add(path)
+            holders.update(x[1] for x in stack)
         if not m[4].endswith("/"):
-            stack.append((tag, path, bad, []))
+            inside = stack[-1][4] if stack else ()
+            stack.append((tag, path, bad, [], (*inside, path) if judged and len(inside) < DEPTH else inside))
             noise += bad
             mains += tag in MAIN
-            met = met or tag in MAIN and not noise
+            met_main = met_main or tag in MAIN and not noise
     if at < len(html) and not noise:
         text.append(html[at:])
     flush()
     while stack:
         pop()
-    return [(p, t) for p, t, inside in blocks if inside or not met or everything], nodes, met
+    return [(p, t) for p, t, inside in blocks if inside or not met_main or everything], nodes, holders
 
 
 CONTENT, CHILDREN, PAGE, HOLDS = 0, 1, 2, 3
 STYLED = pa.schema([("host", pa.int64()), ("path", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("above", pa.list_(pa.int64())), ("n", pa.float64())])
 
 
-def _tag(part: str) -> str:
-    return part.split(".", 1)[0]
-
-
 def _styled(batches):
-    """The site trees' contents and children's tags by host and path, each counted once a page, of whose copies each counts in part; above: the path and its ancestors below body."""
+    """The site trees' contents and children's tags by host and path, each counted once a page, of whose copies each counts in part; above: the containers of a path."""
     for batch in batches:
-        rows: dict[tuple, float] = {}
-        above: dict[str, list[int]] = {}
+        rows: dict[tuple, float] = defaultdict(float)
+        above: dict[int, tuple] = {}
         for host, html, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            blocks, nodes, _ = parse(html, everything=True)
-            found = {(path, CONTENT, _key(text)) for path, text in blocks} | {(path, CHILDREN, _key(" ".join(children))) for path, children in nodes}
-            for path in {path for path, _ in nodes}:
-                parts = path.split("/")
-                if _tag(parts[-1]) in MAIN:
-                    found |= {("/".join(parts[: i + 1]), HOLDS, 0) for i in range(1, len(parts))}
-            for x in found | {("", PAGE, 0)}:
-                rows[host, *x] = rows.get((host, *x), 0.0) + 1 / copies
-        for _, path, kind, _ in rows:
-            if kind == CHILDREN and path not in above:
-                parts = path.split("/")
-                above[path] = [_key("/".join(parts[: i + 1])) for i in range(1, len(parts)) if parts[i] not in ("html", "body")]
-        cols = list(zip(*((h, _key(p), k, f, above[p] if k == CHILDREN else None, n) for (h, p, k, f), n in rows.items()), strict=True)) or [[]] * 6
+            blocks, nodes, holders = parse(html, everything=True)
+            found = {(path, CONTENT, _key(text)) for path, text in blocks} | {(path, CHILDREN, _key(" ".join(children))) for path, children, _ in nodes}
+            for x in found | {(path, HOLDS, 0) for path in holders} | {(0, PAGE, 0)}:
+                rows[host, *x] += 1 / copies
+            above |= {path: inside for path, _, inside in nodes}
+        cols = list(zip(*((h, p, k, f, above[p] if k == CHILDREN else None, n) for (h, p, k, f), n in rows.items()), strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STYLED, strict=True)], schema=STYLED)
 
 
@@ -173,7 +177,7 @@ def with_copies(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """host and the paths of its branches of low importance (pages: host as a 64-bit hash, html)."""
+    """host and path of each branch of low importance (pages: host as a 64-bit hash, html)."""
     rows = with_copies(pages).mapInArrow(_styled, "host long, path long, kind int, feature long, above array<long>, n double")
     found = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"), F.first("above", ignorenulls=True).alias("above"))
     logs = F.when((F.col("kind") == CONTENT), F.log("n"))
@@ -187,26 +191,48 @@ def low_branches(pages: DataFrame) -> DataFrame:
     content = 1 - F.col("logs") / F.col("contents") / F.log("m")
     presentation = F.least(F.lit(1.0), (F.log("seen") - F.col("styles") / F.col("seen")) / F.log("m"))
     importance = (1 - PRESENTATION) * content + PRESENTATION * F.coalesce(presentation, F.lit(0.0))
-    return rated.where(importance < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_list("path").alias("low"))
+    return rated.where(importance < LEAST_IMPORTANCE).select("host", "path")
 
 
-def _extracted(batches):
+def _paths(batches):
+    """page, host and path of each container of each page."""
     for batch in batches:
-        texts = []
-        for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            blocks = parse(html, frozenset(low or ()))[0] or (parse(html)[0] if low else [])
-            texts.append("\n".join(t for _, t in blocks))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        found = [(page, host, path) for page, host, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for path in {p for _, _, inside in parse(html, everything=True)[1] for p in inside}]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [[]] * 3)], names=["page", "host", "path"])
+
+
+def _texts(htmls: list[str], lows: list) -> tuple[list[str], list[int]]:
+    texts = []
+    for html, low in zip(htmls, lows, strict=True):
+        blocks = parse(html, frozenset(low or ()))[0] or (parse(html)[0] if low else [])
+        texts.append("\n".join(t for _, t in blocks))
+    return texts, [len(t) for t in texts]
 
 
-def extract(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
-    low = low_branches(own.select("host", "html"))
-    if small_enough(low, broadcast_hosts):
-        low = F.broadcast(low)
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    low = written(low_branches(own.select("host", "html")), "low")
+    if small := small_enough(low, BROADCAST_ROWS):
+        hosts = defaultdict(set)
+        for h, path in low.collect():  # BROADCAST_ROWS pairs of numbers at most
+            hosts[h].add(path)
+        shared = pages.sparkSession.sparkContext.broadcast(dict(hosts))
+    else:
+        # Each page with its own low branches, however many its host has.
+        own = own.withColumn("page", F.xxhash64("host", "html"))
+        paths = own.select("page", "host", "html").mapInArrow(_paths, "page long, host long, path long").distinct()
+        mine = met(paths, low, ["host", "path"], "left_semi", F.col("page")).groupBy("page").agg(F.collect_list("path").alias("low"))
+        own = own.join(mine, "page", "left")
+
+    def extracted(batches):
+        for batch in batches:
+            keys = batch.column(3).to_pylist()
+            texts, sizes = _texts(batch.column(2).to_pylist(), [shared.value.get(h) for h in keys] if small else keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return own.select("page_id", "url", "html", "host" if small else "low").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

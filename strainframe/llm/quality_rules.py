@@ -5,7 +5,7 @@ that hold a line are counted. Copies of one text are one document here: a docume
 of its whole text, so texts that differ at all count each. Lines found in more documents than the limits allow are
 removed, and a document that keeps too little is rejected.
 
-Defined results: a null text is empty and has no words, so it fails the base rules; a null host is a host of its own;
+Defined results: a null text is empty and has no words, so it fails the base rules; a null host and an empty one are one host;
 repeated rows are judged alike, row by row; columns other than doc_id, text and the host are ignored.
 """
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import met, table, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -106,7 +106,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.xxhash64(doc_id, text).alias("text_row")).mapInArrow(_measured, SCHEMA)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least_documents: int = 40, share_of_host: float = 0.02, least_words: int = 10, most_repeated: int = 20, least_left: int = 5, least_kept: float = 0.2, with_row: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least_documents: int = 10, share_of_host: float = 0.002, least_words: int = 10, most_repeated: int = 20, least_left: int = 5, least_kept: float = 0.2, with_row: bool = False) -> DataFrame:
     """One row per row of docs: the base counts, words_left, base_failed and kept; with_row adds text_row, xxhash64 of doc_id and text.
 
     A line is removed where more than least_documents documents of its host, and more than share_of_host of them,
@@ -121,7 +121,8 @@ def quality_rules(docs: DataFrame, host: str = "source", least_documents: int =
     # A row that occurs more than once has its lines once here: rows of one hash have the same text and host.
     once = lines.groupBy("row", "host", "h").agg((F.sum("n") / F.count("*")).alias("n"), F.count("*").alias("times"))
     rows = base.groupBy("row").agg(F.count("*").alias("same"))
-    removed = once.join(common, ["host", "h"], "left_semi").groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("gone")).join(rows, "row").select("row", F.round(F.col("gone") / F.col("same")).cast("long").alias("removed"))
+    gone = met(once, written(common, "common"), ["host", "h"], "left_semi", F.col("row"))
+    removed = gone.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("gone")).join(rows, "row").select("row", F.round(F.col("gone") / F.col("same")).cast("long").alias("removed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return base.join(removed, "row", "left").select(

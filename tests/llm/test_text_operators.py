@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strainframe.llm import fingerprints, html_extraction, line_dedup, lm_scoring, mixing, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_codec
+from strainframe.llm import common, fingerprints, html_extraction, line_dedup, lm_scoring, mixing, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_codec
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -202,8 +202,24 @@ def test_html(spark):
 def test_site_tree_finds_low_branches(spark):
     page = "<html><body><div class='banner1'>Only here {0}</div><div class='x'>{0} words of its own {0}</div><div class='y'>the same words</div></body>"
     df = spark.createDataFrame([(1, page.format(i)) for i in range(10)] + [(2, page.format(0))], "host long, html string")
-    low = {r["host"]: set(r["low"]) for r in html_extraction.low_branches(df).collect()}
-    assert low == {1: {html_extraction._key("/html/body/div.y")}}
+    low = {(r["host"], r["path"]) for r in html_extraction.low_branches(df).collect()}
+    path = 0
+    for part in ("html.", "body.", "div.y"):
+        path = html_extraction._key(part, path)
+    assert low == {(1, path)}
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_the_tree_removes_what_no_word_names(spark, monkeypatch, rows):
+    """Pages without article: what every page of the host has goes by the tree alone, and stays on a host of one page; a deep page is read whole."""
+    monkeypatch.setattr(html_extraction, "BROADCAST_ROWS", rows)
+    page = "<html><body><div class='q1'><ul><li>Home</li><li>Shop</li></ul></div><div class='q2'><p>Story {0} of many</p><div class='reply'>so {0} said</div></div><div class='q3'>Call us any time</div></body></html>"
+    data = [(i, f"http://a.com/{i}", page.format(i)) for i in range(3)] + [(10, "http://b.com/", page.format(10)), (11, "http://c.com/", "<div>" * 3000 + "deep"), (12, "http://a.com/0", page.format(0))]
+    data += [(20 + i, f"http://d.com/{i}", f"<article><p class='reply'>Text {i}</p><div class='related'>own part {i}</div><div class='ad'>buy</div></article>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (0, 1, 2, 12)] == ["Story 0 of many", "Story 1 of many", "Story 2 of many", "Story 0 of many"]
+    assert got[10] == "Home\nShop\nStory 10 of many\nCall us any time" and got[11] == "deep"
+    assert [got[20 + i] for i in range(2)] == [f"Text {i}\nown part {i}" for i in range(2)]
 
 
 def test_copies_of_pages_keep_their_text(spark):
@@ -342,10 +358,29 @@ def test_mixing_reaches_targets(spark, docs, empty):
     sample = mixing.mix(df, targets).toPandas()
     weighed = (sample.tokens * sample.weight).groupby(sample.source).sum()
     assert abs(weighed["big"] / weighed.sum() - 0.4) < 0.06 and len(sample) < 3000
-    assert {r["doc_id"] for r in mixing.sampled(df, targets).collect()} == set(sample.doc_id)
+    # Without weights: the sample itself has the target shares.
+    ids = {r["doc_id"] for r in mixing.sampled(df, targets).collect()}
+    left = mixing.measured(df).toPandas().query("doc_id in @ids")
+    for dim, goals in targets.items():
+        got = left.groupby(dim)["tokens"].sum() / left["tokens"].sum()
+        assert all(abs(got[k] - g) < 0.05 for k, g in goals.items()), got
+    none = mixing.mix(df, {"lang": {"de": 0.0, "en": 1.0}}).toPandas()
+    assert set(none.lang) == {"en"}
     assert mixing.mix(docs).count() > 0 and mixing.mix(empty).count() == 0 and mixing.sampled(empty).count() == 0
 
 
+def test_mixing_of_many_cells(spark, monkeypatch):
+    """Cells beyond one task, and joins beyond a broadcast, are raked to the same result."""
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(f"s{i}", rng.choice("ab"), rng.choice("xyz"), rng.randint(1, 900)) for i in range(30)], "source string, lang string, topic string, tokens long")
+    fit = lambda: {(r["source"], r["lang"], r["topic"]): round(r["raked"], 6) for r in mixing.raked(cells, rounds=3).collect()}
+    monkeypatch.setattr(mixing, "PASSES", 1)
+    expected = fit()
+    monkeypatch.setattr(mixing, "BOUNDED_CELLS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert fit() == expected
+
+
 def test_sentencepiece_equals_the_library(spark, docs, texts, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     m = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
