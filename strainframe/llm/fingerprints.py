@@ -2,7 +2,7 @@
 
 Common words are anchors. The content words that follow an anchor form its chain, and anchor and chain hash to one
 signature; a fingerprint is the set of a text's signatures. Two fingerprints compare by Jaccard likeness, which set
-lengths bound from above. Content words of a certain hash are anchors too, so texts without common words have signatures.
+lengths bound from above. In texts of few common words content words of a certain hash are anchors too.
 
 Defined results: a null text is empty, with an empty fingerprint; a text of no word has one signature, its own hash;
 two empty fingerprints are alike (1.0), an empty and another are not (0.0). Documents follow each other by descending
@@ -11,11 +11,14 @@ doc_id, then by descending text hash; a null doc_id comes last; the last is foll
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_enough, table, text_of
+from .common import table, text_of
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """the of and to in is that it for was on are as with be by this from or an at
@@ -23,13 +26,12 @@ ANCHORS = """the of and to in is that it for was on are as with be by this from
     le la les et des une du est que dans qui par pour sur pas au avec
     el los las del se por con una su para al lo como""".split()
 MARK = "\u0001"
-#: Content words of a chain; one content word in HASHED is an anchor by its hash.
-CHAIN, HASHED = 2, 8
+#: Content words of a chain. A text with fewer than SPOTS common words has one content word in HASHED as anchors too, by its hash.
+CHAIN, SPOTS, HASHED = 2, 8, 8
 #: Longer runs of letters, as in scripts without spaces, count as words of so many.
 PIECE = 20
-#: Documents that share a window partition, about.
-TOGETHER = 512
-BROADCAST_ROWS = 200_000
+#: Documents of a range of ids, about, and ranges at most.
+TOGETHER, RANGES = 2048, 16_384
 
 
 def _words(text: Column) -> Column:
@@ -42,15 +44,17 @@ def _words(text: Column) -> Column:
 
 def _signatures(words: Column, text: Column) -> Column:
     content = lambda w: F.substring_index(w, MARK, 1)
-    spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.contains(F.get(words, i), F.lit(MARK)) | ((content(F.get(words, i)) != "") & (F.pmod(F.xxhash64(content(F.get(words, i))), F.lit(HASHED)) == 0)))
-    chain = lambda i: F.hash(F.substring_index(F.get(words, i), MARK, -1), *(content(F.get(words, i + k)) for k in range(1, CHAIN + 1)))
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(F.transform(spots, chain))))
+    common = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.contains(F.get(words, i), F.lit(MARK)))
+    hashed = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.contains(F.get(words, i), F.lit(MARK)) | ((content(F.get(words, i)) != "") & (F.pmod(F.xxhash64(content(F.get(words, i))), F.lit(HASHED)) == 0)))
+    chain = lambda i: F.xxhash64(F.substring_index(F.get(words, i), MARK, -1), *(content(F.get(words, i + k)) for k in range(1, CHAIN + 1)))
+    few = F.size(words) - F.size(F.filter(words, lambda w: ~F.contains(w, F.lit(MARK)))) < SPOTS
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(F.transform(F.when(few, hashed).otherwise(common), chain))))
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the sorted set of the text's signatures. The words are a column of their own, so they are split once."""
     found = df.withColumn("_words", _words(F.col(text))).withColumn("_found", _signatures(F.col("_words"), F.col(text)))
-    return found.withColumn(out, F.when((F.size("_found") == 0) & (F.col(text) != ""), F.array(F.hash(text))).otherwise(F.col("_found"))).drop("_words", "_found")
+    return found.withColumn(out, F.when((F.size("_found") == 0) & (F.col(text) != ""), F.array(F.xxhash64(text))).otherwise(F.col("_found"))).drop("_words", "_found")
 
 
 def likeness(a: str, b: str, least: float = 0.0) -> Column:
@@ -61,34 +65,38 @@ def likeness(a: str, b: str, least: float = 0.0) -> Column:
     return F.when((m == 0) & (n == 0), F.lit(1.0)).when((m == 0) | (n == 0) | (F.least(m, n) < least * F.greatest(m, n)), F.lit(0.0)).otherwise(full)
 
 
-def _next_higher(heads: DataFrame, bound: int = 1024) -> DataFrame:
-    """For each bucket the next bucket above it that has documents; the lowest follows the highest."""
-    group = F.floor(F.col("bucket") / bound)
-    inner = heads.withColumn("_g", group).withColumn("_next", F.lead("bucket").over(Window.partitionBy("_g").orderBy("bucket")))
-    first = inner.groupBy("_g").agg(F.min("bucket").alias("_first"))
-    # One row for each group of `bound` buckets of TOGETHER documents: small enough for one window.
-    order = Window.orderBy("_g")
-    after = first.withColumn("_after", F.coalesce(F.lead("_first").over(order), F.min("_first").over(Window.partitionBy())))
-    return inner.join(after.select("_g", "_after"), "_g").select("doc_id", F.coalesce("_next", "_after").alias("into"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with key, which ascends as documents follow each other."""
+    doc_id = F.col("doc_id")
+    return docs.withColumn("key", F.struct(doc_id.isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not(doc_id), F.lit(0)).cast("long").alias("down"), F.bitwise_not(F.xxhash64("text")).alias("hash")))
+
+
+def bounds_of(docs: DataFrame) -> list[dict]:
+    """The least key of each of the ranges to which Spark's sampling deals the documents' keys: RANGES at most, whatever the input."""
+    keys = _keyed(docs.select("doc_id", "text")).select("key.*")
+    parts = max(1, min(RANGES, -(-docs.count() // TOGETHER)))
+    least = keys.repartitionByRange(parts, "none", "down", "hash").groupBy(F.spark_partition_id()).agg(F.min(F.struct("none", "down", "hash")).alias("key")).collect()
+    return sorted((r["key"].asDict() for r in least), key=lambda k: (k["none"], k["down"], k["hash"]))
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     """docs (doc_id, text, carried) with next_<column> of the document that follows by descending doc_id.
 
-    Documents are dealt to buckets of neighbouring ids; the highest of each bucket goes to the next bucket above as a guest too.
+    Ranges of keys are window partitions, which no uneven, repeated or null ids fill up; the first document of a range goes
+    to the end of the range before it as a guest too. Only rows equal in doc_id and text are bound to share a range.
     """
-    least, most, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-(most - least + 1) * TOGETHER // max(n, 1))) if n and least is not None else 1
-    low = (least or 0) // width - 1
-    bucketed = docs.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / F.lit(width)), F.lit(low)).cast("long")).withColumn("_id", F.coalesce("doc_id", F.lit((least or 0) - 1)))
-    heads = bucketed.groupBy("bucket").agg(F.max("_id").alias("doc_id"))
-    targets = _next_higher(heads).select(F.col("doc_id").alias("_id"), "into")
-    if small_enough(targets, BROADCAST_ROWS):
-        targets = F.broadcast(targets)
-    guests = bucketed.join(targets, "_id").withColumn("bucket", F.col("into")).drop("into").withColumn("guest", F.lit(True))
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("_id"), F.desc("_hash"))
-    every = bucketed.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("_hash", F.xxhash64("text"))
-    return every.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", *carried))).where(~F.col("guest")).drop("guest", "bucket", "_id", "_hash")
+    bounds = bounds_of(docs)
+    step = max(1, math.isqrt(len(bounds)))
+    of = "struct<none:int,down:bigint,hash:bigint>"
+    chunks = F.from_json(F.lit(json.dumps([bounds[i : i + step] for i in range(0, len(bounds), step)])), f"array<array<{of}>>")
+    first = F.from_json(F.lit(json.dumps(bounds[::step])), f"array<{of}>")
+    below = lambda of: F.size(F.filter(of, lambda b: b <= F.col("key")))
+    placed = _keyed(docs).withColumn("_chunk", below(first) - 1).withColumn("_chunk_bounds", F.get(chunks, F.col("_chunk"))).withColumn("_at", below(F.col("_chunk_bounds")) - 1)
+    own = F.col("_chunk") * step + F.col("_at")
+    into = F.when(F.get("_chunk_bounds", F.col("_at")) == F.col("key"), F.array(own, F.pmod(own - 1, F.lit(max(1, len(bounds)))))).otherwise(F.array(own))
+    every = placed.select("doc_id", "text", *carried, "key", F.posexplode_outer(into).alias("guest", "range"))
+    order = Window.partitionBy("range").orderBy("guest", "key")
+    return every.select("doc_id", "text", *carried, "guest", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", *carried))).where("guest = 0").drop("guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -138,15 +138,43 @@ def test_fingerprints(docs, texts, spark, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
-def test_fingerprint_neighbours_over_buckets(spark):
-    ids = [1, 2, 3, 900, 5000, 5001, 70_000, 1_000_000]
-    df = spark.createDataFrame([(i, f"t{i}", "en", "s", 1) for i in ids], SCHEMA).select("doc_id", "text")
-    before, fingerprints.TOGETHER = fingerprints.TOGETHER, 2
-    try:
-        got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df).collect()}
-    finally:
-        fingerprints.TOGETHER = before
-    assert got == {i: f"t{ids[k - 1]}" for k, i in enumerate(ids)}
+def test_fingerprint_neighbours_over_ranges(spark, monkeypatch):
+    """Extreme, uneven, repeated and null ids in ranges of two documents."""
+    ids = [-9_200_000_000_000_000_000, 1, 2, 3, 3, 3, 3, 900, 5000, 70_000, 4 * 10**18, 9_200_000_000_000_000_000, None, None]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    monkeypatch.setattr(fingerprints, "TOGETHER", 2)
+    assert 3 < len(fingerprints.bounds_of(df)) <= len(ids)
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in fingerprints.with_next(df).collect()}
+    rows = df.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(rows, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    assert got == {(r["doc_id"], r["text"]): order[(k + 1) % len(order)]["text"] for k, r in enumerate(order)}
+
+
+def test_fingerprints_against_plain_signatures(spark):
+    """Signatures and likenesses by a plain reading of the method: the last common word of each run, and the two content words that follow it."""
+    rng = random.Random(5)
+    base = [rng.choice([*fingerprints.ANCHORS, *WORDS]) for _ in range(300)]
+    given = [" ".join(rng.choice([*fingerprints.ANCHORS, *WORDS]) if rng.random() < k / 30 else w for w in base[: rng.randint(60, 300)]) for k in range(30)]
+
+    def plain(t):
+        spots, content = [], []
+        for w in t.lower().split(" "):
+            if w not in fingerprints.ANCHORS:
+                content.append(w)
+            elif spots and spots[-1][1] == len(content):
+                spots[-1] = (w, len(content))
+            else:
+                spots.append((w, len(content)))
+        return {(w, *content[at : at + 2]) for w, at in spots}
+
+    got = by_id(fingerprints.fingerprints(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")))
+    sets = [plain(t) for t in given]
+    for i in range(len(given)):
+        half, after = len(given[i]) // 2, given[i - 1]
+        edited = plain((given[i][: len(given[i]) - half] + after[:half]).strip(" "))
+        assert len(got[i]["fingerprint"].split(" ")) == len(sets[i]) and len(got[i]["edited_fingerprint"].split(" ")) == len(edited)
+        assert got[i]["near_next"] == pytest.approx(len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]))
+        assert got[i]["near_edited"] == pytest.approx(len(sets[i] & edited) / len(sets[i] | edited))
 
 
 def base_spans(t):
