@@ -89,7 +89,8 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
     rank = F.col("w") * (1 << 24) + F.col("token").bitwiseAND(F.lit((1 << 24) - 1))
     chosen = tokens.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("w")).groupBy("leaf", "pos").agg(F.max_by("token", rank).alias("constant"))
     template = chosen.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "constant")))["constant"].alias("constants"))
-    both = met(texts, written(template, "constants"), ["leaf"], "inner", F.col("h"))
+    # Rows as long as lines: not broadcast by their number. Spark splits the rows of a hot leaf, as both sides are plain exchanges.
+    both = texts.join(written(template, "constants"), "leaf")
     same = F.size(F.filter(F.zip_with("words", "constants", lambda a, b: a == b), lambda x: x))
     return both.where(same >= (1 - DIFFERENT) * F.size("words")).select("h", "leaf")
 
