@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import dimension
 from .scalars import AA_CODES, NT_CODES, lookup
 
 NAMES = r"^(\^*)(?:([A-Za-z0-9_.-]+):)?(?:([A-Za-z0-9_.-]+):)?"
@@ -61,7 +62,8 @@ def matched(profiles: DataFrame, facts: DataFrame, entity: str = "sample") -> Da
     need = wanted.where(~F.col("negated")).select("profile", "member").distinct().groupBy("profile").agg(F.count("*").alias("need"))
     keys = wanted.select("profile", "member", "negated", "kind", "what", "replicon", "gene", F.when(F.col("what") != "del", F.col("ref")).alias("k_ref"), F.when(F.col("what") == "del", F.col("first") - 1).otherwise(F.col("last") - 1).alias("k_start"), F.col("last").alias("k_end"), F.explode("alts").alias("k_alt"))
     f = facts.withColumn("k_alt", F.trim(F.coalesce("alt", F.lit("")))).alias("f")
-    k = keys.alias("k")
+    # A watch-list is small beside the facts, one mutation of which nearly all samples may carry: broadcast, facts stay where they are.
+    k = dimension(keys).alias("k")
     on = (F.col("f.kind") == F.col("k.kind")) & (F.col("f.start") == F.col("k_start")) & (F.col("f.end") == F.col("k_end")) & (F.col("f.k_alt") == F.col("k.k_alt"))
     on = on & (F.col("k.gene").isNull() | (F.col("f.gene") == F.col("k.gene"))) & (F.col("k.replicon").isNull() | (F.col("f.replicon") == F.col("k.replicon"))) & (F.col("k_ref").isNull() | (F.col("f.ref") == F.col("k_ref")))
     hits = f.join(k, on).select(F.col(f"f.{entity}").alias(entity), "profile", "member", "negated").distinct()

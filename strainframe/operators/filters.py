@@ -15,6 +15,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.notation import CHANGE, DELETION
 from ..functions.scalars import AA_CODES, NT_CODES, deleted
 
 LOOKUPS: dict[str, Callable[[Column, object], Column]] = {
@@ -73,6 +74,8 @@ class Tables:
     placed: DataFrame | None = None  # entity, replicon, reference
     lineages: DataFrame | None = None  # lineage, parent, reference
     eav_columns: dict[str, str] = field(default_factory=dict)  # property: value column
+    genes: frozenset[str] = frozenset()  # names that notations may use
+    replicons: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -162,6 +165,7 @@ def leaf(t: Tables, f: dict, reference: str | None = None) -> Leaf:
         "Sample": lambda: Leaf(column=F.col(t.entity).isin(*f["value"]) if len(f["value"]) <= 1000 else None, members=None if len(f["value"]) <= 1000 else t.samples.sparkSession.createDataFrame([(x,) for x in f["value"]], t.samples.select(t.entity).schema)),
         "Replicon": lambda: Leaf(fact="placed", rows=F.col("replicon") == f["accession"]),
         "Reference": lambda: Leaf(fact="placed", rows=F.col("reference") == f["accession"]),
+        "Lineages": lambda: _sublineages(t, f, reference),
         "Sublineages": lambda: _sublineages(t, f, reference),
         "Annotation": lambda: _annotation(t, f),
         "SNP Nt": lambda: Leaf(fact="nt", rows=_place(f) & _snp(f, NT_CODES)),
@@ -183,6 +187,19 @@ def _leaves(tree: dict) -> list[dict]:
     return own + [x for k in ("andFilter", "orFilter") for sub in tree.get(k) or [] for x in _leaves(sub)]
 
 
+def expanded(t: Tables, tree: dict) -> dict:
+    """The tree with each "DNA/AA Profile" leaf (value: notations between commas, semicolons or blanks) as the tree of its notations."""
+    node = {k: v for k, v in tree.items() if k not in ("andFilter", "orFilter")}
+    subs = {k: [expanded(t, x) for x in tree.get(k) or []] for k in ("andFilter", "orFilter") if tree.get(k)}
+    if node.get("label") != "DNA/AA Profile":
+        return node | subs
+    notations = [x for x in re.split(r"[,;\s]+", node["value"]) if x]
+    if not notations:
+        raise ValueError("a profile of no notation")
+    profile = profile_tree([notations], t.genes, t.replicons, bool(node.get("exclude")))
+    return {"andFilter": [profile, *subs.get("andFilter", [])]} | ({"orFilter": subs["orFilter"]} if "orFilter" in subs else {})
+
+
 def compiled(t: Tables, tree: dict, reference: str | None = None) -> tuple[DataFrame, Column]:
     """The samples with a flag for each fact leaf, and the tree over columns and flags."""
     leaves = _leaves(tree)
@@ -227,6 +244,7 @@ def matching(t: Tables, tree: dict, reference: str | None = None) -> DataFrame:
     if reference is not None and t.placed is not None:
         samples = samples.join(t.placed.where(F.col("reference") == reference).select(t.entity), t.entity, "left_semi")
     scoped = Tables(**{**t.__dict__, "samples": samples})
+    tree = expanded(scoped, tree)
     leaves = _leaves(tree)
     if len(leaves) == 1:
         only = leaf(scoped, leaves[0], reference)
@@ -238,24 +256,25 @@ def matching(t: Tables, tree: dict, reference: str | None = None) -> DataFrame:
 
 
 def profile_filters(notations: list[str], genes: set[str] = frozenset(), replicons: set[str] = frozenset()) -> list[dict]:
-    """Filters of notations as text, for trees; tables of notations go through functions.notation."""
+    """Filters of notations as text, for trees, read by the patterns of functions.notation, which reads tables of them."""
     out = []
     for text in notations:
-        negated = text.startswith("^")
-        *names, rest = text.lstrip("^").split(":") if "del:" not in text else [*text.lstrip("^").split("del:")[0].strip(":").split(":"), "del:" + text.split("del:")[1]]
-        names = [n for n in names if n]
-        gene = next((n for n in names if n in genes), None)
+        gone = re.match(DELETION, text)
+        m = gone or re.match(CHANGE, text)
+        if not m:
+            raise ValueError(f"not a notation: {text!r}")
+        names = [n for n in (m[2], m[3]) if n]
+        gene = next((n for n in reversed(names) if n in genes), None)
         replicon = next((n for n in names if n in replicons), None)
         if len([n for n in (gene, replicon) if n]) != len(names):
             raise ValueError(f"unknown name in {text!r}")
-        own = {"exclude": negated, "replicon_accession": replicon, "protein_symbol": gene}
-        side = "AA" if gene else "Nt"
-        if m := re.fullmatch(r"del:=?([0-9]+)(?:-=?([0-9]+))?", rest):
-            out.append(own | {"label": f"Del {side}", "first_deleted": m[1], "last_deleted": m[2]})
-        elif m := re.fullmatch(r"([A-Z*]+)([0-9]+)=?([A-Zxn*]+)", rest):
-            out.append(own | {"label": f"{'Ins' if len(m[3]) > 1 else 'SNP'} {side}", "ref_nuc": m[1], "ref_pos": m[2], "alt_nuc": m[3]})
+        own = {"exclude": len(m[1]) % 2 == 1, "replicon_accession": replicon, "protein_symbol": gene}
+        side, plain = "AA" if gene else "Nt", lambda x: x and x.replace("=", "")
+        if gone:
+            out.append(own | {"label": f"Del {side}", "first_deleted": plain(m[4]), "last_deleted": plain(m[5])})
         else:
-            raise ValueError(f"not a notation: {text!r}")
+            alt = plain(m[6])
+            out.append(own | {"label": f"{'Ins' if len(alt) > 1 else 'SNP'} {side}", "ref_nuc": m[4], "ref_pos": m[5], "alt_nuc": alt})
     return out
 
 

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scale import cut, dimension
+
 LONGEST_NAME = 50
 ROOT_WORDS = ("", "none", "null", "na")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; a temporary one where it is unset), so lineage stays short."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strainframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edges_from_children(rows: DataFrame, order: str = "seq") -> DataFrame:
     """lineage and parent from (lineage, comma list of children or `none`): every name is a node, the first parent wins, too long names go."""
     child = F.explode(F.split("children", r"\s*,\s*"))
@@ -48,14 +35,18 @@ def pairs_from_clades(rows: DataFrame, order: str = "seq") -> DataFrame:
     return rows.groupBy("clade").agg(F.min(order).alias(order)).join(parents, "clade", "left").select(F.col("clade").alias("lineage"), "parent", order)
 
 
-def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root and lineage: all descendants of each root, itself included. Rounds of joins; a lineage is visited once for a root, so cycles end."""
+def descendants(edges: DataFrame, roots: DataFrame, steps: int = 4) -> DataFrame:
+    """root and lineage: all descendants of each root, itself included. Rounds of `steps` joins, each round one table; a lineage counts once for a root, so cycles end."""
     children = edges.where("parent IS NOT NULL").select(F.col("parent").alias("at"), F.col("lineage").alias("child")).distinct()
+    children = dimension(cut(children))
     new = cut(roots.select(F.col("lineage").alias("root"), "lineage").distinct())
     seen = new
     while not new.isEmpty():
-        step = new.join(children, new["lineage"] == children["at"]).select("root", F.col("child").alias("lineage")).distinct()
-        new = cut(step.join(seen, ["root", "lineage"], "left_anti"))
+        reach, every = new, None
+        for _ in range(steps):
+            reach = reach.join(children, F.col("lineage") == F.col("at")).select("root", F.col("child").alias("lineage"))
+            every = reach if every is None else every.unionByName(reach)
+        new = cut(every.distinct().join(seen, ["root", "lineage"], "left_anti"))
         seen = seen.unionByName(new)
     return seen
 
@@ -70,14 +61,15 @@ def child_table(edges: DataFrame) -> DataFrame:
 def alias_parents(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """lineage and parent: the alias is expanded, the last segment dropped, and the longest prefix that has an alias compressed again.
 
-    aliases: alias, prefix; a small dimension. Compression goes by the prefixes of whole dot segments.
+    aliases: alias, prefix. Compression goes by the prefixes of whole dot segments.
     """
+    aliases = dimension(aliases)
     head = F.substring_index("lineage", ".", 1)
     tail = F.when(F.contains(F.col("lineage"), F.lit(".")), F.expr("substring(lineage, length(substring_index(lineage, '.', 1)) + 1)")).otherwise("")
-    full = names.select("lineage", head.alias("alias"), tail.alias("tail")).join(F.broadcast(aliases), "alias", "left").select("lineage", F.concat(F.coalesce(F.nullif("prefix", F.lit("")), "alias"), "tail").alias("full"))
+    full = names.select("lineage", head.alias("alias"), tail.alias("tail")).join(aliases, "alias", "left").select("lineage", F.concat(F.coalesce(F.nullif("prefix", F.lit("")), "alias"), "tail").alias("full"))
     up = full.withColumn("up", F.when(F.contains("full", F.lit(".")), F.expr("regexp_replace(full, '[.][^.]*$', '')")))
     cuts = up.withColumn("cuts", F.expr("transform(sequence(1, size(split(up, '[.]'))), i -> substring_index(up, '.', i))")).select("lineage", "up", F.explode_outer("cuts").alias("prefix"))
-    best = cuts.join(F.broadcast(aliases.where("prefix <> ''")), "prefix", "left").groupBy("lineage", "up").agg(F.max(F.when(F.col("alias").isNotNull(), F.struct(F.length("prefix").alias("n"), "alias"))).alias("best"))
+    best = cuts.join(dimension(aliases.where("prefix <> ''")), "prefix", "left").groupBy("lineage", "up").agg(F.max(F.when(F.col("alias").isNotNull(), F.struct(F.length("prefix").alias("n"), "alias"))).alias("best"))
     return best.select("lineage", F.when(F.col("best").isNull(), F.col("up")).otherwise(F.concat("best.alias", F.expr("substring(up, best.n + 1)"))).alias("parent"))
 
 

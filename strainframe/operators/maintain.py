@@ -19,9 +19,10 @@ def to_process(incoming: DataFrame, stored: DataFrame, key: str = "name", hash_c
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the highest ingest order."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row of each key with the highest ingest order; of equals the one whose other values have the highest hash."""
+    others = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others))).alias("_row")
+    return rows.groupBy(*keys).agg(last).select(*(c if c in keys else F.col("_row").getField(c).alias(c) for c in rows.columns))
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:

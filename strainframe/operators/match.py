@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import dimension
+
 
 def star(samples: DataFrame, links: DataFrame, sequences: DataFrame, alignments: DataFrame, replicons: DataFrame) -> DataFrame:
-    """One row for each sample, sequence and alignment. replicons is a small dimension."""
-    return samples.join(links, "sample").join(sequences, "sequence").join(alignments, "sequence").join(F.broadcast(replicons), "replicon")
+    """One row for each sample, sequence and alignment. replicons is a dimension."""
+    return samples.join(links, "sample").join(sequences, "sequence").join(alignments, "sequence").join(dimension(replicons), "replicon")
 
 
 def assembled(samples: DataFrame, calls: DataFrame, annotations: DataFrame | None = None, entity: str = "sample") -> DataFrame:

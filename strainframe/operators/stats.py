@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import natural_key, week_label, week_start
+from .scale import cut, few
 
 
 def present(column: str, kind: str) -> Column:
@@ -145,9 +146,15 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def naturally(df: DataFrame, column: str, first: str | None = "Unknown") -> DataFrame:
-    """df with its rank in number-aware order by distinct value; `first` leads."""
-    names = df.select(column).distinct().withColumn("natural_rank", F.dense_rank().over(Window.orderBy(natural_key(column, first), column)))
-    return df.join(names, column)
+    """df with its rank in number-aware order by distinct value; `first` leads. Many values are ranked by ranges."""
+    names = df.select(column).distinct().withColumn("_key", natural_key(column, first))
+    if few(names):
+        ranked = names.withColumn("natural_rank", F.dense_rank().over(Window.orderBy("_key", column)))
+    else:
+        dealt = cut(names.repartitionByRange("_key", column).withColumn("_part", F.spark_partition_id()))
+        before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        ranked = dealt.join(F.broadcast(before), "_part").withColumn("natural_rank", (F.row_number().over(Window.partitionBy("_part").orderBy("_key", column)) + F.col("_before")).cast("int")).drop("_part", "_before")
+    return df.join(ranked.drop("_key"), column)
 
 
 def job_status(files: DataFrame, logs: DataFrame) -> DataFrame:

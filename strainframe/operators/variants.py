@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import deleted, deletion_label, nt_frameshift, nt_label, residue, reverse_complement
+from .scale import dimension
 
 ANN_FIELDS = ("allele", "annotation", "impact", "gene_name", "gene_id", "feature_type", "feature_id", "biotype", "rank", "hgvs_c", "hgvs_p", "cdna_pos", "cds_pos", "aa_pos", "distance", "errors")
-#: Offsets at which a residue deletion looks for its nucleotide variant, the first hit counts.
+# Offsets at which a residue deletion looks for its nucleotide variant, the first hit counts.
 PARENT_OFFSETS = (0, 1, 2, 3, -1, -2, -3)
 
 
@@ -41,17 +42,23 @@ def calls_from_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def calls_from_cigar(rows: DataFrame) -> DataFrame:
-    """Calls from (id, replicon, qry, ref, cigar) with operations = M X D I. Bases in M runs are compared, so ambiguous ones become calls."""
+    """Calls from (id, replicon, qry, ref, cigar) with operations = M X D I. Bases in M runs are compared, so ambiguous ones become calls.
+
+    Only differences leave the row: sequences are not repeated for operations or bases.
+    """
     ops = F.expr("transform(regexp_extract_all(cigar, '[0-9]+[=MXDI]', 0), o -> struct(int(regexp_extract(o, '^[0-9]+', 0)) AS n, right(o, 1) AS op))")
-    steps = rows.select("id", "replicon", "qry", "ref", F.posexplode(ops).alias("k", "o")).select("id", "replicon", "qry", "ref", "k", "o.n", "o.op")
-    before = Window.partitionBy("id", "replicon").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    moves = lambda *of: F.coalesce(F.sum(F.when(F.col("op").isin(*of), F.col("n")).otherwise(0)).over(before), F.lit(0)).cast("int")
-    placed = steps.withColumns({"rp": moves("=", "M", "X", "D"), "qp": moves("=", "M", "X", "I")})
-    subs = placed.where(F.col("op").isin("M", "X")).select("id", "replicon", "qry", "ref", "rp", "qp", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("d"))
-    snps = subs.select("id", "replicon", (F.col("rp") + F.col("d")).alias("start"), (F.col("rp") + F.col("d") + 1).alias("end"), F.substring("ref", F.col("rp") + F.col("d") + 1, F.lit(1)).alias("ref"), F.substring("qry", F.col("qp") + F.col("d") + 1, F.lit(1)).alias("alt")).where("ref != alt")
-    dels = placed.where("op = 'D'").select("id", "replicon", F.col("rp").alias("start"), (F.col("rp") + F.col("n")).alias("end"), F.substring("ref", F.col("rp") + 1, F.col("n")).alias("ref"), F.lit("").alias("alt"))
-    ins = placed.where("op = 'I'").select("id", "replicon", (F.col("rp") - 1).alias("start"), F.col("rp").alias("end"), F.when(F.col("rp") == 0, ".").otherwise(F.substring("ref", F.col("rp"), F.lit(1))).alias("ref"), F.when(F.col("rp") == 0, F.substring("qry", F.lit(1), F.col("n"))).otherwise(F.substring("qry", F.col("qp"), F.col("n") + 1)).alias("alt"))
-    return snps.unionByName(dels).unionByName(ins)
+    own = rows.select("id", "replicon", F.split("qry", "").alias("q"), F.split("ref", "").alias("r"), ops.alias("ops"))
+    empty = F.from_json(F.lit("[]"), "array<struct<n:int,op:string,rp:int,qp:int>>")
+    moves = lambda x, *of: F.when(x["op"].isin(*of), x["n"]).otherwise(0)
+    step = lambda acc, x: F.struct((acc["rp"] + moves(x, "=", "M", "X", "D")).alias("rp"), (acc["qp"] + moves(x, "=", "M", "X", "I")).alias("qp"), F.concat(acc["out"], F.array(F.struct(x["n"].alias("n"), x["op"].alias("op"), acc["rp"].alias("rp"), acc["qp"].alias("qp")))).alias("out"))
+    placed = own.withColumn("placed", F.aggregate("ops", F.struct(F.lit(0).alias("rp"), F.lit(0).alias("qp"), empty.alias("out")), step)["out"])
+    call = lambda start, end, ref, alt: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), ref.alias("ref"), alt.alias("alt"))
+    part = lambda a, first, n: F.array_join(F.slice(a, first, n), "")
+    same = lambda o: F.filter(F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda d: call(o["rp"] + d, o["rp"] + d + 1, F.get("r", o["rp"] + d), F.get("q", o["qp"] + d))), lambda c: c["ref"] != c["alt"])
+    gone = lambda o: F.array(call(o["rp"], o["rp"] + o["n"], part("r", o["rp"] + 1, o["n"]), F.lit("")))
+    new = lambda o: F.array(call(o["rp"] - 1, o["rp"], F.when(o["rp"] == 0, ".").otherwise(F.get("r", o["rp"] - 1)), F.when(o["rp"] == 0, part("q", F.lit(1), o["n"])).otherwise(part("q", F.greatest(o["qp"], F.lit(1)), o["n"] + 1))))
+    found = F.flatten(F.transform(F.filter("placed", lambda o: (o["op"] != "=") & (o["n"] > 0)), lambda o: F.when(o["op"] == "D", gone(o)).when(o["op"] == "I", new(o)).otherwise(same(o))))
+    return placed.select("id", "replicon", F.explode_outer(found).alias("c")).where("c IS NOT NULL").select("id", "replicon", "c.*")
 
 
 def numbered(calls: DataFrame, after: str | None = None) -> DataFrame:
@@ -88,13 +95,13 @@ def codon_table(segments: DataFrame, replicons: DataFrame) -> DataFrame:
 
     Positions run against the sequence on the reverse strand, where bases are complemented.
     """
-    pos = F.explode(F.when(F.col("strand") < 0, F.reverse(F.sequence("start", F.col("end") - 1))).otherwise(F.sequence("start", F.col("end") - 1))).alias("pos")
-    each = segments.select("replicon", "cds", "gene", "order", "strand", pos)
+    at = F.when(F.col("strand") < 0, F.reverse(F.sequence("start", F.col("end") - 1))).otherwise(F.sequence("start", F.col("end") - 1))
+    # Bases are read in the segment's row: the sequence is not repeated for its positions.
+    own = segments.join(dimension(replicons.select("replicon", "sequence")), "replicon").withColumn("bases", F.split("sequence", ""))
+    each = own.select("replicon", "cds", "gene", "order", "strand", F.explode_outer(F.transform(at, lambda i: F.struct(i.alias("pos"), F.coalesce(F.get("bases", i.cast("int")), F.lit("")).alias("base")))).alias("x")).select("replicon", "cds", "gene", "order", "strand", "x.*")
     step = F.when(F.col("strand") < 0, -F.col("pos")).otherwise(F.col("pos"))
     rn = F.row_number().over(Window.partitionBy("replicon", "cds").orderBy("order", step)) - 1
-    placed = each.withColumns({"aa_pos": F.floor(rn / 3).cast("int"), "slot": (rn % 3).cast("int")}).join(replicons.select("replicon", "sequence"), "replicon")
-    base = F.substring("sequence", F.col("pos") + 1, F.lit(1))
-    placed = placed.withColumn("base", F.when(F.col("strand") < 0, reverse_complement(base)).otherwise(base)).drop("sequence")
+    placed = each.withColumns({"aa_pos": F.floor(rn / 3).cast("int"), "slot": (rn % 3).cast("int"), "base": F.when(F.col("strand") < 0, reverse_complement("base")).otherwise(F.col("base"))})
     aa = placed.groupBy("replicon", "cds", "aa_pos").agg(residue(_joined("slot", "base")).alias("aa"))
     return placed.join(aa, ["replicon", "cds", "aa_pos"]).select("replicon", "cds", "gene", "strand", "aa_pos", "slot", "pos", "base", "aa")
 
@@ -248,10 +255,14 @@ def merged_genotypes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "pos", "ref", "alt").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
 
 
-def covered_genes(calls: DataFrame, genes: DataFrame) -> DataFrame:
-    """calls with the first gene (by start, then name) that each covers as a whole. genes: replicon, gene, start, end; a small dimension."""
-    g = F.broadcast(genes.select("replicon", "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end")))
-    own = calls.withColumn("_row", F.struct(*calls.columns)).join(g, "replicon").where("g_start >= start AND g_end <= end")
+def covered_genes(calls: DataFrame, genes: DataFrame, width: int = 64) -> DataFrame:
+    """calls with the first gene (by start, then name) that each covers as a whole. genes: replicon, gene, start, end.
+
+    A gene lies in the bin of its start and a call in all bins that it meets, so an equi-join finds each pair once.
+    """
+    g = genes.select("replicon", "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.floor(F.col("start") / width).alias("_bin"))
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width)))
+    own = calls.withColumn("_bin", bins).join(dimension(g), ["replicon", "_bin"]).where("g_start >= start AND g_end <= end")
     return own.groupBy(*calls.columns).agg(F.min_by("gene", F.struct("g_start", "gene")).alias("gene"))
 
 
@@ -279,4 +290,4 @@ def best_reference(sequences: DataFrame, references: DataFrame, k: int = 11, lea
 
 def cds_of_symbols(variants: DataFrame, genes: DataFrame) -> DataFrame:
     """variants with the accession of their gene's coding sequence, by (gene, replicon)."""
-    return variants.join(F.broadcast(genes.select("replicon", "gene", "cds")), ["replicon", "gene"], "left")
+    return variants.join(dimension(genes.select("replicon", "gene", "cds")), ["replicon", "gene"], "left")

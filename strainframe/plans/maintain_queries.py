@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from ..operators import lineage, reshape, stats
 from ..operators import maintain as m
-from ..operators import stats
 from ..operators.match import auto_linked
+from ..operators.scale import shared_dir
 from ..sources import readers, writers
 from ..streaming.ingest import ingest, snapshot
 from .bindings import EAV_TEXT, SAMPLES, SEQUENCES, calls, eav_text, query, samples, sequences, table
@@ -23,8 +23,7 @@ def _orders(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strainframe-")
-    return f"{base}/query-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT name, CASE WHEN name % 3 = 0 THEN 'new' ELSE 'changed' END AS reason FROM {ORDERS} WHERE name % 3 = 0 OR name % 5 = 0")
@@ -113,11 +112,11 @@ def unique_name_backfill(spark, sf):
     return m.unique_names(s, l.select(F.col("l_suppkey").alias("sequence"), F.concat(F.lit("n"), (F.col("l_orderkey") % 100).cast("string")).alias("name")))
 
 
-JOBS = "(SELECT user_id AS job, count(*) AS files, CASE WHEN bool_or(event_type = 'view') THEN 'in progress' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'completed' END AS status FROM events WHERE event_id % 9 = 0 GROUP BY 1)"
+JOBS = "(SELECT user_id AS job, count(*) AS files, CASE WHEN bool_or(event_type = 'view') THEN 'in progress' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'completed' END AS status FROM events GROUP BY 1)"
 
 
 def _jobs(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 9 = 0")
+    e = table(spark, sf, "events")
     return stats.job_status(e.select(F.col("user_id").alias("job"), F.col("event_id").alias("file")), e.where("event_type != 'view'").select(F.col("event_id").alias("file"), (F.col("event_type") != "error").alias("success")))
 
 
@@ -277,9 +276,128 @@ def stream_ingest_snapshot(spark, sf):
 
     def drop(df):
         df.repartition(4).write.mode("append").parquet(f"{path}/in")
-        ingest(spark, f"{path}/in", f"{path}/out", schema, ["name"], "seq", f"{path}/state", 3).awaitTermination()
+        ingest(spark, f"{path}/in", f"{path}/out", schema, ["name"], "seq", f"{path}/state", 3, 2).awaitTermination()
 
     drop(o.where("name % 2 = 0").withColumn("seq", F.lit(0)))
     drop(o.where("name % 2 = 1").withColumn("seq", F.lit(0)).unionByName(o.where("name % 5 = 0").withColumns({"status": F.lit("late"), "seq": F.lit(1)})))
     ingest(spark, f"{path}/in", f"{path}/out", schema, ["name"], "seq", f"{path}/state").awaitTermination()
-    return snapshot(spark, f"{path}/out/data", schema).select("name", "status")
+    return snapshot(spark, f"{path}/out/data", schema, ["name"], "seq").select("name", "status")
+
+
+@query(f"SELECT 'd' || id::VARCHAR AS id, sequence FROM {SEQUENCES}")
+def packed_fasta_round_trip(spark, sf):
+    """Sequences as xz, gz and zip files, one for each hundred documents, packed by the executors and read again by content."""
+    path = _folder(spark)
+    s = sequences(spark, sf).withColumn("value", F.concat(F.lit(">d"), F.col("id").cast("string"), F.lit(" x\n"), F.substring("sequence", 1, 20), F.lit("\n"), F.expr("substring(sequence, 21)"), F.lit("\n")))
+    files = s.groupBy(F.expr("id div 100").alias("k")).agg(F.array_join(F.array_sort(F.collect_list("value")), "").alias("text"))
+
+    def pack(batches):
+        import gzip
+        import io
+        import lzma
+        import zipfile
+
+        for batch in batches:
+            out = []
+            for k, text in zip(batch["k"], batch["text"], strict=True):
+                raw, whole = text.encode(), io.BytesIO()
+                with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("s.fasta", raw)
+                out.append([lzma.compress(raw), gzip.compress(raw), whole.getvalue()][k % 3])
+            yield batch.assign(content=out)[["k", "content"]]
+
+    # Binary files of the packed bytes, by way of one table.
+    packed = files.mapInPandas(pack, "k long, content binary")
+    packed.write.parquet(path)
+    return readers.packed_fasta(spark.read.parquet(path).select("content")).select("id", "sequence")
+
+
+ALIGNED = "(SELECT c_custkey::VARCHAR AS seqId, c_nationkey AS n FROM customer)"
+
+
+def _aligned(spark, sf):
+    c = table(spark, sf, "customer")
+    subs = F.array(F.struct(F.col("c_nationkey").cast("bigint").alias("pos"), F.lit("A").alias("refNuc"), F.lit("T").alias("qryNuc")))
+    return c.select(F.col("c_custkey").cast("string").alias("seqId"), subs.alias("substitutions"), F.col("c_nationkey").alias("n"))
+
+
+@query(f"SELECT seqId, n::BIGINT AS pos, 'lines' AS form FROM {ALIGNED} UNION ALL SELECT seqId, n::BIGINT, 'list' FROM {ALIGNED} UNION ALL SELECT seqId, n::BIGINT, 'results' FROM {ALIGNED}")
+def aligner_json_round_trip(spark, sf):
+    """Aligner records as JSON lines (with lines that are no JSON), as a list and as an object of results, a file for each nation."""
+    path, own = _folder(spark), _aligned(spark, sf)
+    doc = F.to_json(F.struct("seqId", "substitutions"))
+    own.select(doc.alias("value")).union(table(spark, sf, "nation").select(F.concat(F.lit("{broken "), "n_name"))).write.text(f"{path}/lines")
+    lists = own.groupBy("n").agg(F.concat(F.lit("["), F.array_join(F.collect_list(doc), ","), F.lit("]")).alias("value")).repartition(8, "n")
+    lists.select("value").where("n >= 0").write.option("maxRecordsPerFile", 1).text(f"{path}/list")
+    lists.select(F.concat(F.lit('{"results": '), "value", F.lit("}")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/results")
+    every = [readers.read_aligner_json(spark, f"{path}/{form}", form).select("seqId", F.col("substitutions")[0]["pos"].alias("pos"), F.lit(form).alias("form")) for form in ("lines", "list", "results")]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query("SELECT 'L' || c_custkey::VARCHAR AS lineage, CASE WHEN c_custkey > 1 THEN 'L' || (c_custkey // 2)::VARCHAR END AS parent FROM customer")
+def lineage_table_round_trip(spark, sf):
+    """A lineage table file: each customer with its children, or none."""
+    path = _folder(spark)
+    name = lambda k: F.concat(F.lit("L"), k.cast("string"))
+    c = table(spark, sf, "customer")
+    children = c.where("c_custkey > 1").groupBy(name(F.expr("c_custkey div 2")).alias("lineage")).agg(F.array_join(F.array_sort(F.collect_list(name(F.col("c_custkey")))), ",").alias("sublineage"))
+    c.select(name(F.col("c_custkey")).alias("lineage")).join(children, "lineage", "left").fillna("none", ["sublineage"]).write.csv(path, sep="\t", header=True)
+    return lineage.edges_from_children(readers.read_lineages(spark, path))
+
+
+@query("SELECT 'C' || c_custkey::VARCHAR AS lineage, CASE WHEN c_custkey % 4 > 0 THEN 'C' || (c_custkey - c_custkey % 4)::VARCHAR END AS parent FROM customer")
+def clade_files_round_trip(spark, sf):
+    """Two designation files: the sites of clades, and rows of gene `clade` that name parents."""
+    path = _folder(spark)
+    c, name = table(spark, sf, "customer"), lambda k: F.concat(F.lit("C"), k.cast("string"))
+    row = lambda df, gene, site: df.select(name(F.col("c_custkey")).alias("clade"), F.lit(gene).alias("gene"), site.alias("site"), F.lit("A").alias("alt"))
+    row(c, "nuc", F.col("c_custkey").cast("string")).write.csv(f"{path}/sites", sep="\t", header=True)
+    row(c.where("c_custkey % 4 > 0"), "clade", name(F.col("c_custkey") - F.col("c_custkey") % 4)).write.csv(f"{path}/parents", sep="\t", header=True)
+    return lineage.edges_from_pairs(lineage.pairs_from_clades(readers.read_clades(spark, [f"{path}/sites", f"{path}/parents"])))
+
+
+@query("SELECT 'J' || c_custkey::VARCHAR AS lineage, CASE WHEN c_custkey % 3 > 0 THEN 'J' || (c_custkey // 3)::VARCHAR END AS parent FROM customer UNION SELECT 'J0', NULL")
+def lineage_json_round_trip(spark, sf):
+    """Designation files, a list or an object of lineages for each nation; roots have words for no parent."""
+    path, c = _folder(spark), table(spark, sf, "customer")
+    item = F.struct(F.concat(F.lit("J"), F.col("c_custkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("J"), F.expr("c_custkey div 3").cast("string"))).otherwise(F.when(F.col("c_custkey") % 2 == 0, "None")).alias("parent"))
+    lists = c.groupBy("c_nationkey").agg(F.to_json(F.collect_list(item)).alias("list"))
+    lists.select(F.when(F.col("c_nationkey") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"lineages": '), "list", F.lit("}"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return lineage.edges_from_pairs(readers.read_json_lineages(spark, path))
+
+
+@query("SELECT event_id AS sample, 'kind' AS name, event_type AS value FROM events UNION ALL SELECT event_id, 'user', user_id::VARCHAR FROM events UNION ALL SELECT event_id, 'day', strftime(ts, '%Y-%m-%d') FROM events")
+def eav_values(spark, sf):
+    """Typed properties and their value as text: the first typed column that is not null."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("sample"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("user"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    long = reshape.to_long(e, {"kind": "value_varchar", "user": "value_integer", "day": "value_date"})
+    return long.select("sample", "name", reshape.eav_value().alias("value"))
+
+
+@query(f"SELECT id, sequence FROM {SEQUENCES}")
+def reference_harmonise(spark, sf):
+    """Reference sequences in lower case, as RNA, between blanks."""
+    raw = sequences(spark, sf).withColumn("raw", F.concat(F.lit("\n "), F.lower(F.replace("sequence", F.lit("T"), F.lit("U"))), F.lit(" ")))
+    return raw.select("id", x.reference_sequence(F.regexp_replace("raw", "\n", " ")).alias("sequence"))
+
+
+@query(f"SELECT o_orderkey AS sample FROM orders WHERE (o_orderstatus = 'F' AND o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1995-06-30') OR o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus LIKE '%P%'")
+def filter_groups(spark, sf):
+    """Two groups of filters as forms give them: texts that are read as lists, dates or patterns, and unset ones."""
+    from datetime import date
+
+    from ..operators import filters as f
+
+    leaf = lambda name, kind, value: {"label": "Property", "property_name": name, "filter_type": kind, "value": value}
+    groups = [{"filters": [leaf("status", "exact", "F"), leaf("day", "exact", [date(1995, 6, 30), date(1995, 1, 1)]), leaf("priority", "exact", "")]},
+        {"filters": [leaf("priority", "in", "1-URGENT,2-HIGH"), leaf("status", "contains", "%P%")]}, {"filters": [leaf("status", "exact", None)]}]
+    return f.matching(f.Tables(samples=samples(spark, sf)), f.group_tree(groups)).select("sample")
+
+
+@query("SELECT event_id AS sample, 'new' AS lab, event_type AS kind FROM events")
+def split_input_columns(spark, sf):
+    """Columns of an input table told apart: sample fields go to samples, custom ones to properties."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("sample"), F.lit("new").alias("lab"), F.col("event_type").alias("kind"))
+    fields, custom = reshape.split_columns(e.columns, ["lab", "zip"], "sample")
+    values = reshape.to_long(e.select("sample", *custom), dict.fromkeys(custom, "value_varchar"))
+    return e.select("sample", *fields).join(values.select("sample", F.col("value_varchar").alias("kind")), "sample")

@@ -182,6 +182,17 @@ def lineage_filter(spark, sf):
     return f.matching(t, {"label": "Sublineages", "lineageList": ["l5"], "includeSublineages": True}, "ref").select("sample")
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT lineage FROM {EDGES} WHERE lineage = 'L40' UNION SELECT e.lineage FROM {EDGES} e JOIN d ON e.parent = d.lineage)
+SELECT s.sample FROM {SAMPLES} s WHERE ({_has(A)} AND NOT {_has("gene = 'g1' AND \"end\" = 200 AND ref = 'F' AND alt = 'R'")} AND status = 'F') OR ('L' || cust::VARCHAR IN (SELECT lineage FROM d) AND NOT ({_has(A)} AND {_has(R)}))""")
+def match_reference_tree(spark, sf):
+    """Profiles as users type them and lineages, in one tree."""
+    t = tables(spark, sf, lineages=edges(spark, sf), genes=frozenset({"g0", "g1", "g2"}), replicons=frozenset({"rep0", "rep1"}))
+    t.samples = t.samples.withColumn("lineage", F.concat(F.lit("L"), F.col("cust").cast("string")))
+    profile = {"label": "DNA/AA Profile", "value": " F100A; ^g1:F200R,"}
+    lineages = {"label": "Lineages", "lineageList": "l40", "andFilter": [{"label": "DNA/AA Profile", "value": "F100A F200R", "exclude": True}]}
+    return f.matching(t, profile | {"andFilter": [{"label": "Property", "property_name": "status", "value": "F"}], "orFilter": [lineages]}, None).select("sample")
+
+
 @query(f"SELECT count(*) AS samples FROM {SAMPLES} s WHERE {_has(A)} OR status = 'P'")
 def filtered_count(spark, sf):
     return _matching(spark, sf, {"orFilter": [nt(100, "A"), {"label": "Property", "property_name": "status", "filter_type": "exact", "value": "P"}]}).agg(F.count("*").alias("samples"))

@@ -28,13 +28,13 @@ def samples_per_week(spark, sf):
     return _text(stats.per_week(samples(spark, sf)))
 
 
-RARE = f"(SELECT {MONDAY} AS monday, count(DISTINCT sample) AS samples FROM {SAMPLES} WHERE sample % 97 = 0 GROUP BY 1)"
+RARE = f"(SELECT {MONDAY} AS monday, count(DISTINCT sample) AS samples FROM {SAMPLES} WHERE status = 'P' AND priority = '1-URGENT' GROUP BY 1)"
 
 
 @query(f"SELECT a.monday::VARCHAR AS monday, strftime(a.monday, '%G-W%V') AS week, coalesce(w.samples, 0) AS samples FROM {AXIS.format(RARE)} a LEFT JOIN {RARE} w USING (monday)")
 def samples_per_week_filled(spark, sf):
-    """Weeks of the samples of one remainder, so that some weeks have none."""
-    return _text(stats.filled_weeks(stats.per_week(samples(spark, sf).where("sample % 97 = 0"))))
+    """Weeks of the urgent samples that are pending, of which some weeks have none."""
+    return _text(stats.filled_weeks(stats.per_week(samples(spark, sf).where("status = 'P' AND priority = '1-URGENT'"))))
 
 
 SHARES = f"(SELECT {MONDAY} AS monday, priority AS \"group\", count(DISTINCT sample) AS samples, round(100.0 * count(DISTINCT sample) / sum(count(DISTINCT sample)) OVER (PARTITION BY {MONDAY}), 2) AS percent FROM {SAMPLES} WHERE day IS NOT NULL GROUP BY 1, 2)"

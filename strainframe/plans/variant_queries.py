@@ -137,11 +137,11 @@ def kmer_assign(spark, sf):
 GENES = "(SELECT p_partkey AS gene, p_partkey AS start, p_partkey + p_size % 4 AS \"end\" FROM part)"
 
 
-@query(f"SELECT c.sample, c.line, min(g.gene) AS gene FROM (SELECT *, start + quantity AS stop FROM {CALLS}) c JOIN (SELECT * FROM {GENES} WHERE gene % 50 = 0) g ON g.start >= c.start AND g.\"end\" <= c.stop GROUP BY ALL")
+@query(f"SELECT c.sample, c.line, min(g.gene) AS gene FROM (SELECT *, start + quantity AS stop FROM {CALLS}) c JOIN {GENES} g ON g.start >= c.start AND g.\"end\" <= c.stop GROUP BY ALL")
 def interval_cover(spark, sf):
     """The first gene that a call covers; calls are as long as their quantity."""
     c = calls(spark, sf).select("sample", "line", F.lit("r").alias("replicon"), "start", (F.col("start") + F.col("quantity")).alias("end")).distinct()
-    g = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.lit("r").alias("replicon"), F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") % 4).alias("end"))
+    g = table(spark, sf, "part").select(F.lit("r").alias("replicon"), F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") % 4).alias("end"))
     return v.covered_genes(c, g).groupBy("sample", "line").agg(F.min("gene").alias("gene"))
 
 
@@ -260,7 +260,7 @@ RECORDS = "(SELECT l_orderkey AS id, l_partkey::INT AS pos, l_returnflag AS flag
 
 def _records(spark, sf):
     """An aligner record for each order: substitutions at its parts of flag A, deletions of 3 at those of flag N, insertions at those of flag R."""
-    l = table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_partkey"])  # noqa: E741
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("l_returnflag"))  # noqa: E741
     pos = F.col("l_partkey")
     pick = lambda flag, s: F.collect_list(F.when(F.col("l_returnflag") == flag, s))
     return l.groupBy(F.col("l_orderkey").cast("string").alias("seqId")).agg(
@@ -279,7 +279,25 @@ def aligner_json_nt(spark, sf):
     return found.join(once, ["id", "start"], "left_semi").select("id", "start", "end", "ref", "alt")
 
 
-@query()
+AA_UNITS = "(SELECT l_orderkey::VARCHAR AS id, l_partkey::INT AS p, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)"
+AA_SQL = f"""WITH u AS MATERIALIZED (SELECT * FROM {AA_UNITS}),
+    ends AS (SELECT DISTINCT id, p + 3 + p % 2 AS e FROM u WHERE f = 'N'),
+    calls AS (SELECT id, p, f, row_number() OVER (PARTITION BY id ORDER BY p) AS number, CASE f WHEN 'N' THEN p + 3 WHEN 'R' THEN p + 1 END AS at FROM u),
+    shifted AS (SELECT c.*, e.e IS NOT NULL AS fs FROM calls c LEFT JOIN ends e ON e.id = c.id AND e.e = c.at),
+    muts AS (SELECT id, p AS nt, p // 3 + i AS pos FROM u, (VALUES (0), (1)) t(i) WHERE f = 'N'),
+    gone AS (SELECT id, pos, min(nt) AS nt FROM muts GROUP BY 1, 2),
+    runs AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM gone),
+    tries AS (SELECT r.id, r.run, r.pos, o.turn, s.number, s.fs FROM runs r, (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, -1), (5, -2), (6, -3)) o(turn, off) JOIN shifted s ON s.id = r.id AND s.p = r.nt + o.off),
+    found AS (SELECT id, run, arg_min(number, pos * 10 + turn) AS number, arg_min(fs, pos * 10 + turn) AS fs FROM tries GROUP BY 1, 2),
+    moved AS (SELECT id, min(number) AS number FROM shifted WHERE f = 'N' AND fs GROUP BY 1),
+    dels AS (SELECT r.id, min(pos) AS a, max(pos) + 1 AS b, repeat('K', count(*)::INT) AS ref, '' AS alt, any_value(coalesce(f.number, m.number)) AS parent, any_value(coalesce(f.fs, m.number IS NOT NULL)) AS fs
+        FROM runs r LEFT JOIN found f USING (id, run) LEFT JOIN moved m ON m.id = r.id GROUP BY r.id, r.run),
+    subs AS (SELECT id, p // 3 AS a, p // 3 + 1 AS b, 'K' AS ref, 'R' AS alt, number AS parent, fs FROM shifted WHERE f = 'A')"""
+
+
+@query(f"""{AA_SQL} SELECT id, 'g' AS cds, a::INT AS start, b::INT AS "end", ref, alt, array_to_string(list_sort(list(DISTINCT parent)), ',') AS parents, max(fs::INT) AS frameshift,
+    CASE WHEN alt <> '' THEN ref || b::VARCHAR || alt WHEN b - a = 1 THEN 'del:' || b::VARCHAR ELSE 'del:' || (a + 1)::VARCHAR || '-' || b::VARCHAR END AS label
+    FROM (SELECT * FROM dels UNION ALL SELECT * FROM subs) GROUP BY id, a, b, ref, alt""")
 def aligner_json_aa(spark, sf):
     """Residue variants of the records: three adjacent residues are deleted at each deletion, one changes at each substitution."""
     own = _records(spark, sf)
@@ -289,4 +307,5 @@ def aligner_json_aa(spark, sf):
     none = "array<struct<cds: string, pos: bigint, ins: string>>"
     groups = "array<struct<name: string, changes: array<struct<pos: bigint, nucPos: bigint, refAa: string, qryAa: string, nucRanges: array<struct<begin: bigint, end: bigint>>>>>>"
     records = own.withColumns({"nucToAaMuts": F.map_from_entries(F.concat(gone, subs)), "aaInsertions": F.array().cast(none), "aaChangesGroups": F.array().cast(groups)})
-    return v.aligner_aa(records, v.aligner_nt(own, "rep", "A" * 10_000))
+    found = v.aligner_aa(records, v.aligner_nt(own, "rep", "A" * 10_000))
+    return found.select("id", "cds", "start", "end", "ref", "alt", "parents", "frameshift", "label")

@@ -43,8 +43,8 @@ def _unpacked(content: bytes) -> bytes:
     return content
 
 
-def read_packed_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """As read_fasta, from xz and single-file zip archives too, told apart by content. One file is one task's work: for many files."""
+def packed_fasta(files: DataFrame) -> DataFrame:
+    """As read_fasta, from the contents (content: bytes) of plain, gzip, xz and single-file zip files, told apart by content. One file is one task's work: for many files."""
 
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -55,7 +55,11 @@ def read_packed_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 for at in range(0, len(records), 1000):
                     yield pd.DataFrame({"value": records[at : at + 1000]})
 
-    return _fasta_records(spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string"))
+    return _fasta_records(files.select("content").mapInPandas(unpack, "value string"))
+
+
+def read_packed_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return packed_fasta(spark.read.format("binaryFile").load(path))
 
 
 def read_metadata(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = "\t") -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.reshape import wide_profiles
 
+#: Tasks that write the variants of one reference.
+SPREAD = 32
+
 
 def export(df: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
     """The columns as text with a header (an empty table has it too); columns that df lacks are empty."""
@@ -46,9 +49,9 @@ def write_vcf(rows: DataFrame, path: str, samples: list[str]) -> None:
 
 
 def write_variants(variants: DataFrame, path: str) -> None:
-    """The variant store: rows of each distinct sequence once, by reference, zstd. The commit protocol makes the replacement whole."""
+    """The variant store: rows of each distinct sequence once, by reference (whose rows are dealt to SPREAD files), zstd. The commit protocol makes the replacement whole."""
     keys = [c for c in ("seqhash", "refhash", "start", "end", "ref", "alt", "type") if c in variants.columns]
-    variants.dropDuplicates(keys).repartition("reference_acc").sortWithinPartitions("reference_acc", "start").write.mode("overwrite").partitionBy("reference_acc").option("compression", "zstd").parquet(path)
+    variants.dropDuplicates(keys).repartition("reference_acc", F.pmod(F.xxhash64(*keys), F.lit(SPREAD))).sortWithinPartitions("reference_acc", "start").write.mode("overwrite").partitionBy("reference_acc").option("compression", "zstd").parquet(path)
 
 
 def write_reports(written: DataFrame, errors: DataFrame, path: str, key: str = "name") -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strainframe.operators import filters, lineage, maintain, match, reshape, stats
 from strainframe.sources import readers, writers
+from strainframe.streaming import ingest
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +141,47 @@ def test_files(spark, tmp_path):
     lineage.write_edges(spark.createDataFrame([("a", "r1"), ("b", "r2")], "lineage string, reference string"), str(tmp_path / "e"))
     lineage.write_edges(spark.createDataFrame([("c", "r1")], "lineage string, reference string"), str(tmp_path / "e"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {("c", "r1"), ("b", "r2")}
+
+
+def test_profile_leaf(spark):
+    """A profile as users type it needs all of its notations; exclude is its complement as a whole."""
+    samples = spark.createDataFrame([(i,) for i in range(4)], "sample long")
+    nt = spark.createDataFrame([(0, "r", 9, 10, "A", "G"), (0, "r", 3, 5, "AA", ""), (1, "r", 9, 10, "A", "G"), (2, "r", 3, 5, "AA", None)], "sample long, replicon string, start int, end int, ref string, alt string")
+    t = filters.Tables(samples=samples, nt=nt, replicons=frozenset({"r"}))
+    ids = lambda tree: sorted(r["sample"] for r in filters.matching(t, tree).collect())
+    profile = {"label": "DNA/AA Profile", "value": "A10G,; r:del:4-5 "}
+    assert ids(profile) == [0] and ids(profile | {"exclude": True}) == [1, 2, 3]
+    assert ids({"label": "DNA/AA Profile", "value": "A10G ^del:=4-=5"}) == [1]
+    assert ids(profile | {"orFilter": [{"label": "Sample", "value": [3]}]}) == [0, 3]
+    for bad in ("", "what", "x:A10G"):
+        with pytest.raises(ValueError):
+            ids({"label": "DNA/AA Profile", "value": bad})
+
+
+def test_last_wins_has_no_chance(spark):
+    rows = [(1, v, 7) for v in "abcdef"] + [(2, "x", None), (2, "y", 1)]
+    df = spark.createDataFrame(rows, "k long, v string, seq int")
+    once = {tuple(r) for r in maintain.last_wins(df, ["k"], "seq").collect()}
+    assert len(once) == 2 and (2, "y", 1) in once
+    assert {tuple(r) for r in maintain.last_wins(df.repartition(5).orderBy(F.desc("v")), ["k"], "seq").collect()} == once
+
+
+def test_natural_ranks_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(f"n{i * 37 % 101}",) for i in range(120)] + [("Unknown",)], "name string")
+    ranks = lambda: {r["name"]: r["natural_rank"] for r in stats.naturally(df, "name").collect()}
+    expected = ranks()
+    monkeypatch.setattr(stats, "few", lambda names: False)
+    assert ranks() == expected and expected["Unknown"] == 1 and expected["n9"] < expected["n10"]
+
+
+def test_ingest_makes_changes_one_table(spark, tmp_path):
+    """Six batches, each two of them made one; a replayed batch counts once; what was replaced goes."""
+    schema, at = "name long, status string, seq int", f"file://{tmp_path}"
+    for k in range(6):
+        spark.createDataFrame([(0, f"s{k}", k), (k, "new", k)], schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        ingest.ingest(spark, f"{at}/in", f"{at}/out", schema, ["name"], "seq", f"{at}/state", 1, 2).awaitTermination()
+    got = {r["name"]: r["status"] for r in ingest.snapshot(spark, f"{at}/out/data", schema, ["name"], "seq").collect()}
+    assert got == {0: "s5"} | {k: "new" for k in range(1, 6)} and spark.read.parquet(f"{at}/out/log").count() == 6
+    names = ingest._listed(spark, f"{at}/out/data")
+    assert "whole-000000000005" in names and not [n for n in names if n < "whole-000000000003" and n.startswith("whole")] and len(names) < 8
+    assert ingest.snapshot(spark, f"{at}/none", schema, ["name"], "seq").count() == 0
