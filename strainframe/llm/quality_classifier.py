@@ -155,12 +155,12 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(feats: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Gam:
-    """The model, from at most about most_rows labelled rows that are not held out."""
+    """The model, from at most most_rows labelled rows that are not held out, the first by hash of doc_id."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     share = most_rows / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = feats.join(known, "doc_id").select("doc_id", "y", *FEATURES).limit(most_rows).toPandas().sort_values(["doc_id", *FEATURES])
+    rows = feats.join(known, "doc_id").select("doc_id", "y", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most_rows).toPandas()
     return Gam().fit(rows[FEATURES].to_numpy(np.float32), rows["y"].to_numpy(float))
 
 
