@@ -157,7 +157,7 @@ def classifier(rows: list[tuple[int, tuple[int, ...], int, float, float]], steps
 
 def scored(x: Column, w: list[float]) -> Column:
     """The classifier's probability for a candidate."""
-    v, total = votes(x), F.lit(w[0])
+    v, total = x["v"], F.lit(w[0])
     for k in range(len(KINDS)):
         total = total + F.when(x["k"] == k, w[1 + k]).otherwise(0.0)
     for j, name in enumerate(VOTES):
@@ -170,7 +170,7 @@ def scored(x: Column, w: list[float]) -> Column:
 
 def trained(found: DataFrame) -> list[float]:
     """The span classifier's weights, from all candidates."""
-    each = found.select(F.explode(F.concat("base", "loose")).alias("x")).select(F.col("x.k").alias("kind"), votes(F.col("x")).alias("v"))
+    each = found.select(F.explode(F.concat("base", "loose")).alias("x")).select(F.col("x.k").alias("kind"), F.col("x.v").alias("v"))
     counts = each.groupBy("kind", *(F.col(f"v.{name}").alias(name) for name in (*VOTES, "shape"))).agg(F.count("*").alias("n")).collect()
     rows = sorted((r["kind"], tuple(r[name] for name in VOTES), r["shape"], float(r["n"])) for r in counts)
     post = reliabilities([(k, v, n) for k, v, _, n in rows])
@@ -179,7 +179,9 @@ def trained(found: DataFrame) -> list[float]:
 
 def pii(docs: DataFrame) -> DataFrame:
     """Counts, hash and list of the spans of each document."""
-    found = written(candidates(docs), "spans")
+    # What is written has places and votes, not what was found.
+    voted = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), votes(x).alias("v")))
+    found = written(candidates(docs).select("doc_id", voted("base").alias("base"), voted("loose").alias("loose")), "spans")
     w = trained(found)
     name = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1)
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", name(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
