@@ -93,16 +93,19 @@ def gradients(params: list[np.ndarray], context: np.ndarray, target: np.ndarray)
     g[np.arange(n), cls] -= 1
     g /= n
     gh, gw, gbw = g @ c.T, np.zeros_like(w), np.zeros_like(bw)
+    # Positions in the order of their classes: each class is a slice.
     order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    hs, ms, ghs, at = h[order], member[order], np.empty_like(h), np.arange(n)
     for k in range(CLASSES):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            x = _softmax(h[at] @ w[k] + bw[k])
-            x[np.arange(len(x)), member[at]] -= 1
+        i, j = ends[k], ends[k + 1]
+        if j > i:
+            x = _softmax(hs[i:j] @ w[k] + bw[k])
+            x[at[: j - i], ms[i:j]] -= 1
             x /= n
-            gw[k], gbw[k] = h[at].T @ x, x.sum(0)
-            gh[at] += x @ w[k].T
+            gw[k], gbw[k] = hs[i:j].T @ x, x.sum(0)
+            ghs[i:j] = x @ w[k].T
+    gh[order] += ghs
     gh *= 1 - h * h
     rows = []
     for o in range(len(OFFSETS)):
