@@ -32,8 +32,8 @@ WIDTH = 16
 OFFSETS = np.array([-2, -1, 1, 2])
 ROUNDS, BATCH, STEP = 2, 1024, 0.15
 SLICES, FAN = 32, 64
-#: Words that a task counts before it passes its counts on; tokens that are scored together, about.
-COUNTED, TOGETHER = 300_000, 60_000
+#: Words that a task counts before it passes its counts on; tokens that are unpacked together, about; positions of a scoring step.
+COUNTED, TOGETHER, SCORED = 300_000, 60_000, 16_384
 SHAPES = [(len(OFFSETS), SIZE + 1, WIDTH), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, MEMBERS), (CLASSES, MEMBERS)]
 
 
@@ -55,65 +55,78 @@ def initial(counts: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """Softmax of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    return x
+
+
+def by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the positions by the classes of their targets, and (class, start, end) of each class that occurs."""
+    cls = (target // MEMBERS).astype(np.uint16)
+    order = np.argsort(cls, kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(k, i, j) for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
 
 
 def hidden(params: list[np.ndarray], context: np.ndarray) -> np.ndarray:
     e = params[0]
-    h = e[0][context[:, 0]]
+    h = e[0].take(context[:, 0], axis=0)
     for o in range(1, len(OFFSETS)):
-        h = h + e[o][context[:, o]]
-    return np.tanh(h)
+        h += e[o].take(context[:, o], axis=0)
+    return np.tanh(h, out=h)
 
 
 def log_probs(params: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     _, c, bc, w, bw = params
-    h, cls, member = hidden(params, context), target // MEMBERS, target % MEMBERS
-    x = h @ c + bc
-    top = x.max(1)
-    out = x[np.arange(len(x)), cls] - top - np.log(np.exp(x - top[:, None]).sum(1))
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            x = h[at] @ w[k] + bw[k]
-            top = x.max(1)
-            out[at] += x[np.arange(len(x)), member[at]] - top - np.log(np.exp(x - top[:, None]).sum(1))
+    order, slices = by_class(target)
+    h, target = hidden(params, context[order]), target[order]
+    at, x = np.arange(len(h)), np.empty((len(h), MEMBERS), dtype=h.dtype)
+    for k, i, j in slices:
+        np.matmul(h[i:j], w[k], out=x[i:j])
+        x[i:j] += bw[k]
+    found = np.zeros(len(h), dtype=h.dtype)
+    for x, own in ((h @ c + bc, target // MEMBERS), (x, target % MEMBERS)):
+        x -= x.max(1, keepdims=True)
+        found += x[at, own]
+        np.exp(x, out=x)
+        found -= np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def gradients(params: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> list:
-    """Mean gradients of the log loss; those of the embeddings as (rows, values) for each offset."""
+    """Mean gradients of the log loss; those of the embeddings as [(rows, values)], rows counted over all offsets."""
     _, c, bc, w, bw = params
     n = len(target)
-    h, cls, member = hidden(params, context), target // MEMBERS, target % MEMBERS
+    # Positions in the order of their classes: each class is a slice.
+    order, slices = by_class(target)
+    context, target = context[order], target[order]
+    h, at = hidden(params, context), np.arange(n)
     g = _softmax(h @ c + bc)
-    g[np.arange(n), cls] -= 1
+    g[at, target // MEMBERS] -= 1
     g /= n
-    gh, gw, gbw = g @ c.T, np.zeros_like(w), np.zeros_like(bw)
-    # Positions in the order of their classes: each class is a slice.
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-    hs, ms, ghs, at = h[order], member[order], np.empty_like(h), np.arange(n)
-    for k in range(CLASSES):
-        i, j = ends[k], ends[k + 1]
-        if j > i:
-            x = _softmax(hs[i:j] @ w[k] + bw[k])
-            x[at[: j - i], ms[i:j]] -= 1
-            x /= n
-            gw[k], gbw[k] = hs[i:j].T @ x, x.sum(0)
-            ghs[i:j] = x @ w[k].T
-    gh[order] += ghs
+    x, gh = np.empty((n, MEMBERS), dtype=h.dtype), g @ c.T
+    for k, i, j in slices:
+        np.matmul(h[i:j], w[k], out=x[i:j])
+        x[i:j] += bw[k]
+    x = _softmax(x)
+    x[at, target % MEMBERS] -= 1
+    x /= n
+    gw, gbw = np.zeros_like(w), np.zeros_like(bw)
+    for k, i, j in slices:
+        own = x[i:j]
+        np.matmul(h[i:j].T, own, out=gw[k])
+        gh[i:j] += own @ w[k].T
+    gbw[[k for k, _, _ in slices]] = np.add.reduceat(x, [i for _, i, _ in slices])
     gh *= 1 - h * h
-    rows = []
-    for o in range(len(OFFSETS)):
-        order = np.argsort(context[:, o], kind="stable")
-        own = context[order, o]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        rows.append((own[first], np.add.reduceat(gh[order], first)))
-    return [rows, h.T @ g, g.sum(0), gw, gbw]
+    rows = (context + np.arange(len(OFFSETS)) * (SIZE + 1)).ravel().astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return [[(own[first], np.add.reduceat(gh.take(order // len(OFFSETS), axis=0), first))], h.T @ g, g.sum(0), gw, gbw]
 
 
 def train(flat: np.ndarray, batches) -> tuple[np.ndarray, int]:
@@ -121,11 +134,12 @@ def train(flat: np.ndarray, batches) -> tuple[np.ndarray, int]:
     flat = flat.copy()
     params, seen = unpacked(flat), 0
     squares = unpacked(np.full_like(flat, 1e-6))
+    embeddings, embedded = params[0].reshape(-1, WIDTH), squares[0].reshape(-1, WIDTH)
     for context, target in batches:
-        rows, *rest = gradients(params, context, target)
-        for o, (at, g) in enumerate(rows):
-            squares[0][o][at] += g * g
-            params[0][o][at] -= STEP * g / np.sqrt(squares[0][o][at])
+        [(at, g)], *rest = gradients(params, context, target)
+        total = embedded.take(at, axis=0) + g * g
+        embedded[at] = total
+        embeddings[at] = embeddings.take(at, axis=0) - STEP * g / np.sqrt(total)
         for p, s, g in zip(params[1:], squares[1:], rest, strict=True):
             s += g * g
             p -= STEP * g / np.sqrt(s)
@@ -265,7 +279,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         params = unpacked(shared.value)
         for doc_ids, lists in _lists(batches):
             ids, at = padded(lists)
-            found = np.concatenate([log_probs(params, ids[at[k : k + TOGETHER, None] + OFFSETS], ids[at[k : k + TOGETHER]]) - share[ids[at[k : k + TOGETHER]]] for k in range(0, len(at), TOGETHER)] or [np.empty(0)])
+            found = np.concatenate([log_probs(params, ids[at[k : k + SCORED, None] + OFFSETS], ids[at[k : k + SCORED]]) - share[ids[at[k : k + SCORED]]] for k in range(0, len(at), SCORED)] or [np.empty(0)])
             sizes = np.array([len(x) for x in lists])
             sums = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])
             ends = np.cumsum(sizes)
