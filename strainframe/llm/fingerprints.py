@@ -5,7 +5,8 @@ signature; a fingerprint is the set of a text's signatures. Two fingerprints com
 lengths bound from above. In texts of few common words content words of a certain hash are anchors too.
 
 Defined results: a null text is empty, with an empty fingerprint; a text of no word has one signature, its own hash;
-two empty fingerprints are alike (1.0), an empty and another are not (0.0). Documents follow each other by descending
+two empty fingerprints are alike (1.0), an empty and another are not (0.0). near_copies() gives repeated rows, and rows of null
+doc_id, the class of their fingerprint; an empty table has no classes. Documents follow each other by descending
 doc_id, then by descending text hash; a null doc_id comes last; the last is followed by the first.
 """
 
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, text_of
+from .common import met, table, text_of, written
+from .near_dedup import relabelled
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """the of and to in is that it for was on are as with be by this from or an at
@@ -30,6 +32,8 @@ MARK = "\u0001"
 CHAIN, SPOTS, HASHED = 2, 8, 8
 #: Longer runs of letters, as in scripts without spaces, count as words of so many.
 PIECE = 20
+#: Signatures of more fingerprints than this are frequent, and looked for last.
+FREQUENT = 32
 #: Documents of a range of ids, about, and ranges at most.
 TOGETHER, RANGES = 2048, 16_384
 
@@ -109,5 +113,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("signatures").alias("fingerprint"), shown("edited_signatures").alias("edited_fingerprint"), likeness("signatures", "edited_signatures").alias("near_edited"), likeness("signatures", "next_signatures").alias("near_next"))
 
 
+def _part(n: Column, least: float) -> Column:
+    """The partition of sets of n signatures: the longest set that can be alike is in the next one at most."""
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(least))).cast("int")
+
+
+def buckets(nodes: DataFrame, least: float) -> DataFrame:
+    """key, node, n: where fingerprints (node, signatures) that may be alike meet, by length partition and signature.
+
+    Of two sets of likeness least, both have a common signature among their first n - ceil(least * n) + 1, in any order;
+    infrequent ones come first here. A set goes to its own partition and to those of the longer sets that it may be like.
+    """
+    each = nodes.select("node", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    frequent = written(each.groupBy("s").agg(F.count("*").alias("times")).where(F.col("times") > FREQUENT), "frequent")
+    ordered = met(each, frequent, ["s"], "left", F.col("node")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "s"))).alias("by"))
+    first = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    longest = F.floor(F.col("n") / least + 1e-9)
+    placed = ordered.select("node", "n", F.explode(first).alias("at")).select("node", "n", "at.s", F.explode(F.sequence(_part(F.col("n"), least), _part(longest, least))).alias("part"))
+    return placed.select(F.xxhash64("part", "s").alias("key"), "node", "n")
+
+
+def linked(nodes: DataFrame, least: float) -> DataFrame | None:
+    """node, label of the fingerprints (node, signatures) that are like another; None if there are none.
+
+    Rounds of pivots: a bucket's pivots are held against its members of other classes and then leave it, and buckets of one
+    class are done. Pivots double each round, so a bucket of copies ends early and a mixed one in rounds by its logarithm.
+    """
+    members = buckets(nodes, least)
+    left = written(members.join(members.groupBy("key").agg(F.count("*").alias("meets")).where("meets > 1"), "key"), "members")
+    busy = written(left.groupBy("node").agg(F.sum("meets").alias("met")), "busy")
+    left, sets, labels, slots = left.drop("meets").join(busy, "node"), written(nodes.join(busy, "node").select("node", "signatures"), "sets"), None, 1
+    while True:
+        now = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        now = written(now.join(several, "key"), "open")
+        if now.isEmpty():
+            return labels
+        pivots = written(now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")).agg(F.max(F.struct("met", "node", "n", "label")).alias("pivot")).select("key", "pivot.node", "pivot.n", "pivot.label"), "pivots")
+        apart = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")).join(now, "key").where(F.col("pl") != F.col("label"))
+        fits = apart.where(F.least("n", "pn") >= F.greatest("n", "pn") * least - 1e-9).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        held = fits.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+        links = written(held.where(likeness("s", "t", least) >= least).select("a", "b"), "links")
+        labels = relabelled(labels, links)
+        left, slots = now.drop("label").join(pivots.select("key", "node"), ["key", "node"], "left_anti"), 2 * slots
+
+
+def near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and class_size (rows) of each document.
+
+    Fingerprints of a likeness of least or more are linked, and classes are what links connect. Equal fingerprints are one throughout.
+    """
+    own = written(with_signatures(text_of(docs), "text", "signatures").select("doc_id", F.xxhash64("signatures").alias("node"), "signatures"), "signatures")
+    labels = linked(own.where(F.size("signatures") > 0).groupBy("node").agg(F.first("signatures").alias("signatures")), least)
+    found = own.select("doc_id", "node")
+    found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = written(found, "classes")
+    heads = written(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "heads")
+    return found.join(heads, "label").select("doc_id", "class_id", "class_size")
+
+
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -177,6 +177,32 @@ def test_fingerprints_against_plain_signatures(spark):
         assert got[i]["near_edited"] == pytest.approx(len(sets[i] & edited) / len(sets[i] | edited))
 
 
+def test_near_copies_against_all_pairs(spark, docs, texts, empty, monkeypatch):
+    """Classes by all pairs of fingerprints, with edits of every strength; frequent signatures and several rounds of pivots included."""
+    monkeypatch.setattr(fingerprints, "FREQUENT", 3)
+    rng = random.Random(8)
+    pool = [*fingerprints.ANCHORS, *WORDS]
+    more = []
+    for _ in range(6):
+        base = [rng.choice(pool) for _ in range(rng.randint(40, 250))]
+        more += [" ".join(rng.choice(pool) if rng.random() < k / 150 else w for w in base[: len(base) - rng.randint(0, 12)]) for k in range(12)]
+    every = [*enumerate(texts), *((1000 + i, t) for i, t in enumerate([*more, *more[:5], "", None]))]
+    df = spark.createDataFrame(every, "doc_id long, text string").withColumn("node", F.lit("of its own")).withColumn("signatures", F.lit(1))
+    sets = by_id(fingerprints.with_signatures(fingerprints.text_of(df), "text", "signatures"))
+    ids = sorted(i for i, _ in every)
+    label = {i: i for i in ids}
+    for i in ids:
+        for j in (j for j in ids if j < i):
+            s, t = (set(sets[k]["signatures"]) for k in (i, j))
+            if s == t or len(s & t) >= 0.8 * len(s | t) > 0:
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    got = by_id(fingerprints.near_copies(df))
+    assert {i: got[i]["class_id"] for i in ids} == label
+    assert len(set(label.values())) < len({tuple(r["signatures"]) for r in sets.values()})
+    assert fingerprints.near_copies(empty).count() == 0
+
+
 def base_spans(t):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
