@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .collocations import collocations_sql, op12_collocations
+from .filter_audit import filter_audit_sql, op13_filter_audit
 from .fingerprints import op4_fingerprints
 from .html_extraction import op6_html_extraction
+from .language_id import op11_language_id
 from .line_dedup import op8_line_dedup
 from .lm_scoring import op5_lm_scoring
 from .mixing import mixing_sql, op2_mixing
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "op11_language_id": op11_language_id,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
