@@ -3,8 +3,8 @@
 Lines are in lower case, with tokens that hold a digit generalised to <*>. The tree has the token count at its first
 level and the leading tokens below. A leaf holds several templates: one of all its lines, and one of the lines that share a run
 of tokens; there are so many runs that lines that differ in no more places than a template allows share one. A template takes, position by
-position, the token that most of its documents have. A long line that agrees with a template in nearly all tokens belongs to
-it, with several to each of them, and goes with the one of most documents; every other line is a template of its own.
+position, the token that most of its documents have. A template has variable places for a tenth of its tokens, MOST_FIELDS at most: a
+long line that agrees with it in all others belongs to it, with several to each of them, and goes with the one of most documents; every other line is a template of its own.
 A template found in least_documents documents or more is dropped from all of them but the first (least doc_id).
 
 Copies of a text are one document here: documents count by their signature, the hash of the whole text. So copies
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import met, table, written
 
-#: Leading tokens below the token count; lines of so many tokens can differ from a template in DIFFERENT of them.
-DEPTH, LONG, DIFFERENT = 3, 10, 0.1
+#: Leading tokens below the token count; lines of so many tokens can differ from a template in DIFFERENT of them, MOST_FIELDS at most.
+DEPTH, LONG, DIFFERENT, MOST_FIELDS = 3, 10, 0.1, 20
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
@@ -57,9 +57,14 @@ def of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
     return met(lines, leaves, ["leaf"], "left_semi", F.col("h"))
 
 
+def _fields() -> Column:
+    """How many places of a line a template leaves open."""
+    return F.least(F.floor(F.size("words") * DIFFERENT), F.lit(MOST_FIELDS).cast("long"))
+
+
 def _groups() -> Column:
     """The leaf and, for each of the runs that a line's tokens after the leading ones are cut into, the hash of leaf, run and its tokens."""
-    runs = F.floor(F.size("words") * DIFFERENT) + 1
+    runs = _fields() + 1
     end = lambda j: (DEPTH + F.floor(j * (F.size("words") - DEPTH) / runs)).cast("int")
     run = lambda j: F.xxhash64("leaf", j, F.slice("words", end(j) + 1, end(j + 1) - end(j)))
     return F.concat(F.array("leaf"), F.transform(F.sequence(F.lit(0).cast("long"), runs - 1), run))
@@ -81,9 +86,14 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
     own = met(own, sources, ["row"], "left_semi", F.lit(0))
     texts = own.select(F.explode_outer(normalised(F.coalesce("text", F.lit("")))).alias("line")).select(F.trim("line").alias("line"), _parsed(F.col("line")).alias("p")).where(F.col("p.n") >= LONG).select("line", "p.h", "p.leaf")
     texts = of_leaves(texts, several).groupBy("leaf", "h").agg(F.first("line").alias("line"))
-    texts = written(texts.withColumn("words", F.split("line", " ")).select("h", "line", F.explode(_groups()).alias("leaf")), "groups")
-    texts = of_leaves(texts, texts.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
-    texts = written(texts.withColumn("words", F.transform(F.split("line", " "), lambda t: F.xxhash64(t))).drop("line"), "words")
+    # Each line's tokens stand here once; its groups are rows of two hashes.
+    texts = written(texts.select("leaf", "h", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)).alias("words")), "texts")
+    groups = written(texts.select("leaf", "h", F.explode(_groups()).alias("group")), "groups")
+    # Groups of the same lines are one: near copies of a long line share most of their runs.
+    held = groups.groupBy("group").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), F.bit_xor("h").alias("all"), F.sum(F.col("h").cast("decimal(20,0)")).alias("sum")).where("n > 1")
+    held = held.groupBy("leaf", "n", "all", "sum").agg(F.min("group").alias("group")).select("group")
+    pairs = met(groups.select("h", "group"), held, ["group"], "left_semi", F.col("h"))
+    texts = written(texts.select("h", "words").join(pairs, "h").select("h", "words", F.col("group").alias("leaf")), "words")
     tokens = texts.join(_documents(long, "h"), "h").select("leaf", "documents", F.posexplode_outer("words").alias("pos", "token"))
     # The heaviest token of a position, among equals that of the largest low bits.
     rank = F.col("w") * (1 << 24) + F.col("token").bitwiseAND(F.lit((1 << 24) - 1))
@@ -92,7 +102,7 @@ def generalised(docs: DataFrame, lines: DataFrame, least_documents: int) -> Data
     # Rows as long as lines: not broadcast by their number. Spark splits the rows of a hot leaf, as both sides are plain exchanges.
     both = texts.join(written(template, "constants"), "leaf")
     same = F.size(F.filter(F.zip_with("words", "constants", lambda a, b: a == b), lambda x: x))
-    return both.where(same >= (1 - DIFFERENT) * F.size("words")).select("h", "leaf")
+    return both.where(F.size("words") - same <= _fields()).select("h", "leaf")
 
 
 def recurring(docs: DataFrame, lines: DataFrame, least_documents: int) -> DataFrame:
