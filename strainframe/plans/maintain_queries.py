@@ -11,8 +11,9 @@ from ..operators import lineage, reshape, stats
 from ..operators import maintain as m
 from ..operators.match import auto_linked
 from ..operators.scale import shared_dir
-from ..sources import readers, writers
+from ..sources import readers, variant_store, writers
 from ..streaming.ingest import ingest, snapshot
+from ..streaming.ranged import RangedTable
 from .bindings import EAV_TEXT, SAMPLES, SEQUENCES, calls, eav_text, query, samples, sequences, table
 
 ORDERS = "(SELECT o_orderkey AS name, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS cust FROM orders)"
@@ -225,11 +226,32 @@ def metadata_round_trip(spark, sf):
 def variant_store_round_trip(spark, sf):
     """Variants written once each, by reference, and read without the unclear ones."""
     path = _folder(spark)
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seqhash"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 1).alias("end"), F.lit("G").alias("ref"), F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_returnflag")).alias("alt"), F.lit("nt").alias("type"), F.col("l_linestatus").alias("refhash"), F.col("l_linestatus").alias("reference_acc"))  # noqa: E741
-    writers.write_variants(l, path)
+    writers.write_variants(_variants(spark, sf), path)
     return readers.read_variants(spark, path).groupBy("seqhash", "start", "alt").agg(F.count("*").alias("n"))
 
 
+def _variants(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seqhash"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 1).alias("end"), F.lit("G").alias("ref"), F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_returnflag")).alias("alt"), F.lit("nt").alias("type"), F.col("l_linestatus").alias("refhash"), F.col("l_linestatus").alias("reference_acc"))
+
+
+@query("SELECT DISTINCT l_orderkey AS seqhash, l_partkey AS start, CASE WHEN l_returnflag = 'R' THEN ' ' ELSE l_returnflag END AS alt FROM lineitem WHERE l_linestatus = 'F' AND l_partkey BETWEEN (SELECT max(l_partkey) // 4 FROM lineitem) AND (SELECT max(l_partkey) // 4 + max(l_partkey) // 50 FROM lineitem)")
+def variant_region_scan(spark, sf):
+    """A fiftieth of one reference from a store of many files: those that the manifest names are opened."""
+    path, v = _folder(spark), _variants(spark, sf)
+    last = v.agg(F.max("start")).first()[0]
+    variant_store.write_variants(v, path, max(1000, last * 2))
+    return variant_store.read_region(spark, path, "F", last // 4, last // 4 + last // 50).select("seqhash", "start", "alt")
+
+
+@query("SELECT DISTINCT l_orderkey AS seqhash FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'A' AND l_partkey = (SELECT max(l_partkey) // 3 FROM lineitem)")
+def variant_allele_scan(spark, sf):
+    """The sequences that carry one variant."""
+    path, v = _folder(spark), _variants(spark, sf)
+    last = v.agg(F.max("start")).first()[0]
+    variant_store.write_variants(v, path, max(1000, last * 2))
+    return variant_store.read_allele(spark, path, "F", last // 3, "G", "A").select("seqhash")
+
+
 @query("SELECT o_orderkey AS sample, coalesce(string_agg(DISTINCT l, ', ' ORDER BY l) FILTER (r = 'rep0'), '') AS rep0, coalesce(string_agg(DISTINCT l, ', ' ORDER BY l) FILTER (r = 'rep1'), '') AS rep1, coalesce(string_agg(DISTINCT l, ', ' ORDER BY l) FILTER (r = 'rep0' AND g = 'g1'), '') AS rep0_g1 FROM orders LEFT JOIN (SELECT l_orderkey, 'rep' || (l_linenumber % 2)::VARCHAR AS r, 'g' || (l_linenumber % 3)::VARCHAR AS g, l_linestatus || l_partkey::VARCHAR || l_returnflag AS l FROM lineitem) ON o_orderkey = l_orderkey GROUP BY 1")
 def wide_export(spark, sf):
     """The wide table, exported and read again."""
@@ -284,6 +306,24 @@ def stream_ingest_snapshot(spark, sf):
     return snapshot(spark, f"{path}/out/data", schema, ["name"], "seq").select("name", "status")
 
 
+@query(f"""WITH late AS (SELECT sample FROM {SAMPLES} WHERE sample BETWEEN (SELECT max(o_orderkey) // 3 FROM orders) AND (SELECT max(o_orderkey) // 3 + max(o_orderkey) // 100 FROM orders))
+SELECT sample AS name, CASE WHEN sample IN (SELECT sample FROM late) THEN 'late' ELSE status END AS status, sample // (SELECT max(o_orderkey) // 200 + 1 FROM orders) IN (SELECT sample // (SELECT max(o_orderkey) // 200 + 1 FROM orders) FROM late) AS rewritten FROM {SAMPLES}""")
+def stream_ingest_ranges(spark, sf):
+    """Orders arrive, then changes to one in a hundred: only their ranges are written again."""
+    path = _folder(spark)
+    o = samples(spark, sf).select(F.col("sample").alias("name"), "status")
+    last = o.agg(F.max("name")).first()[0]
+    stored = RangedTable(spark, f"{path}/out", "name long, status string, seq int", ["name"], "seq", last // 200 + 1)
+
+    def drop(df):
+        df.repartition(2).write.mode("append").parquet(f"{path}/in")
+        stored.ingest(f"{path}/in", f"{path}/state").awaitTermination()
+
+    drop(o.withColumn("seq", F.lit(0)))
+    drop(o.where(F.col("name").between(last // 3, last // 3 + last // 100)).withColumns({"status": F.lit("late"), "seq": F.lit(1)}))
+    return stored.read().select("name", "status", (F.col("batch") > 0).alias("rewritten"))
+
+
 @query(f"SELECT 'd' || id::VARCHAR AS id, sequence FROM {SEQUENCES}")
 def packed_fasta_round_trip(spark, sf):
     """Sequences as xz, gz and zip files, one for each hundred documents, packed by the executors and read again by content."""

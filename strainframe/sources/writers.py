@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reshape import wide_profiles
-
-#: Tasks that write the variants of one reference.
-SPREAD = 32
+from .variant_store import write_variants  # noqa: F401  a writer too
 
 
 def export(df: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
@@ -48,12 +46,6 @@ def write_vcf(rows: DataFrame, path: str, samples: list[str]) -> None:
     vcf_lines(rows, samples).orderBy("k", "chrom", "pos", "ref").select("value").write.text(path)
 
 
-def write_variants(variants: DataFrame, path: str) -> None:
-    """The variant store: rows of each distinct sequence once, by reference (whose rows are dealt to SPREAD files), zstd. The commit protocol makes the replacement whole."""
-    keys = [c for c in ("seqhash", "refhash", "start", "end", "ref", "alt", "type") if c in variants.columns]
-    variants.dropDuplicates(keys).repartition("reference_acc", F.pmod(F.xxhash64(*keys), F.lit(SPREAD))).sortWithinPartitions("reference_acc", "start").write.mode("overwrite").partitionBy("reference_acc").option("compression", "zstd").parquet(path)
-
-
 def write_reports(written: DataFrame, errors: DataFrame, path: str, key: str = "name") -> None:
     """Lists of the ids that were written and of the cells that could not be read."""
     written.select(F.col(key).cast("string")).distinct().write.mode("overwrite").text(f"{path}/ids")
