@@ -6,9 +6,9 @@ dictionary with the number of times they were parsed. Phrases are counted inside
 of up to OVERLAP + 1 words lies in a chunk whole, and the one that holds its first word outside the overlap with the next chunk counts it,
 so what lies in an overlap is counted once.
 
-Counting goes by length. Hashes of phrases are counted first, and a phrase is only looked at if all shorter phrases
-inside it have hashes found LEAST times or more. That is asked of a bit array of fixed size (FILTER_BITS, broadcast): more phrases
-than it can tell apart make more rows, never other results. What passes for all lengths is counted once more by its words, exactly.
+Words are counted as they are parsed. Pairs of frequent words are counted by a hash first, and what the second, exact count looks at
+are pairs whose hash is found LEAST times or more, and triples of two such pairs. That is asked of bit arrays of fixed size (FILTER_BITS,
+broadcast): more phrases than they can tell apart make more rows, never other results.
 
 Per lang, a candidate is a phrase of 2 or 3 words found LEAST times or more. Its score is the lowest over its cuts into two
 parts, floor(1000000 * a * a / (l * r)), ties to the first cut; it goes if a longer candidate that holds it has 100 * f >= 50 * a.
@@ -19,7 +19,7 @@ ties of score and frequency go by the bytes of the phrase; an empty table gives
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,10 @@ from .common import met, table, written
 
 LEAST, TOP, SHADOWED, MOST_WORDS = 10, 2000, 50, 3
 #: Words that consecutive chunks share; one pair of words in EVERY ends a chunk.
-OVERLAP, EVERY = MOST_WORDS - 1, 8
+OVERLAP, EVERY = MOST_WORDS - 1, 16
 FILTER_BITS = 1 << 26
-#: Entries that a task holds before it hands them on; hashes of words kept between batches; groups of the first round of ranking.
-HELD, CACHED_WORDS, SLOTS = 200_000, 400_000, 64
+#: Distinct words and hashes that a task holds before it hands them on; chunks it looks at together; hashes of words kept; groups of the first round of ranking.
+HELD, TOGETHER, CACHED_WORDS, SLOTS = 200_000, 40_000, 400_000, 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Separators become one that is a token of its own, which no word can be.
 PIECES = bytes.maketrans(SEPARATORS + bytes(range(65, 91)), b"." * len(SEPARATORS) + bytes(range(97, 123)))
@@ -86,41 +86,54 @@ def chunks(tokens: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.sort(np.concatenate((first, ends - OVERLAP + 1))), np.sort(np.concatenate((stop, ends + 1))), np.isin(np.sort(np.concatenate((stop, ends + 1))), stop)
 
 
-def _chunked(batches):
-    hashes, found = Hashes(), defaultdict(int)
+PARSED = pa.schema([("lang", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary()), ("n", pa.int64())])
 
-    def out():
-        cols = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [[]] * 4
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.binary(), pa.int64()), strict=True)], names=["lang", "last", "chunk", "n"])
+
+def _rows(langs: list, lasts: list, chunk_texts: list, ns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((langs, lasts, chunk_texts, ns), PARSED, strict=True)], schema=PARSED)
+
+
+def _parsed(batches):
+    hashes, words = Hashes(), defaultdict(Counter)
+
+    def counted():
+        for lang, found in words.items():
+            found.pop(b".", None)
+            yield _rows([lang] * len(found), [None] * len(found), list(found), list(found.values()))
+        words.clear()
 
     for batch in batches:
         by_lang = defaultdict(list)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             by_lang[lang].append(text)
         for lang, texts in by_lang.items():
-            tokens = tokens_of(texts)
-            for a, b, last in zip(*(x.tolist() for x in chunks(tokens, hashes.of(tokens))), strict=True):
-                found[lang, last, b" ".join(tokens[a:b])] += 1
-            if len(found) > HELD:
-                yield out()
-    yield out()
+            for i in range(0, len(texts), 1000):
+                tokens = tokens_of(texts[i : i + 1000])
+                words[lang].update(tokens)
+                first, stop, last = chunks(tokens, hashes.of(tokens))
+                # A chunk of one word has no phrase.
+                several = stop - first > 1
+                found = [b" ".join(tokens[a:b]) for a, b in zip(first[several].tolist(), stop[several].tolist(), strict=True)]
+                yield _rows([lang] * len(found), last[several].tolist(), found, [1] * len(found))
+        if sum(map(len, words.values())) > HELD:
+            yield from counted()
+    yield from counted()
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """lang, last (ends its piece), chunk and how often it was parsed."""
+    """lang, last (whether it ends its piece), chunk and how often it was parsed; and with last null: the words and how often they were found."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(_chunked, "lang string, last boolean, chunk binary, n long").groupBy("lang", "last", "chunk").agg(F.sum("n").alias("n"))
+    return own.mapInArrow(_parsed, "lang string, last boolean, chunk binary, n long").groupBy("lang", "last", "chunk").agg(F.sum("n").alias("n"))
 
 
 class Bits:
-    """A bit array of FILTER_BITS that says of a 64-bit hash whether it may be in the set."""
+    """A bit array (a power of two of bits) that says of a 64-bit hash whether it may be in the set."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
     def __getitem__(self, h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(FILTER_BITS - 1)
+        at = h & np.uint64(64 * len(self.words) - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -133,37 +146,60 @@ def bits(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
 
+def seeds(langs: list[str]) -> np.ndarray:
+    known = {x: np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))) for x in set(langs)}
+    return np.fromiter(map(known.__getitem__, langs), dtype=np.uint64, count=len(langs))
+
+
 class Phrases:
-    """The phrases of a batch of the dictionary: tokens with the hash of lang and word, and which phrases begin at each."""
+    """Chunks as tokens, with the hash of lang and word, and which phrases begin at each."""
 
-    def __init__(self, batch: pa.RecordBatch, hashes: Hashes) -> None:
-        langs, lasts, texts, ns = (c.to_pylist() for c in batch.columns)
-        self.langs, self.texts = langs, texts
+    def __init__(self, rows: pa.Table, hashes: Hashes) -> None:
+        self.langs, lasts, texts, ns = (c.to_pylist() for c in rows.columns)
         self.tokens = END.join(texts).split(b" ") + [b"."]
-        h = hashes.of(self.tokens)
+        words = list(dict.fromkeys(self.tokens))
+        self.ids = np.fromiter(map(dict(zip(words, range(len(words)), strict=True)).__getitem__, self.tokens), dtype=np.int64, count=len(self.tokens))
+        self.n_words, h = len(words), hashes.of(words)[self.ids]
         stop = np.flatnonzero(h == 0)
-        first = np.concatenate(([0], stop[:-1] + 1))
-        self.row = np.repeat(np.arange(len(first)), stop - first + 1)
+        size = np.diff(stop, prepend=-1)
+        self.row = np.repeat(np.arange(len(stop)), size)
         self.left = stop[self.row] - np.arange(len(h))  # tokens from here to the end of the chunk
         self.n = np.array(ns, dtype=np.int64)[self.row]
         # Phrases that begin in the overlap belong to the next chunk.
-        self.begins = (h != 0) & (self.left > np.where(np.array(lasts), 0, OVERLAP)[self.row])
-        seeds = {x: np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))) for x in set(langs)}
-        self.h = [mixed(np.array([seeds[x] for x in langs], dtype=np.uint64)[self.row], h)]
-
-    def hashes(self, words: int, filters: list[Bits]) -> tuple[np.ndarray, np.ndarray]:
-        """Where phrases of so many words begin that all filters of shorter phrases let pass, and their hashes."""
-        while len(self.h) < words:
-            k = len(self.h)
-            longer = self.h[-1].copy()
-            longer[:-k] = mixed(self.h[-1][:-k], self.h[0][k:])
-            self.h.append(longer)
-        at = np.flatnonzero(self.begins & (self.left >= words))
-        for k in range(1, words):
-            for j in range(words - k + 1):
-                if len(filters) >= k:
-                    at = at[filters[k - 1][self.h[k - 1][at + j]]]
-        return at, self.h[words - 1][at]
+        self.begins = (h != 0) & (self.left > np.where(np.array(lasts, dtype=bool), 0, OVERLAP)[self.row])
+        self.one = mixed(seeds(self.langs)[self.row], h)
+        self.two = np.append(mixed(self.one[:-1], h[1:]), np.uint64(0))
+
+    def pairs(self, words: Bits) -> np.ndarray:
+        """Where pairs of frequent words begin."""
+        at = np.flatnonzero(self.begins & (self.left >= 2))
+        often = words[self.one]
+        return at[often[at] & often[at + 1]]
+
+    def distinct(self, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each phrase among those of so many words at these places is first, and its number: told apart by lang and words."""
+        names = {x: i for i, x in enumerate(dict.fromkeys(self.langs))}
+        key, size = np.fromiter(map(names.__getitem__, self.langs), dtype=np.int64, count=len(self.langs))[self.row[at]], len(names)
+        for j in range(words):
+            if size * self.n_words >= 1 << 62:
+                key, size = np.unique(key, return_inverse=True)[1], len(at)
+            key, size = key * self.n_words + self.ids[at + j], size * self.n_words
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, dtype=np.int64)
+        return at[order[first]], (np.add.reduceat(self.n[at[order]], first) if len(first) else first)
+
+
+def together(batches):
+    """Batches as tables of TOGETHER rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held.clear()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,61 +209,50 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], (np.add.reduceat(n, first) if len(h) else n)
 
 
-def frequent_hashes(chunk_rows: DataFrame, words: int, filters: list) -> DataFrame:
-    """h of the phrases of so many words whose hash is found LEAST times or more."""
+def _word_hashes(batches):
+    hashes = Hashes()
+    for batch in batches:
+        h = mixed(seeds(batch.column(0).to_pylist()), hashes.of(batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    def counted(batches):
-        hashes, shared, held, size = Hashes(), [Bits(f.value) for f in filters], [], 0
 
-        def out():
-            h, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-        for batch in batches:
-            if batch.num_rows:
-                phrases = Phrases(batch, hashes)
-                at, h = phrases.hashes(words, shared)
-                held.append(_summed(h, phrases.n[at]))
-                size += len(held[-1][0])
-                if size > 5 * HELD:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
+def frequent_pairs(chunk_rows: DataFrame, words) -> DataFrame:
+    """h of the pairs of frequent words whose hash is found LEAST times or more."""
+
+    def counted(batches):
+        hashes, often = Hashes(), Bits(words.value)
+        for rows in together(batches):
+            phrases = Phrases(rows, hashes)
+            at = phrases.pairs(often)
+            h, n = _summed(phrases.two[at], phrases.n[at])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return chunk_rows.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("h")
 
 
-def counted_phrases(chunk_rows: DataFrame, filters: list) -> DataFrame:
-    """lang, words (how many), phrase and f of the phrases found LEAST times or more, and under words 0 how many words lang has."""
+def counted_phrases(chunk_rows: DataFrame, words, pairs) -> DataFrame:
+    """lang, words (how many), phrase and f of the phrases of several words found LEAST times or more."""
 
     def named(batches):
-        hashes, shared, found = Hashes(), [Bits(f.value) for f in filters], defaultdict(int)
-
-        def out():
-            cols = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [[]] * 4
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["lang", "words", "phrase", "f"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            phrases = Phrases(batch, hashes)
-            for words in range(1, MOST_WORDS + 1):
-                at, h = phrases.hashes(words, shared)
-                at = at[shared[words - 1][h]]
-                for i, row, n in zip(at.tolist(), phrases.row[at].tolist(), phrases.n[at].tolist(), strict=True):
-                    found[phrases.langs[row], words, b" ".join(phrases.tokens[i : i + words])] += n
-            begun = np.bincount(phrases.row[phrases.begins], minlength=batch.num_rows)
-            for lang, n in zip(phrases.langs, (begun * batch.column(3).to_numpy()).tolist(), strict=True):
-                found[lang, 0, b""] += n
-            if len(found) > HELD:
-                yield out()
-        yield out()
+        hashes, often, together_often = Hashes(), Bits(words.value), Bits(pairs.value)
+        for rows in together(batches):
+            phrases = Phrases(rows, hashes)
+            at = phrases.pairs(often)
+            at = at[together_often[phrases.two[at]]]
+            is_pair = np.zeros(len(phrases.tokens) + 1, dtype=bool)
+            # The second pair of a triple may begin in the overlap.
+            whole = np.flatnonzero(phrases.left >= 3)
+            is_pair[at] = True
+            second = whole[is_pair[whole]] + 1
+            second = second[often[phrases.one[second + 1]] & together_often[phrases.two[second]]]
+            for size, places in ((2, at), (3, second - 1)):
+                first, n = phrases.distinct(places, size)
+                found = [b" ".join(phrases.tokens[i : i + size]) for i in first.tolist()]
+                langs = [phrases.langs[i] for i in phrases.row[first].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
 
     rows = chunk_rows.mapInArrow(named, "lang string, words int, phrase binary, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    return rows.where((F.col("f") >= LEAST) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
+    return rows.where(F.col("f") >= LEAST).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _score(l: Column, r: Column) -> Column:  # noqa: E741
@@ -238,13 +263,14 @@ def _score(l: Column, r: Column) -> Column:  # noqa: E741
 
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the TOP candidates of each lang."""
-    chunk_rows = written(dictionary(docs), "chunks")
-    filters: list = []
-    for words in range(1, MOST_WORDS + 1):
-        filters.append(bits(frequent_hashes(chunk_rows, words, filters)))
-    counts = written(counted_phrases(chunk_rows, filters), "phrases")
-    f = counts.where("words > 0").select("lang", "phrase", "f")
-    cands = counts.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"))
+    parsed = written(dictionary(docs), "chunks")
+    chunk_rows, found = parsed.where("last IS NOT NULL"), parsed.where("last IS NULL")
+    words = found.where(F.col("n") >= LEAST)
+    word_bits = bits(words.select("lang", "chunk").mapInArrow(_word_hashes, "h long"))
+    pair_bits = bits(frequent_pairs(chunk_rows, word_bits))
+    counts = written(counted_phrases(chunk_rows, word_bits, pair_bits), "phrases")
+    f = counts.select("lang", "phrase", "f").unionByName(words.select("lang", F.col("chunk").cast("string").alias("phrase"), F.col("n").alias("f")))
+    cands = counts.select("lang", "words", "phrase", F.col("f").alias("a"))
     # Each candidate with the longest candidates' frequency that holds it.
     around = cands.where("words = 3").select("lang", "a", F.split("phrase", " ").alias("w")).select("lang", "a", F.explode(F.array(F.concat_ws(" ", F.slice("w", 1, 2)), F.concat_ws(" ", F.slice("w", 2, 2)))).alias("phrase"))
     around = around.groupBy("lang", "phrase").agg(F.max("a").alias("held"))
@@ -259,7 +285,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = best.withColumn("slot", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(*order))).where(F.col("rank") <= TOP)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= TOP)
-    totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
+    totals = found.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

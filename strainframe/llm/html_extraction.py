@@ -4,7 +4,8 @@ The pages of a host are merged by the paths of their elements (tag and class). F
 content importance comes from the entropy of its contents over the host's pages (a content on every page says nothing,
 one on a single page says most), and presentation importance from the entropy of its children's tag sequences. Containers of
 low importance are removed from each page, beside those that say themselves what they are (nav, footer, class="ad", ...);
-inside an article fewer words say so. Copies of a page count as one page of their host. Paragraphs, headings and the like, html, body,
+inside an article fewer words say so. Pages of a host whose articles (without an article: whose blocks) are the same are copies, whatever else differs, and
+count as one page. Of an article the tree removes no branch that holds half of its words or more and LEAST_BODY words, as near copies share one. Paragraphs, headings and the like, html, body,
 an article or main element and what holds one on any page of the host are never of low importance; containers inside an article can be.
 Where a page has an article, the text is what it holds. A page that would lose all its text to the tree keeps it, less its noise.
 Elements nested below DEPTH containers are judged with the container at that depth.
@@ -40,13 +41,14 @@ OWN_WORDS = frozenset("related reply respond header search alert login widget sh
 TEXTUAL = frozenset("html body p h1 h2 h3 h4 h5 h6 blockquote pre li tr td th tbody thead dd dt figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(["article", "main"])
+#: Words by which an article says that it is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments reply respond".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*(?:>|\Z)""", re.S | re.I)
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 LEAST_PAGES, LEAST_IMPORTANCE, PRESENTATION, DEPTH = 2, 0.35, 0.1, 64
-#: Copied pages whose counts are broadcast.
-BROADCAST_PAGES = 200_000
+#: Words from which on a branch may be an article's body.
+LEAST_BODY = 20
 
 
 def _key(text: str, above: int = 0) -> int:
@@ -57,15 +59,21 @@ def _key(text: str, above: int = 0) -> int:
 def _noise(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
     """Whether an element says that it is not the article; its class as part of its path."""
     bad, style = tag in NOISE_TAGS or tag == "header" and not in_main, ""
-    if attrs and tag not in MAIN and tag not in ("html", "body"):
-        for m in NAMED.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            said = NOISE_WORDS.intersection(re.split(r"[^a-z0-9]+", value))
-            if said and not (in_main and (tag in TEXTUAL or said <= OWN_WORDS)):
-                bad = True
-            if m[1].lower() == "class":
+    if "=" in attrs or "hidden" in attrs.lower():
+        for m in ATTRIBUTE.finditer(attrs):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "class" and tag not in MAIN:
                 style = value
-        bad = bad or bool(HIDDEN.search(attrs))
+            if tag in ("html", "body"):
+                continue
+            if name in ("class", "id", "role"):
+                said = NOISE_WORDS.intersection(re.split(r"[^a-z0-9]+", value))
+                if tag in MAIN:
+                    bad = bad or tag == "article" and bool(said & COMMENT_WORDS)
+                else:
+                    bad = bad or bool(said) and not (in_main and (tag in TEXTUAL or said <= OWN_WORDS))
+            else:
+                bad = bad or name == "hidden" or name == "aria-hidden" and value == "true"
     return bad, style
 
 
@@ -79,10 +87,14 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
     stack: list[tuple] = []  # tag, path, noise, tags of children, containers
     holders: set[int] = set()
     text: list[str] = []
-    noise = mains = 0
+    inline: list[tuple[str, bool]] = []  # open inline elements of the block
+    noise = mains = unseen = 0
     met_main = False
 
     def flush() -> None:
+        nonlocal unseen
+        inline.clear()
+        unseen = 0
         if text:
             if not noise and (block := " ".join(entities.unescape("".join(text)).split())):
                 blocks.append((stack[-1][1] if stack else 0, block, mains > 0))
@@ -98,7 +110,7 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
 
     at = 0
     for m in TOKEN.finditer(html):
-        if m.start() > at and not noise:
+        if m.start() > at and not noise and not unseen:
             text.append(html[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -108,6 +120,15 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
+            elif m[2]:
+                if any(x == tag for x, _ in inline):
+                    while (closed := inline.pop())[0] != tag:
+                        unseen -= closed[1]
+                    unseen -= closed[1]
+            elif tag not in VOID:
+                own = tag == "label" or bool(m[4]) and _noise(tag, m[4], mains > 0)[0]
+                inline.append((tag, own and not everything))
+                unseen += own and not everything
             continue
         flush()
         if m[2]:
@@ -140,7 +161,7 @@ def parse(html: str, low: frozenset = frozenset(), everything: bool = False) ->
             noise += bad
             mains += tag in MAIN
             met_main = met_main or tag in MAIN and not noise
-    if at < len(html) and not noise:
+    if at < len(html) and not noise and not unseen:
         text.append(html[at:])
     flush()
     while stack:
@@ -167,19 +188,31 @@ def _styled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STYLED, strict=True)], schema=STYLED)
 
 
+def signature(html: str) -> int:
+    """What copies of a page have in common: the blocks of its articles, or all where there is none."""
+    return _key("\n".join(t for _, t in parse(html)[0]))
+
+
+def _signed(batches):
+    for batch in batches:
+        signs = pa.array([signature(x) for x in batch.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signs], names=["page", "host", "sign"])
+
+
 def with_copies(pages: DataFrame) -> DataFrame:
-    """host, html and how many rows of the host have this html."""
+    """host, html and how many rows of the host are copies of it."""
     own = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
-    copies = own.groupBy("page").agg(F.count("*").alias("copies")).where("copies > 1")
-    if small_enough(copies, BROADCAST_PAGES):
-        copies = F.broadcast(copies)
-    return own.join(copies, "page", "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    # Rows of one page are counted before they are dealt, and pages of one sign once more.
+    signs = written(own.select("page", "host", "html").mapInArrow(_signed, "page long, host long, sign long").groupBy("page", "host", "sign").agg(F.count("*").alias("n")), "signs")
+    several = signs.groupBy("host", "sign").agg(F.sum("n").alias("copies")).where("copies > 1")
+    copies = met(signs, several, ["host", "sign"], "inner", F.col("page")).select("page", "copies")
+    return met(own, copies, ["page"], "left", F.col("html")).select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """host and path of each branch of low importance (pages: host as a 64-bit hash, html)."""
     rows = with_copies(pages).mapInArrow(_styled, "host long, path long, kind int, feature long, above array<long>, n double")
-    found = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).alias("n"), F.first("above", ignorenulls=True).alias("above"))
+    found = rows.groupBy("host", "path", "kind", "feature").agg(F.greatest(F.lit(1.0), F.round(F.sum("n"))).alias("n"), F.first("above", ignorenulls=True).alias("above"))
     logs = F.when((F.col("kind") == CONTENT), F.log("n"))
     styles = F.when(F.col("kind") == CHILDREN, F.col("n") * F.log("n"))
     paths = found.groupBy("host", "path").agg(F.sum(logs).alias("logs"), F.count(logs).alias("contents"), F.sum(styles).alias("styles"), F.sum(F.when(F.col("kind") == CHILDREN, F.col("n"))).alias("seen"), F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("m"), F.first("above", ignorenulls=True).alias("above"), F.max(F.col("kind") == HOLDS).alias("holds"))
@@ -201,11 +234,32 @@ def _paths(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*found, strict=True)) or [[]] * 3)], names=["page", "host", "path"])
 
 
+def _words(blocks: list[tuple[int, str]]) -> int:
+    return sum(len(t.split()) for _, t in blocks)
+
+
+def main_blocks(html: str, low: frozenset = frozenset()) -> list[tuple[int, str]]:
+    """The blocks of a page without its low branches: of an article never the larger part."""
+    blocks, nodes, holders = parse(html)
+    if not low:
+        return blocks
+    if holders:
+        # What each low branch alone would take, and what all would.
+        whole = _words(blocks)
+        body = lambda left: (gone := whole - _words(left)) >= LEAST_BODY and 2 * gone >= whole
+        low = frozenset(p for p in low if not body(parse(html, frozenset([p]))[0]))
+        left = parse(html, low)[0]
+        return blocks if body(left) else left or blocks
+    return parse(html, low)[0] or blocks
+
+
 def _texts(htmls: list[str], lows: list) -> tuple[list[str], list[int]]:
     texts = []
     for html, low in zip(htmls, lows, strict=True):
-        blocks = parse(html, frozenset(low or ()))[0] or (parse(html)[0] if low else [])
-        texts.append("\n".join(t for _, t in blocks))
+        low = frozenset(low or ())
+        if low:
+            low &= {p for _, _, inside in parse(html, everything=True)[1] for p in inside}
+        texts.append("\n".join(t for _, t in main_blocks(html, low)))
     return texts, [len(t) for t in texts]
 
 

@@ -181,7 +181,7 @@ class Models:
         p = np.full((len(codes), len(self.langs)), self.uniform)
         before = np.zeros(len(codes), dtype=np.uint64)
         for size, (grams, contexts) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
-            h = mixed([np.concatenate((codes[:back], codes[: len(codes) - back])) for back in range(size - 1, -1, -1)])
+            h = mixed([np.roll(codes, back) for back in range(size - 1, -1, -1)])  # of use where since >= size - 1
             at = np.flatnonzero((since >= size - 1) & (since > 0))
             lower, own = np.ones((len(codes), len(self.langs))), np.zeros((len(codes), len(self.langs)))
             contexts.put(lower, at, before[at - 1])

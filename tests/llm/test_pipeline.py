@@ -36,7 +36,7 @@ def test_mixing_sql(spark):
     assert sorted(con.execute(mixing_sql()).fetchall()) == sorted(tuple(r) for r in queries.QUERIES["op2_mixing"](spark, DATA).collect())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_collocations", "op13_filter_audit"}))
 def test_queries_return_a_row_for_each_input(spark, name):
     out = queries.QUERIES[name](spark, DATA)
     n = out.count()

@@ -503,3 +503,48 @@ def test_lm_scores(spark, docs, empty):
     assert got[0]["mean_log_prob"] > got[100]["mean_log_prob"] + 0.5 and got[0]["n_tokens"] == 400
     assert got[101]["log_prob"] == got[102]["log_prob"] == 0 and got[101]["mean_log_prob"] is None and got[103]["n_tokens"] == 1
     assert lm_scoring.lm_scores(docs).count() == docs.count() and lm_scoring.lm_scores(empty).count() == 0
+
+
+def extracted(spark, pages):
+    rows = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in rows}
+
+
+def test_html_keeps_articles_found_at_two_urls(spark):
+    body = '<article><h1>Title here</h1><div class="body"><p>First paragraph of words that matter.</p><p>Second paragraph, it has words too.</p></div></article>'
+    got = extracted(spark, [(i, f"http://h.org/a?ref={i}", f"<html><body>{body}<footer>foot {i}</footer></body></html>") for i in range(2)])
+    assert set(got.values()) == {"Title here\nFirst paragraph of words that matter.\nSecond paragraph, it has words too."}
+
+
+def test_html_reads_attributes_one_by_one(spark):
+    got = extracted(spark, [
+        (0, "http://a.org", '<article><p>One.</p><div title="a hidden gem"><p>stays</p></div><div data-id="comment-12">stays too</div><div hidden>goes</div><div class="x comment-list">goes</div></article>'),
+        (1, "http://b.org", '<div data-role="menu"><p>All of the text</p></div>'),
+        (2, "http://c.org", '<article><p>see <span hidden>secret</span><a class="ad" href=x>buy</a> this <b>bold</b> <label>name</label>end</p><p>next</p></article><article class="comment"><p>I disagree</p></article>'),
+        (3, "http://d.org", '<article><p>un<span hidden>closed</p><p>seen</p></article>'),
+    ])
+    assert got == {0: "One.\nstays\nstays too", 1: "All of the text", 2: "see this bold end\nnext", 3: "un\nseen"}
+
+
+def test_the_tree_leaves_the_larger_part_of_an_article():
+    body = " ".join(WORDS)
+    page = f"<article><div class='a'><p>{body}</p></div><div class='b'><p>seven</p></div></article>"
+    paths = {t: p for p, t in html_extraction.parse(page, everything=True)[0]}
+    inside = {p: i for p, _, i in html_extraction.parse(page, everything=True)[1]}
+    large, small = (inside[paths[t]] for t in (body, "seven"))
+    assert [t for _, t in html_extraction.main_blocks(page, frozenset(large))] == [body, "seven"]
+    assert [t for _, t in html_extraction.main_blocks(page, frozenset(small))] == [body]
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    rng, rows = random.Random(1), []
+    base = [rng.choice(WORDS) + chr(97 + rng.randrange(26)) for _ in range(20_000)]
+    for i in range(6):
+        own = list(base)
+        for _ in range(15):
+            own[rng.randrange(10, len(own))] = "changed" + chr(97 + rng.randrange(26))
+        rows.append((i, " ".join(own) + f"\nown line of {'abcdef'[i]}", "en", "s", 1))
+    rows.append((9, " ".join(base[:10] + [rng.choice(WORDS) for _ in range(19_990)]), "en", "s", 1))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1] and got[9] == rows[-1][1]
+    assert all(got[i] == f"own line of {'abcdef'[i]}" for i in range(1, 6))
