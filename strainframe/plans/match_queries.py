@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.notation import matched, resolved
 from ..functions.scalars import aa_label, annotation_text, nt_label, rendered_profile
+from ..operators import bitmap_index, match, reshape, stats
 from ..operators import filters as f
-from ..operators import match, reshape, stats
-from .bindings import CALLS, EAV, EAV_TEXT, EDGES, PLACED, SAMPLES, calls, eav, eav_text, edges, nt, query, samples, table, tables
+from ..operators.filters import Tables
+from .bindings import CALLS, EAV, EAV_TEXT, EDGES, ORACLE_SQL, PLACED, SAMPLES, calls, eav, eav_text, edges, nt, query, samples, table, tables
 
 HAS = f"s.sample IN (SELECT sample FROM {CALLS} WHERE {{}})"
 
@@ -47,10 +48,35 @@ def match_exclude(spark, sf):
     return _matching(spark, sf, nt(200, "N", exclude=True))
 
 
+def _equals(name: str, value: str, **more) -> dict:
+    return {"label": "Property", "property_name": name, "filter_type": "exact", "value": value, **more}
+
+
+NESTED = {**_equals("status", "F"), "andFilter": [{"orFilter": [nt(100, "A"), nt(200, "R", exclude=True)]}], "orFilter": [{"andFilter": [nt(300, "n"), _equals("priority", "1-URGENT", exclude=True)]}]}
+
+
 @query(KEYS + f"(s.status = 'F' AND ({_has(A)} OR NOT {_has(R)})) OR ({_has(N)} AND NOT s.priority = '1-URGENT')")
 def match_nested_tree(spark, sf):
-    p = lambda n, v, **more: {"label": "Property", "property_name": n, "filter_type": "exact", "value": v, **more}
-    return _matching(spark, sf, {**p("status", "F"), "andFilter": [{"orFilter": [nt(100, "A"), nt(200, "R", exclude=True)]}], "orFilter": [{"andFilter": [nt(300, "n"), p("priority", "1-URGENT", exclude=True)]}]})
+    return _matching(spark, sf, NESTED)
+
+
+@query(ORACLE_SQL["match_nested_tree"])
+def match_nested_tree_by_index(spark, sf):
+    """The same tree by bitmaps."""
+    t = tables(spark, sf)
+    return bitmap_index.matching(t, bitmap_index.build(t), NESTED).select("sample")
+
+
+@query(ORACLE_SQL["match_and"])
+def match_and_by_updated_index(spark, sf):
+    """An index of two thirds of the samples, to which the others come as a batch; one sample in five comes again with it, having had no calls before."""
+    t = tables(spark, sf)
+    t.nt = t.nt.withColumn("end", F.col("end") % 20 + 1).withColumn("start", F.col("end") - 1)
+    part = lambda some, calls: Tables(samples=t.samples.where(some), nt=t.nt.where(calls))
+    index = bitmap_index.build(part("sample % 3 < 2", "sample % 3 < 2 AND sample % 5 > 0"))
+    late = "sample % 3 = 2 OR sample % 5 = 0"
+    index = bitmap_index.updated(index, part(late, late))
+    return bitmap_index.matching(t, index, {"orFilter": [{"andFilter": [nt(10, "A"), nt(11, "R", "O")]}, {"andFilter": [nt(12, "n"), nt(13, "n", "O")]}]}).select("sample")
 
 
 @query(KEYS + f"({_has(A)} AND NOT {_has(R)}) OR ({_has(N)})")
