@@ -34,7 +34,7 @@ LEAST, TOP, SHADOWED, MOST_WORDS = 10, 2000, 50, 3
 OVERLAP, EVERY = MOST_WORDS - 1, 16
 FILTER_BITS = 1 << 26
 #: Distinct words and hashes that a task holds before it hands them on; chunks it looks at together; hashes of words kept; groups of the first round of ranking.
-HELD, TOGETHER, CACHED_WORDS, SLOTS = 200_000, 40_000, 400_000, 64
+HELD, TOGETHER, CACHED_WORDS, SLOTS = 200_000, 120_000, 400_000, 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Separators become one that is a token of its own, which no word can be.
 PIECES = bytes.maketrans(SEPARATORS + bytes(range(65, 91)), b"." * len(SEPARATORS) + bytes(range(97, 123)))
@@ -83,14 +83,15 @@ def chunks(tokens: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = at[(since >= OVERLAP) & (until > 1)]
     if len(ends):
         ends = ends[mixed(h[ends - 1], h[ends]) % np.uint64(EVERY) == 0]
-    return np.sort(np.concatenate((first, ends - OVERLAP + 1))), np.sort(np.concatenate((stop, ends + 1))), np.isin(np.sort(np.concatenate((stop, ends + 1))), stop)
+    stops = np.sort(np.concatenate((stop, ends + 1)))
+    return np.sort(np.concatenate((first, ends - OVERLAP + 1))), stops, h[stops] == 0
 
 
 PARSED = pa.schema([("lang", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary()), ("n", pa.int64())])
 
 
-def _rows(langs: list, lasts: list, chunk_texts: list, ns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((langs, lasts, chunk_texts, ns), PARSED, strict=True)], schema=PARSED)
+def _rows(lang: str, lasts: pa.Array, found: list[bytes], ns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), lasts, pa.array(found, pa.binary()), ns], schema=PARSED)
 
 
 def _parsed(batches):
@@ -99,7 +100,7 @@ def _parsed(batches):
     def counted():
         for lang, found in words.items():
             found.pop(b".", None)
-            yield _rows([lang] * len(found), [None] * len(found), list(found), list(found.values()))
+            yield _rows(lang, pa.nulls(len(found), pa.bool_()), list(found), pa.array(found.values(), pa.int64()))
         words.clear()
 
     for batch in batches:
@@ -114,7 +115,7 @@ def _parsed(batches):
                 # A chunk of one word has no phrase.
                 several = stop - first > 1
                 found = [b" ".join(tokens[a:b]) for a, b in zip(first[several].tolist(), stop[several].tolist(), strict=True)]
-                yield _rows([lang] * len(found), last[several].tolist(), found, [1] * len(found))
+                yield _rows(lang, pa.array(last[several]), found, pa.repeat(pa.scalar(1, pa.int64()), len(found)))
         if sum(map(len, words.values())) > HELD:
             yield from counted()
     yield from counted()
@@ -155,7 +156,9 @@ class Phrases:
     """Chunks as tokens, with the hash of lang and word, and which phrases begin at each."""
 
     def __init__(self, rows: pa.Table, hashes: Hashes) -> None:
-        self.langs, lasts, texts, ns = (c.to_pylist() for c in rows.columns)
+        names = rows.column(0).combine_chunks().dictionary_encode()
+        self.names, self.lang = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int64)
+        lasts, texts, ns = rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_numpy()
         self.tokens = END.join(texts).split(b" ") + [b"."]
         words = list(dict.fromkeys(self.tokens))
         self.ids = np.fromiter(map(dict(zip(words, range(len(words)), strict=True)).__getitem__, self.tokens), dtype=np.int64, count=len(self.tokens))
@@ -164,10 +167,10 @@ class Phrases:
         size = np.diff(stop, prepend=-1)
         self.row = np.repeat(np.arange(len(stop)), size)
         self.left = stop[self.row] - np.arange(len(h))  # tokens from here to the end of the chunk
-        self.n = np.array(ns, dtype=np.int64)[self.row]
+        self.n = ns[self.row]
         # Phrases that begin in the overlap belong to the next chunk.
-        self.begins = (h != 0) & (self.left > np.where(np.array(lasts, dtype=bool), 0, OVERLAP)[self.row])
-        self.one = mixed(seeds(self.langs)[self.row], h)
+        self.begins = (h != 0) & (self.left > np.where(lasts, 0, OVERLAP)[self.row])
+        self.one = mixed(seeds(self.names)[self.lang[self.row]], h)
         self.two = np.append(mixed(self.one[:-1], h[1:]), np.uint64(0))
 
     def pairs(self, words: Bits) -> np.ndarray:
@@ -178,8 +181,7 @@ class Phrases:
 
     def distinct(self, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each phrase among those of so many words at these places is first, and its number: told apart by lang and words."""
-        names = {x: i for i, x in enumerate(dict.fromkeys(self.langs))}
-        key, size = np.fromiter(map(names.__getitem__, self.langs), dtype=np.int64, count=len(self.langs))[self.row[at]], len(names)
+        key, size = self.lang[self.row[at]], len(self.names)
         for j in range(words):
             if size * self.n_words >= 1 << 62:
                 key, size = np.unique(key, return_inverse=True)[1], len(at)
@@ -248,8 +250,8 @@ def counted_phrases(chunk_rows: DataFrame, words, pairs) -> DataFrame:
             for size, places in ((2, at), (3, second - 1)):
                 first, n = phrases.distinct(places, size)
                 found = [b" ".join(phrases.tokens[i : i + size]) for i in first.tolist()]
-                langs = [phrases.langs[i] for i in phrases.row[first].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
+                langs = pa.array(phrases.names, pa.string()).take(pa.array(phrases.lang[phrases.row[first]]))
+                yield pa.RecordBatch.from_arrays([langs, pa.repeat(pa.scalar(size, pa.int32()), len(found)), pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
 
     rows = chunk_rows.mapInArrow(named, "lang string, words int, phrase binary, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return rows.where(F.col("f") >= LEAST).withColumn("phrase", F.col("phrase").cast("string"))
