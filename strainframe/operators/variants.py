@@ -255,15 +255,37 @@ def merged_genotypes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "pos", "ref", "alt").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
 
 
-def covered_genes(calls: DataFrame, genes: DataFrame, width: int = 64) -> DataFrame:
+#: Logarithms of the smallest bin and of the largest, and the step between levels.
+LEAST_LEVEL, MOST_LEVEL, LEVEL_STEP = 6, 40, 2
+
+
+def _level(length: Column) -> Column:
+    """The level whose bins are at least as long as an interval, so that it meets two of them at most."""
+    bits = F.length(F.bin(F.greatest(length, F.lit(0)).cast("long")))
+    return (F.greatest(F.ceil((bits - LEAST_LEVEL) / LEVEL_STEP), F.lit(0)) * LEVEL_STEP + LEAST_LEVEL).cast("int")
+
+
+def _bin(at: Column, level: Column) -> Column:
+    return F.call_function("shiftright", at.cast("long"), level)
+
+
+def covered_genes(calls: DataFrame, genes: DataFrame) -> DataFrame:
     """calls with the first gene (by start, then name) that each covers as a whole. genes: replicon, gene, start, end.
 
-    A gene lies in the bin of its start and a call in all bins that it meets, so an equi-join finds each pair once.
+    Bins come in levels, each LEVEL_STEP bits wider than the one below. A call lies in the one or two bins of its own level and a gene in the
+    bin of its start at every level that calls have, so an equi-join finds each pair once, and a call of any length is two rows at most.
+    Each distinct place is looked up once; repeated calls stay. Calls that end before they start, or have a null place, cover nothing.
     """
-    g = genes.select("replicon", "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.floor(F.col("start") / width).alias("_bin"))
-    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest("start", "end") / width)))
-    own = calls.withColumn("_bin", bins).join(dimension(g), ["replicon", "_bin"]).where("g_start >= start AND g_end <= end")
-    return own.groupBy(*calls.columns).agg(F.min_by("gene", F.struct("g_start", "gene")).alias("gene"))
+    place = ["replicon", "start", "end"]
+    places = calls.select(*place).where(F.col("start") <= F.col("end")).distinct().withColumn("_level", _level(F.col("end") - F.col("start") + 1))
+    levels = [r[0] for r in places.select("_level").distinct().collect()]  # at most (MOST_LEVEL - LEAST_LEVEL) / LEVEL_STEP + 1
+    if not levels:
+        return calls.join(genes.select("replicon", "gene").limit(0), "replicon").select(*calls.columns, "gene")
+    g = genes.select("replicon", "gene", F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.explode(F.array(*map(F.lit, levels))).alias("_level")).withColumn("_bin", _bin(F.col("g_start"), F.col("_level")))
+    ends = F.array_distinct(F.array(*(_bin(F.col(c), F.col("_level")) for c in ("start", "end"))))
+    own = places.withColumn("_bin", F.explode(ends)).join(dimension(g), ["replicon", "_level", "_bin"]).where("g_start >= start AND g_end <= end")
+    first = own.groupBy(*place).agg(F.min_by("gene", F.struct("g_start", "gene")).alias("gene"))
+    return calls.join(dimension(first), place).select(*calls.columns, "gene")
 
 
 def positions(intervals: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

@@ -145,6 +145,17 @@ def interval_cover(spark, sf):
     return v.covered_genes(c, g).groupBy("sample", "line").agg(F.min("gene").alias("gene"))
 
 
+@query(f"""SELECT sample, line, start, min(gene) AS gene, (2 * count(*))::INT AS n FROM (
+    SELECT c.r, c.sample, c.line, c.start, arg_min(g.gene, (g.start, g.gene)) AS gene FROM (SELECT *, row_number() OVER () AS r, start + quantity * quantity * 400 AS stop FROM {CALLS} WHERE quantity > 45 OR line = 1) c
+    JOIN {GENES} g ON g.start >= c.start AND g."end" <= c.stop GROUP BY c.r, c.sample, c.line, c.start) GROUP BY sample, line, start""")
+def interval_cover_long(spark, sf):
+    """Calls of up to a million bases beside short ones, each twice: both rows stay."""
+    c = calls(spark, sf).where("quantity > 45 OR line = 1").select("sample", "line", F.lit("r").alias("replicon"), "start", (F.col("start") + F.col("quantity") * F.col("quantity") * 400).alias("end"))
+    g = table(spark, sf, "part").select(F.lit("r").alias("replicon"), F.col("p_partkey").alias("gene"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") % 4).alias("end"))
+    out = v.covered_genes(c.unionByName(c), g).groupBy("sample", "line", "start").agg(F.min("gene").alias("gene"), F.count("*").cast("int").alias("n"))
+    return out.select("sample", "line", "start", "gene", "n")
+
+
 @query(f"SELECT c.sample, c.line, g.gene, count(*) AS positions FROM {CALLS} c JOIN {GENES} g ON c.start >= g.start AND c.start < g.\"end\" GROUP BY ALL")
 def interval_join(spark, sf):
     """Calls within genes, by the genes' positions as keys."""

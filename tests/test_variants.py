@@ -72,3 +72,30 @@ def test_aligner_aa(spark):
     df = spark.createDataFrame([record], ALIGNER_SCHEMA)
     found = {(r["label"], r["parents"]) for r in v.aligner_aa(df, v.aligner_nt(df, "rep", "A" * 30)).collect()}
     assert found == {("K1*", "1"), ("K5Q", "3"), ("del:2-3", "2"), ("K8KG", "4")}
+
+
+def test_covered_genes_of_any_length(spark):
+    """Against all pairs: calls of 1 to 1,000,000 bases, repeated rows, null and turned places, a replicon without genes."""
+    import random
+
+    rng = random.Random(6)
+    genes = [(rng.choice(["a", "b"]), f"g{i}", s, s + rng.choice([0, 3, 50, 900, 40_000])) for i in range(300) for s in [rng.randrange(2_000_000)]]
+    calls = [(i, rng.choice(["a", "b", "c"]), s, s + rng.choice([0, 1, 63, 64, 65, 5000, 65_536, 999_999])) for i in range(300) for s in [rng.choice([genes[i][2], rng.randrange(2_000_000)])]]
+    calls += calls[:40] + [(900, "a", None, 5), (901, "a", 7, None), (902, None, 1, 5), (903, "a", 10**6, 5)]
+    want = []
+    for i, r, s, e in calls:
+        inside = [(gs, g) for gr, g, gs, ge in genes if gr == r and None not in (s, e) and s <= gs and ge <= e]
+        if inside:
+            want.append((i, r, s, e, min(inside)[1]))
+    c = spark.createDataFrame(calls, "call int, replicon string, start int, end int")
+    g = spark.createDataFrame(genes, "replicon string, gene string, start int, end int")
+    got = v.covered_genes(c, g)
+    assert got.columns == ["call", "replicon", "start", "end", "gene"] and len(want) > 80
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert v.covered_genes(c.limit(0), g).count() == 0 and v.covered_genes(c, g.limit(0)).count() == 0
+
+
+def test_a_call_is_two_rows_at_most(spark):
+    spans = spark.createDataFrame([(s, s + n) for s in (0, 63, 64, 12_345_678) for n in (0, 1, 62, 63, 64, 255, 256, 10**6)], "start long, end long")
+    level = v._level(F.col("end") - F.col("start") + 1)
+    assert spans.where(v._bin(F.col("end"), level) - v._bin(F.col("start"), level) > 1).count() == 0
