@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Tables with more rows are not broadcast; parts that a key is dealt to in a join with such a table.
 BROADCAST_ROWS, SALTS = 200_000, 16
-_tables: list[str] = []
+#: Tables written within the innermost block of cleared(), of this thread alone.
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
+    if (tables := _written.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,14 +49,14 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def cleared(spark: SparkSession):
-    """Deletes at its end the tables that operators wrote meanwhile: for callers that have stored their results by then."""
-    before = len(_tables)
+    """Deletes at its end the tables that operators wrote within it, in the same thread: for callers that have stored their results by then."""
+    token = _written.set([])
     try:
         yield
     finally:
-        for path in _tables[before:]:
+        for path in _written.get() or []:
             deleted(spark, path)
-        del _tables[before:]
+        _written.reset(token)
 
 
 def met(rows: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column) -> DataFrame:
