@@ -72,15 +72,28 @@ def labelled(calls: DataFrame) -> DataFrame:
 
 
 def reconstructed(references: DataFrame, calls: DataFrame) -> DataFrame:
-    """id, replicon and the sequence that calls make of the reference (replicon, sequence)."""
-    gone = F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda i: F.struct(i.alias("at"), F.lit("").alias("base")))
-    changed = F.array(F.struct(F.col("start").alias("at"), F.col("alt").alias("base")))
-    edits = calls.select("id", "replicon", F.explode(F.when(deleted("alt"), gone).otherwise(changed)).alias("x")).select("id", "replicon", "x.*")
-    # An insertion behind a base that is changed too: the longer alt holds both.
-    one = edits.groupBy("id", "replicon", "at").agg(F.max_by("base", F.length("base")).alias("base"))
-    by_id = one.groupBy("id", "replicon").agg(F.map_from_entries(F.collect_list(F.struct("at", "base"))).alias("edits"))
-    bases = F.transform(F.split("sequence", ""), lambda b, i: F.coalesce(F.try_element_at("edits", i), b))
-    return by_id.join(references, "replicon").select("id", "replicon", F.concat(F.coalesce(F.try_element_at("edits", F.lit(-1)), F.lit("")), F.array_join(bases, "")).alias("sequence"))
+    """id, replicon and the sequence that calls make of the reference (replicon, sequence).
+
+    The reference is spliced between sorted edits, each of which knows how far the edits before it reach, so the work is that of the
+    edits and the bases. Of several changes of one base the longest alt stays (an insertion behind a base that is changed too), of equals
+    the greatest; a change inside a deletion stays. Changes behind the reference's end, and deletions that end before they start, do nothing.
+    """
+    gone = deleted("alt")
+    edits = calls.where(~gone | (F.col("end") > F.col("start"))).select("id", "replicon", F.col("start").alias("at"), F.when(gone, F.col("end")).otherwise(F.col("start") + 1).alias("to"), F.when(gone, "").otherwise(F.col("alt")).alias("base"))
+    # A deletion and a change of one base stay both, the change first.
+    one = edits.groupBy("id", "replicon", "at", (F.col("base") == "").alias("gone")).agg(F.max("to").alias("to"), F.max(F.struct(F.length("base").alias("n"), "base")).alias("b"))
+    earlier = Window.partitionBy("id", "replicon").orderBy("at", "gone").rowsBetween(Window.unboundedPreceding, -1)
+    reach = one.withColumn("from", F.greatest(F.coalesce(F.max("to").over(earlier), F.lit(0)), F.lit(0)))
+    by_id = reach.groupBy("id", "replicon").agg(F.array_sort(F.collect_list(F.struct("at", "gone", "from", F.col("b.base").alias("base")))).alias("edits"), F.greatest(F.max("to"), F.lit(0)).alias("reach"))
+    # Bytes are cut without a walk over the text; texts that are more than ASCII are cut by characters.
+    plain = references.select("replicon", F.length("sequence").alias("n"), F.when(F.length("sequence") == F.octet_length("sequence"), F.col("sequence").cast("binary")).alias("bytes"), F.when(F.length("sequence") != F.octet_length("sequence"), F.col("sequence")).alias("chars"))
+
+    def cut(first: Column, after: Column) -> Column:
+        long = F.greatest(after - first, F.lit(0))
+        return F.coalesce(F.substring("bytes", first + 1, long).cast("string"), F.substring("chars", first + 1, long))
+
+    parts = F.transform("edits", lambda e: F.concat(cut(e["from"], F.least(e["at"], F.col("n"))), F.when(e["at"] < F.col("n"), e["base"]).otherwise("")))
+    return by_id.join(plain, "replicon").select("id", "replicon", F.concat(F.array_join(parts, ""), cut(F.col("reach"), F.col("n"))).alias("sequence"))
 
 
 def reconstruction_failures(references: DataFrame, calls: DataFrame, originals: DataFrame) -> DataFrame:
