@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +75,7 @@ class Tables:
     sequences: DataFrame | None = None  # entity, length
     placed: DataFrame | None = None  # entity, replicon, reference
     lineages: DataFrame | None = None  # lineage, parent, reference
+    labels: DataFrame | None = None  # reference, lineage, first, last (lineage_index); lineage_at of samples is of the trees' reference
     eav_columns: dict[str, str] = field(default_factory=dict)  # property: value column
     genes: frozenset[str] = frozenset()  # names that notations may use
     replicons: frozenset[str] = frozenset()
@@ -129,10 +132,26 @@ def _inserted(f: dict) -> Column:
     return (F.col("end") == int(f["ref_pos"])) & (F.col("ref") == (f.get("ref_nuc") or f.get("ref_aa"))) & (F.col("alt") == (f.get("alt_nuc") or f.get("alt_aa")))
 
 
+def _numbered(t: Tables, spans: list[tuple[int, int]], names: list[str], reference: str) -> Leaf:
+    """Lineages by ranges of their numbers: a condition on lineage_at where samples carry it, else on the labels."""
+    if not spans:
+        raise ValueError(f"no lineage found among {names}")
+    within = lambda c: reduce(or_, (F.col(c).between(*s) for s in spans))
+    if "lineage_at" in t.samples.columns:
+        return Leaf(column=within("lineage_at"))
+    found = t.labels.where((F.col("reference") == reference) & within("first"))
+    return Leaf(members=t.samples.join(found.select("lineage"), "lineage", "left_semi").select(t.entity))
+
+
 def _sublineages(t: Tables, f: dict, reference: str | None) -> Leaf:
     from .lineage import descendants
+    from .lineage_index import ranges
 
     names = [x.lower() for x in (f["lineageList"] if isinstance(f["lineageList"], list) else [f["lineageList"]])]
+    if t.labels is not None and reference is not None and f.get("includeSublineages", True):
+        spans = ranges(t.labels, names, reference)
+        if spans is not None:
+            return _numbered(t, spans, names, reference)
     edges = t.lineages if reference is None else t.lineages.where(F.col("reference") == reference)
     roots = edges.where(F.lower("lineage").isin(*names)).select("lineage").distinct()
     if roots.isEmpty():
@@ -200,6 +219,11 @@ def expanded(t: Tables, tree: dict) -> dict:
     return {"andFilter": [profile, *subs.get("andFilter", [])]} | ({"orFilter": subs["orFilter"]} if "orFilter" in subs else {})
 
 
+def _met(hit: Column, exclude: bool) -> Column:
+    """A leaf's condition. Null counts as false, as a tree negates its leaves alone; only a negated leaf must say so, and the others reach the scan as they are."""
+    return ~F.coalesce(hit, F.lit(False)) if exclude else hit
+
+
 def compiled(t: Tables, tree: dict, reference: str | None = None) -> tuple[DataFrame, Column]:
     """The samples with a flag for each fact leaf, and the tree over columns and flags."""
     leaves = _leaves(tree)
@@ -207,15 +231,13 @@ def compiled(t: Tables, tree: dict, reference: str | None = None) -> tuple[DataF
     out, conditions, by_fact = t.samples, {}, {}
     for i, f in enumerate(leaves):
         x = made[id(f)]
-        if x.column is not None:
-            hit = F.coalesce(x.column, F.lit(False))
-        else:
-            hit = F.coalesce(F.col(f"_leaf{i}"), F.lit(False))
+        hit = F.col(f"_leaf{i}") if x.column is None else x.column
+        if x.column is None:
             if x.fact:
                 by_fact.setdefault(x.fact, []).append((i, x.rows))
             else:
                 out = out.join(x.members.select(t.entity).distinct().withColumn(f"_leaf{i}", F.lit(True)), t.entity, "left")
-        conditions[id(f)] = ~hit if x.exclude else hit
+        conditions[id(f)] = _met(hit, x.exclude)
     for fact, rows in by_fact.items():
         hits = [F.coalesce(r, F.lit(False)) for _, r in rows]
         some = hits[0]
@@ -248,9 +270,10 @@ def matching(t: Tables, tree: dict, reference: str | None = None) -> DataFrame:
     leaves = _leaves(tree)
     if len(leaves) == 1:
         only = leaf(scoped, leaves[0], reference)
-        if only.column is None:
-            hits = only.members if only.fact is None else getattr(t, only.fact).where(only.rows)
-            return samples.join(hits.select(t.entity), t.entity, "left_anti" if only.exclude else "left_semi")
+        if only.column is not None:
+            return samples.where(_met(only.column, only.exclude))
+        hits = only.members if only.fact is None else getattr(t, only.fact).where(only.rows)
+        return samples.join(hits.select(t.entity), t.entity, "left_anti" if only.exclude else "left_semi")
     flagged, condition = compiled(scoped, tree, reference)
     return flagged.where(condition).select(*samples.columns)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.notation import matched, resolved
 from ..functions.scalars import aa_label, annotation_text, nt_label, rendered_profile
-from ..operators import bitmap_index, match, reshape, stats
+from ..operators import bitmap_index, lineage_index, match, reshape, stats
 from ..operators import filters as f
 from ..operators.filters import Tables
+from ..operators.scale import shared_dir
 from .bindings import CALLS, EAV, EAV_TEXT, EDGES, ORACLE_SQL, PLACED, SAMPLES, calls, eav, eav_text, edges, nt, query, samples, table, tables
 
 HAS = f"s.sample IN (SELECT sample FROM {CALLS} WHERE {{}})"
@@ -208,6 +211,19 @@ def lineage_filter(spark, sf):
     return f.matching(t, {"label": "Sublineages", "lineageList": ["l5"], "includeSublineages": True}, "ref").select("sample")
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT lineage FROM {EDGES} WHERE lineage IN ('L5', 'L6', 'L11', 'L40') UNION SELECT e.lineage FROM {EDGES} e JOIN d ON e.parent = d.lineage)
+SELECT sample FROM {SAMPLES} WHERE ('L' || cust::VARCHAR IN (SELECT lineage FROM d) AND status = 'F')""")
+def lineage_filter_by_labels(spark, sf):
+    """Lineages as ranges of numbers, on samples that are stored along them."""
+    e, at = edges(spark, sf), f"{shared_dir(spark)}/located-{uuid.uuid4().hex}"
+    lineage_index.write_labels(e, f"{at}/labels")
+    labels = spark.read.parquet(f"{at}/labels")
+    own = samples(spark, sf).withColumn("lineage", F.concat(F.lit("L"), F.col("cust").cast("string")))
+    lineage_index.write_located(lineage_index.located(own, labels, "ref"), f"{at}/samples")
+    t = f.Tables(samples=spark.read.parquet(f"{at}/samples"), lineages=e, labels=labels)
+    return f.matching(t, {"label": "Sublineages", "lineageList": ["l5", "L6", "L11", "l40"], "andFilter": [{"label": "Property", "property_name": "status", "value": "F"}]}, "ref").select("sample")
+
+
 @query(f"""WITH RECURSIVE d AS (SELECT lineage FROM {EDGES} WHERE lineage = 'L40' UNION SELECT e.lineage FROM {EDGES} e JOIN d ON e.parent = d.lineage)
 SELECT s.sample FROM {SAMPLES} s WHERE ({_has(A)} AND NOT {_has("gene = 'g1' AND \"end\" = 200 AND ref = 'F' AND alt = 'R'")} AND status = 'F') OR ('L' || cust::VARCHAR IN (SELECT lineage FROM d) AND NOT ({_has(A)} AND {_has(R)}))""")
 def match_reference_tree(spark, sf):
