@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.notation import matched, resolved
+from ..functions.notation import matched, matched_by_rarest, resolved
 from ..functions.scalars import aa_label, annotation_text, nt_label, rendered_profile
 from ..operators import bitmap_index, lineage_index, match, reshape, stats
 from ..operators import filters as f
@@ -126,6 +126,20 @@ def watchlist_batch_match(spark, sf):
     return matched(found, facts)
 
 
+@query(f"""WITH w AS (SELECT p_partkey AS profile, p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey > 0)
+SELECT DISTINCT 'P' || w.profile::VARCHAR AS profile, x.sample FROM w JOIN {CALLS} x ON x."end" = w.a AND x.ref = 'F' AND x.alt IN ('A', 'G', 'R')
+WHERE x.sample IN (SELECT sample FROM {SAMPLES}) AND NOT EXISTS (SELECT 1 FROM {CALLS} y WHERE y.sample = x.sample AND y."end" = w.b AND y.ref = 'F' AND y.alt = 'N')""")
+def watchlist_by_rarest(spark, sf):
+    """A profile for each part: a mutation that all samples carry, a rare one of several alts, and one that must not be there."""
+    number = lambda by: (F.col("p_partkey") + by).cast("string")
+    p = table(spark, sf, "part").where("p_partkey > 0").select(F.concat(F.lit("P"), number(0)).alias("profile"), F.explode(F.array(F.lit("rep:C900000000T"), F.concat(F.lit("F"), number(0), F.lit("R")), F.concat(F.lit("^F"), number(1), F.lit("n")))).alias("notation"))
+    found = resolved(p, spark.createDataFrame([], "gene string"), spark.createDataFrame([("rep", "ref")], "replicon string, reference string"))
+    own = calls(spark, sf).select("sample", "start", "end", "ref", "alt")
+    all_have = samples(spark, sf).select("sample", F.lit(899_999_999).alias("start"), F.lit(900_000_000).alias("end"), F.lit("C").alias("ref"), F.lit("T").alias("alt"))
+    facts = own.unionByName(all_have).withColumns({"kind": F.lit("nt"), "replicon": F.lit("rep"), "gene": F.lit(None).cast("string")})
+    return matched_by_rarest(found, facts)
+
+
 def _property(name, lookup, value, exclude=False):
     return lambda spark, sf: _matching(spark, sf, {"label": "Property", "property_name": name, "filter_type": lookup, "value": value, "exclude": exclude})
 
