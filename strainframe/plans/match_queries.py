@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.notation import matched, matched_by_rarest, resolved
 from ..functions.scalars import aa_label, annotation_text, nt_label, rendered_profile
-from ..operators import bitmap_index, lineage_index, match, reshape, stats
+from ..operators import bitmap_index, lineage_index, match, paging, reshape, stats
 from ..operators import filters as f
 from ..operators.filters import Tables
 from ..operators.scale import shared_dir
@@ -140,6 +140,24 @@ def watchlist_by_rarest(spark, sf):
     return matched_by_rarest(found, facts)
 
 
+def _paged(spark, sf, by):
+    at = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    paging.write_pages(samples(spark, sf).select("sample", "price", "status"), at, by, "sample", rows_a_range=400)
+    return paging.open_pages(spark, at)
+
+
+@query(f"SELECT sample, price, status, (SELECT count(*) FROM {SAMPLES}) AS total FROM {SAMPLES} ORDER BY price DESC NULLS FIRST, sample LIMIT 250 OFFSET 900")
+def page_with_total(spark, sf):
+    """A page behind 900 rows and the number of all rows, from the ranges it lies in."""
+    return _paged(spark, sf, "-price").page(250, 900, with_total=True)
+
+
+@query(f"SELECT sample, price, status FROM {SAMPLES} WHERE price > 150000 OR price IS NULL ORDER BY price NULLS LAST, sample LIMIT 300")
+def page_after_key(spark, sf):
+    """The page that follows a price."""
+    return _paged(spark, sf, "price").after(150000, 2**62, 300)
+
+
 def _property(name, lookup, value, exclude=False):
     return lambda spark, sf: _matching(spark, sf, {"label": "Property", "property_name": name, "filter_type": lookup, "value": value, "exclude": exclude})
 
