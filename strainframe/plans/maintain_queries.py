@@ -14,7 +14,9 @@ from ..operators.scale import shared_dir
 from ..sources import readers, variant_store, writers
 from ..streaming.ingest import ingest, snapshot
 from ..streaming.ranged import RangedTable
+from ..streaming.weekly import stream_weekly, weekly_shares
 from .bindings import EAV_TEXT, SAMPLES, SEQUENCES, calls, eav_text, query, samples, sequences, table
+from .stats_queries import LABEL, SHARES
 
 ORDERS = "(SELECT o_orderkey AS name, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS cust FROM orders)"
 
@@ -324,6 +326,21 @@ def stream_ingest_ranges(spark, sf):
     return stored.read().select("name", "status", (F.col("batch") > 0).alias("rewritten"))
 
 
+@query(f"SELECT monday::VARCHAR AS monday, {LABEL} AS week, \"group\", samples, percent FROM {SHARES}")
+def group_share_stream(spark, sf):
+    """Weekly shares after three drops of orders by day; a tenth comes a drop late, a seventh comes twice. The watermark is two drops behind."""
+    path = _folder(spark)
+    o = samples(spark, sf).select("sample", "priority", "day").where("day IS NOT NULL")
+    first, last = o.agg(F.min("day"), F.max("day")).first()
+    third = (last - first).days // 3 + 1
+    part, late, again = F.floor(F.datediff("day", F.lit(first)) / third), F.col("sample") % 10 == 3, F.col("sample") % 7 == 0
+    for k in range(3):
+        due, before = (part == k) & (~late | F.lit(k == 2)), (part == k - 1) & (late | again)
+        o.where(due | before).repartition(2).write.mode("append").parquet(f"{path}/in")
+        stream_weekly(spark, f"{path}/in", f"{path}/out", "sample long, priority string, day date", "priority", f"{path}/state", f"{2 * third + 7} days").awaitTermination()
+    return weekly_shares(spark, f"{path}/out").withColumn("monday", F.col("monday").cast("string"))
+
+
 @query(f"SELECT 'd' || id::VARCHAR AS id, sequence FROM {SEQUENCES}")
 def packed_fasta_round_trip(spark, sf):
     """Sequences as xz, gz and zip files, one for each hundred documents, packed by the executors and read again by content."""

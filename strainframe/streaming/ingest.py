@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,14 +38,12 @@ def snapshot(spark: SparkSession, path: str, schema: str, keys: list[str], order
     return last_wins(spark.read.schema(schema).parquet(*(f"{path}/{n}" for n in whole + since)), keys, order)
 
 
-def ingest(spark: SparkSession, source: str, target: str, schema: str, keys: list[str], order: str, checkpoint: str, files_per_batch: int = 100, compact: int = COMPACT) -> StreamingQuery:
-    """Starts a stream over the Parquet files that arrive in source, which ends when all that are there are applied.
+def upserts(target: str, schema: str, keys: list[str], order: str, compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each batch: writes its changes (the row of a key with the highest order) to target's data and a row to its log.
 
-    Each batch writes its changes (the row of a key with the highest order) to target's data and a row to its log; each `compact` batches
-    the changes and the table before them become one table, and what that replaces is deleted one such turn later. A batch
+    Each `compact` batches the changes and the table before them become one table, and what that replaces is deleted one such turn later. A batch
     that is replayed writes its changes and log row again, under the same names, so it counts once.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def apply(batch: DataFrame, number: int) -> None:
         session, data = batch.sparkSession, f"{target}/data"
@@ -56,4 +56,10 @@ def ingest(spark: SparkSession, source: str, target: str, schema: str, keys: lis
                     _deleted(session, f"{data}/{name}")
         batch.agg(F.lit(number).alias("batch"), F.count("*").alias("rows"), F.lit(True).alias("success")).write.mode("overwrite").parquet(f"{target}/log/batch={number}")
 
-    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return apply
+
+
+def ingest(spark: SparkSession, source: str, target: str, schema: str, keys: list[str], order: str, checkpoint: str, files_per_batch: int = 100, compact: int = COMPACT) -> StreamingQuery:
+    """Starts a stream over the Parquet files that arrive in source, which ends when all that are there are applied as upserts()."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return rows.writeStream.foreachBatch(upserts(target, schema, keys, order, compact)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
