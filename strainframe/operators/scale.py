@@ -1,20 +1,36 @@
-"""What holds at any size: broadcasts behind a count, tables in the shared folder."""
+"""What holds at any size: broadcasts behind a count of rows and bytes, tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows up to which a dimension is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a dimension is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 256 << 20
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: texts and binaries by their length, nested values by their text."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS, size: int | None = None) -> bool:
+    """Whether df has at most so many rows and so many bytes (BROADCAST_BYTES if not given); looks at no more rows than that."""
+    n, found = df.limit(rows + 1).select(_bytes(df).alias("_bytes")).agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    return n <= rows and found <= (BROADCAST_BYTES if size is None else size)
 
 
 def dimension(df: DataFrame) -> DataFrame:

@@ -69,9 +69,12 @@ def group_shares(samples: DataFrame, group: str, entity: str = "sample", day: st
 
 
 def filled_groups(shared: DataFrame) -> DataFrame:
-    """group_shares() with zeros for every week and group. Groups are few (a chart's series)."""
-    every = week_axis(shared).crossJoin(F.broadcast(shared.select("group").distinct()))
-    return every.join(shared.select("monday", "group", "samples", "percent"), ["monday", "group"], "left").select("monday", week_label("monday").alias("week"), "group", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("percent", F.lit(0.0)).alias("percent"))
+    """group_shares() with zeros for every week and group: each group gets the weeks from the first to the last, so rows are those of the result, and no group meets another. A null group is one too."""
+    bounds = shared.agg(F.min("monday").alias("a"), F.max("monday").alias("b")).where("a IS NOT NULL")
+    every = shared.select("group").distinct().crossJoin(F.broadcast(bounds)).select("group", F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("monday")).alias("e")
+    own = shared.select("monday", "group", "samples", "percent").alias("s")
+    joined = every.join(own, (F.col("e.monday") == F.col("s.monday")) & F.col("e.group").eqNullSafe(F.col("s.group")), "left")
+    return joined.select("e.monday", week_label(F.col("e.monday")).alias("week"), "e.group", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("percent", F.lit(0.0)).alias("percent"))
 
 
 def normalised(shared: DataFrame, value: str = "percent") -> DataFrame:
