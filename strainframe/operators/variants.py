@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import deleted, deletion_label, nt_frameshift, nt_label, residue, reverse_complement
 from .scale import dimension
+from .sketches import hashes
 
 ANN_FIELDS = ("allele", "annotation", "impact", "gene_name", "gene_id", "feature_type", "feature_id", "biotype", "rank", "hgvs_c", "hgvs_p", "cdna_pos", "cds_pos", "aa_pos", "distance", "errors")
 # Offsets at which a residue deletion looks for its nucleotide variant, the first hit counts.
@@ -308,8 +309,7 @@ def positions(intervals: DataFrame, start: str = "start", end: str = "end") -> D
 
 def kmers(sequences: DataFrame, k: int = 11) -> DataFrame:
     """id and its distinct k-mers, as 64-bit hashes."""
-    at = F.sequence(F.lit(1), F.length("sequence") - k + 1)
-    return sequences.where(F.length("sequence") >= k).select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring("sequence", i, F.lit(k)))))).alias("kmer"))
+    return sequences.where(F.length("sequence") >= k).select("id", F.explode(hashes(F.col("sequence"), k)).alias("kmer"))
 
 
 def best_reference(sequences: DataFrame, references: DataFrame, k: int = 11, least: float = 0.01) -> DataFrame:

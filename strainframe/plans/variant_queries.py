@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from ..operators import sketches
 from ..operators import variants as v
 from ..sources.readers import vcf_from_lines
 from .bindings import CALLS, SEQUENCES, calls, query, sequences, table
@@ -134,6 +135,43 @@ def kmer_assign(spark, sf):
     return v.best_reference(s, s.where("id < 20"), 5, 0.05)
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+BASES = "ACGT" * 13
+GENOMES = f"(SELECT doc_id AS id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') AS sequence FROM documents)"
+
+
+def genomes(spark, sf):
+    """The letters of every whole document as bases."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, BASES).alias("sequence"))
+
+
+def _md5_hash(c):
+    """60 bits of an MD5 sum, which the SQL computes as well."""
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint")
+
+
+@query(f"""WITH g AS MATERIALIZED {GENOMES}, s AS MATERIALIZED (SELECT id, replace(sequence[length(sequence) // 8 + 1:], 'GATA', 'GACA') AS sequence FROM g),
+t AS (SELECT 1 AS side, sequence, min(id) AS reference FROM s WHERE length(sequence) >= 21 GROUP BY sequence UNION ALL SELECT 2, sequence, min(id) FROM g WHERE length(sequence) >= 21 GROUP BY sequence),
+u AS MATERIALIZED (SELECT *, md5(sequence) AS key FROM t),
+e AS (SELECT side, key, sequence, unnest(range(1, length(sequence) - 19)) AS i FROM u),
+k AS MATERIALIZED (SELECT DISTINCT side, key, ('0x' || md5(sequence[i:i + 20])[1:15])::BIGINT AS h FROM e),
+z AS MATERIALIZED (SELECT side, key, count(*) AS n, (4 ** len(list_filter([64 * 4 ** j FOR j IN range(1, 16)], lambda x: x <= count(*))))::BIGINT AS scale FROM k GROUP BY side, key),
+f AS MATERIALIZED (SELECT k.side, k.key, k.h, z.scale FROM k JOIN z USING (side, key) WHERE k.h % z.scale = 0),
+m AS MATERIALIZED (SELECT side, key, m, count(*) AS c FROM f, (SELECT (4 ** j)::BIGINT AS m FROM range(0, 16) t(j)) WHERE m >= scale AND h % m = 0 GROUP BY ALL),
+p AS (SELECT a.key, b.key AS other, greatest(a.scale, b.scale) AS m, count(*) AS n_both FROM f a JOIN f b USING (h) WHERE a.side = 1 AND b.side = 2 GROUP BY ALL),
+l AS (SELECT p.key, p.other, u.reference, n_both / (a.c + b.c - n_both) AS estimate FROM p JOIN m a ON a.side = 1 AND a.key = p.key AND a.m = p.m JOIN m b ON b.side = 2 AND b.key = p.other AND b.m = p.m JOIN u ON u.side = 2 AND u.key = p.other),
+c AS (SELECT * FROM (SELECT *, max(estimate) OVER (PARTITION BY key) AS top FROM l) WHERE estimate >= CASE WHEN top >= 0.5 THEN 0.5 ELSE 0.05 END QUALIFY row_number() OVER (PARTITION BY key ORDER BY estimate DESC, reference) <= 5),
+x AS (SELECT c.key, c.other, c.reference, count(*) AS n_both FROM c JOIN k a ON a.side = 1 AND a.key = c.key JOIN k b ON b.side = 2 AND b.key = c.other AND b.h = a.h GROUP BY ALL),
+y AS (SELECT x.key, x.reference, n_both / (a.n + b.n - n_both) AS likeness FROM x JOIN z a ON a.side = 1 AND a.key = x.key JOIN z b ON b.side = 2 AND b.key = x.other),
+r AS (SELECT * FROM y WHERE likeness >= 0.05 QUALIFY row_number() OVER (PARTITION BY key ORDER BY likeness DESC, reference) = 1)
+SELECT s.id, r.reference, r.likeness FROM s LEFT JOIN r ON r.key = md5(s.sequence)""")
+def best_reference_by_sketch(spark, sf):
+    """Every document's letters, shortened and changed in places, against all documents as references."""
+    g = genomes(spark, sf)
+    s = g.select("id", F.replace(F.expr("substring(sequence, cast(length(sequence) div 8 AS int) + 1)"), F.lit("GATA"), F.lit("GACA")).alias("sequence"))
+    return sketches.best_by_sketch(s, g, hashed=_md5_hash)
+
+
 GENES = "(SELECT p_partkey AS gene, p_partkey AS start, p_partkey + p_size % 4 AS \"end\" FROM part)"
 
 
