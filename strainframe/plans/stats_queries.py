@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percent_text
-from ..operators import lineage, lineage_index, reshape, stats
-from .bindings import CALLS, EAV_TEXT, EDGES, PLACED, SAMPLES, calls, eav_text, edges, placed, query, samples, table
+from ..functions.scalars import percent_text, week_start
+from ..operators import bitmap_cube, lineage, lineage_index, reshape, stats
+from .bindings import CALLS, EAV_TEXT, EDGES, ORACLE_SQL, PLACED, SAMPLES, calls, eav_text, edges, placed, query, samples, table
 
 MONDAY = "date_trunc('week', day)::DATE"
 WEEKS = f"(SELECT {MONDAY} AS monday, count(DISTINCT sample) AS samples FROM {SAMPLES} WHERE day IS NOT NULL GROUP BY 1)"
@@ -281,3 +281,53 @@ def reference_tree(spark, sf):
     tree = reshape.reference_tree(r.select(F.col("r_name").alias("gene")), cds.join(segments.select("cds").distinct(), "cds", "left_semi"), segments)
     shown = F.transform("cds", lambda c: F.concat(c["cds"], F.lit("["), F.array_join(F.transform(c["segments"], lambda x: x["order"].cast("string")), ","), F.lit("]")))
     return tree.where("cds IS NOT NULL").select("gene", F.array_join(shown, " ").alias("cds"))
+
+
+def _cube_facts(samples_, placed_, eav_):
+    """What a cube counts: samples where they belong, and the kind of their events."""
+    where = samples_.join(placed_, "sample", "left").withColumn("monday", week_start("day"))
+    return [(where, [(), ("monday",), ("priority",), ("status",), ("status", "priority"), ("reference", "replicon")]), (eav_.where("name = 'kind'"), [("name", "value")])]
+
+
+def _cube(spark, sf):
+    s = samples(spark, sf)
+    return bitmap_cube.build(s, _cube_facts(s, placed(spark, sf), eav_text(spark, sf)))
+
+
+@query(f"""SELECT 'total' AS statistic, NULL AS x, NULL AS y, count(DISTINCT sample) AS samples FROM {SAMPLES}
+    UNION ALL SELECT 'week', {LABEL}, NULL, samples FROM {WEEKS}
+    UNION ALL SELECT 'month', strftime({MONDAY}, '%Y-%m') AS x, NULL, count(DISTINCT sample) FROM {SAMPLES} WHERE day IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'priority', priority, NULL, count(DISTINCT sample) FROM {SAMPLES} GROUP BY 2
+    UNION ALL SELECT 'status and priority', status, priority, count(DISTINCT sample) FROM {SAMPLES} GROUP BY 2, 3
+    UNION ALL SELECT 'region', reference, NULL, count(DISTINCT sample) FROM {PLACED} GROUP BY 2
+    UNION ALL SELECT 'kind', value, NULL, count(DISTINCT sample) FROM {EAV_TEXT} WHERE name = 'kind' AND sample IN (SELECT sample FROM {SAMPLES}) GROUP BY 2
+    UNION ALL SELECT 'coverage', 'status', NULL, count(*) FROM {SAMPLES} WHERE trim(status) <> ''
+    UNION ALL SELECT 'values', 'status', NULL, count(DISTINCT status) FROM {SAMPLES}""")
+def statistics_by_cube(spark, sf):
+    """Statistics of several kinds from the cells of one cube; months and regions are rolled up."""
+    c = _cube(spark, sf)
+    row = lambda name, df, x, y=None: df.select(F.lit(name).alias("statistic"), x.alias("x"), (F.lit(None).cast("string") if y is None else y).alias("y"), F.col(df.columns[-1]).alias("samples"))
+    months = bitmap_cube.counts(c, "monday", labels={"monday": lambda m: F.substring(m, 1, 7)}).where("monday IS NOT NULL").select("monday", "samples")
+    crossed = bitmap_cube.cross_table(c, "status", "priority")
+    parts = [row("week", bitmap_cube.per_week(c), F.col("week")), row("month", months, F.col("monday")), row("priority", bitmap_cube.distribution(c, "priority"), F.col("value")), row("status and priority", crossed, F.col("x"), F.col("y")),
+             row("region", bitmap_cube.distribution(c, "reference"), F.col("value")), row("kind", bitmap_cube.distribution(c, "value"), F.col("value")), row("coverage", bitmap_cube.coverage(c, ["status"]), F.col("property")), row("values", bitmap_cube.catalogue(c, ["status"]), F.col("property"))]
+    out = row("total", bitmap_cube.totals(c).select("samples"), F.lit(None).cast("string"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+@query(ORACLE_SQL["database_report"])
+def database_report_by_cube(spark, sf):
+    return bitmap_cube.report(_cube(spark, sf)).withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+@query(f"SELECT reference, status, count(DISTINCT sample) AS samples, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day FROM {SAMPLES} LEFT JOIN {PLACED} USING (sample) GROUP BY 1, 2")
+def cube_in_batches(spark, sf):
+    """A cube to which a third of the samples is added at a time, with a part of those that it has."""
+    s, p, cube = samples(spark, sf), placed(spark, sf), None
+    for part in range(3):
+        own = s.where((F.col("sample") % 3 == part) | ((F.col("sample") % 3 < part) & (F.col("sample") % 7 == 0)))
+        facts = [(own.join(p, "sample", "left"), [("reference", "status"), ("priority",)])]
+        cube = bitmap_cube.build(own, facts) if cube is None else bitmap_cube.added(cube, own, facts)
+    return bitmap_cube.counts(cube, "reference", "status").select("reference", "status", "samples", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
