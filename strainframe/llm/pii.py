@@ -45,20 +45,49 @@ VOTES = ("pattern", "gazetteer", "context", "format", "neighbours")
 SHAPES = 4
 
 
+#: Matches that are put together at a time: an array grows by copying, so a longer one would cost the square of its length.
+BLOCK = 256
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans(text: Column, pattern: str, kind: int, strict: bool) -> Column:
-    """Matches of a pattern, leftmost and not overlapping: array of (s, k, e, t, strict, before, after)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    steps = F.zip_with(F.split(text, pattern, -1), matches, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m"), m.alias("t")))
+    """Matches of a pattern, leftmost and not overlapping: array of (s, k, e, t, strict, before, after).
+
+    Places are sums of the lengths of what lies between matches, and contexts come from there as well, so no match walks the text to
+    its place. Sums are by block, then within each, so that the work grows with the text and not with the square of its matches.
+    """
     empty = F.from_json(F.lit("[]"), "array<struct<s:int,k:int,e:int,t:string,strict:boolean,before:string,after:string>>")
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda p, t: F.struct(p.alias("p"), t.alias("t"), (F.char_length(p) + F.coalesce(F.char_length(t), F.lit(0))).alias("n")))
+
+    def followed(own: Column) -> Column:
+        """The pieces, each with the character behind its match."""
+        first = lambda y: F.coalesce(F.nullif(F.left(y["p"], F.lit(1)), F.lit("")), F.left(y["t"], F.lit(1)), F.lit(""))
+        return F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda x, y: F.struct(x["p"].alias("p"), x["t"].alias("t"), x["n"].alias("n"), first(y).alias("after")))
 
     def step(acc: Column, x: Column) -> Column:
-        s, e = acc["at"] + x["p"], acc["at"] + x["p"] + x["m"]
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), s - CONTEXT + 1), F.least(F.lit(CONTEXT), s)))
-        found = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["t"].alias("t"), F.lit(strict).alias("strict"), before.alias("before"), F.substring(text, e + 1, F.lit(1)).alias("after"))
-        return F.struct((acc["at"] + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
+        s = acc["at"] + F.char_length(x["p"])
+        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(CONTEXT))
+        found = F.struct(s.alias("s"), F.lit(kind).alias("k"), (acc["at"] + x["n"]).alias("e"), x["t"].alias("t"), F.lit(strict).alias("strict"), F.lower(before).alias("before"), x["after"].alias("after"))
+        return F.struct((acc["at"] + x["n"]).alias("at"), F.right(F.concat(before, F.coalesce(x["t"], F.lit(""))), F.lit(CONTEXT)).alias("tail"), F.when(x["t"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
+
+    def blocks(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(own), F.lit(BLOCK)), lambda i: F.slice(own, i, F.lit(BLOCK)))
+        return _bound(cut, lambda every: F.flatten(F.zip_with(every, starts(every), lambda b, at: F.when(b.isNotNull(), inside(b, at)).otherwise(empty))))
+
+    def starts(every: Column) -> Column:
+        """Where each block begins, and behind them the text's end."""
+        sizes = F.transform(every, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["n"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def inside(block: Column, at: Column) -> Column:
+        tail = F.substring(text, F.greatest(F.lit(1), at - CONTEXT + 1), F.least(F.lit(CONTEXT), at))
+        return F.aggregate(block, F.struct(at.alias("at"), tail.alias("tail"), empty.alias("out")), step)["out"]
 
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), _bound(pieces, lambda own: _bound(followed(own), blocks))).otherwise(empty)
 
 
 def _digits(t: Column) -> Column:

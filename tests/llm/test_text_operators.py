@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -230,6 +231,25 @@ def test_pii_base_spans(spark, docs, texts, empty):
     assert pii.pii(empty).count() == 0
 
 
+def test_pii_places_and_contexts_of_many_matches(spark):
+    """Matches over several blocks, some that touch, behind characters of several bytes: as a plain loop finds them."""
+    rng, pattern = random.Random(8), r"[0-9]+[a-c]"
+    made = ["".join(rng.choice(["12a", "7b", "é🙂", " Mail ", "x" * rng.randint(0, 60), "9"]) for _ in range(n)) for n in (0, 1, 5, 300, 2_500)] + ["1a" * (pii.BLOCK + k) for k in (-1, 0, 1)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = by_id(df.select("doc_id", pii.spans(F.col("text"), pattern, 2, True).alias("x")))
+    for i, text in enumerate(made):
+        want = [(m.start(), 2, m.end(), m.group(), True, text[max(0, m.start() - pii.CONTEXT) : m.start()].lower(), text[m.end() : m.end() + 1]) for m in re.finditer(pattern, text)]
+        assert [tuple(x) for x in got[i]["x"]] == want
+
+
+def test_pii_work_grows_with_the_text(spark):
+    """100,000 addresses in one text: each of them walked the text to its place before, and this took minutes."""
+    one = spark.createDataFrame([(1, " ".join(f"user{i}@host{i % 7}.com" for i in range(100_000)))], "doc_id long, text string")
+    begin = time.time()
+    assert pii.pii(one).select("n_email").first()[0] == 100_000
+    assert time.time() - begin < 60
+
+
 def test_pii_adds_what_the_base_misses(spark):
     rows = [(i, f"please call ({300 + i}) 555-01{i:02d} now, mail a{i}@example.com") for i in range(60)] + [(100, "mail joe (at) example (dot) com"), (101, "a clean text with 12 words and no data")]
     got = by_id(pii.pii(spark.createDataFrame(rows, "doc_id long, text string")))
