@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scale import BROADCAST_ROWS, cut, dimension, dropped
+from .scale import BROADCAST_ROWS, cut, dimension, dropped, side
 
 KEY = ["reference", "lineage"]
 #: Siblings that one window orders, numbers of a block that one row expands to, rows of a file of samples.
@@ -32,7 +32,7 @@ def _jumped(state: DataFrame, column: str, rows: int, upwards: bool) -> DataFram
             break
         up = state.select("reference", F.col("lineage").alias("ptr"), F.col("ptr").alias("_next"), F.col(column).alias("_above"))
         # Lineages that are done have no key and take no part, so nulls are no hot key; nor is a root of many children: it is one row of `up`.
-        moved = going.join(F.broadcast(up) if rows <= BROADCAST_ROWS else up, ["reference", "ptr"])
+        moved = going.join(side(up, rows <= BROADCAST_ROWS), ["reference", "ptr"])
         moved = moved.unionByName(state.where("ptr IS NULL").withColumns({"_next": F.lit(None).cast("string"), "_above": F.lit(0).cast("long")}))
         others = [F.col(c) for c in state.columns if c not in ("ptr", column)]
         if upwards:
@@ -68,7 +68,7 @@ def labelled(edges: DataFrame) -> DataFrame:
         dropped(one)
         raise ValueError(f"{several} lineages have several parents")
     known = one.select("reference", F.col("lineage").alias("parent"), F.lit(True).alias("_known"))
-    state = cut(one.join(F.broadcast(known) if rows <= BROADCAST_ROWS else known, ["reference", "parent"], "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).select(*KEY, "parent", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
+    state = cut(one.join(side(known, rows <= BROADCAST_ROWS), ["reference", "parent"], "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).select(*KEY, "parent", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")))
     dropped(one)
     sized = _jumped(state, "size", rows, upwards=False)
     offset = cut(_offsets(sized.where("ptr IS NULL"), rows).withColumn("ptr", F.col("parent")))
