@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import typed
 from .reshape import split_columns, to_long
+from .scale import existing, tasks
 
 
 def to_process(incoming: DataFrame, stored: DataFrame, key: str = "name", hash_column: str = "seqhash", force: bool = False) -> DataFrame:
@@ -58,9 +59,11 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def delete_samples(gone: DataFrame, samples: DataFrame, links: DataFrame, eav: DataFrame, sequences: DataFrame, alignments: DataFrame) -> dict[str, DataFrame]:
     """Snapshots after samples (sample) are deleted: their links and properties, and sequences that no sample holds any more, with alignments."""
-    left = without(links, gone, ["sample"])
-    kept = sequences.join(left.select("sequence"), "sequence", "left_semi").unionByName(sequences.join(links.select("sequence"), "sequence", "left_anti"))
-    return {"samples": without(samples, gone, ["sample"]), "links": left, "eav": without(eav, gone, ["sample"]), "sequences": kept, "alignments": alignments.join(kept.select("sequence"), "sequence", "left_semi")}
+    n = tasks(links, sequences, alignments)
+    left = existing(links, gone, ["sample"], "left_anti")
+    kept = existing(sequences, left, ["sequence"], "left_semi", n).unionByName(existing(sequences, links, ["sequence"], "left_anti", n))
+    rest = {name: existing(df, gone, ["sample"], "left_anti") for name, df in (("samples", samples), ("eav", eav))}
+    return {"samples": rest["samples"], "links": left, "eav": rest["eav"], "sequences": kept, "alignments": existing(alignments, kept, ["sequence"], "left_semi", n)}
 
 
 def delete_sequences(gone: DataFrame, sequences: DataFrame, links: DataFrame, alignments: DataFrame) -> dict[str, DataFrame]:
