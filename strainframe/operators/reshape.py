@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_value
+from .scale import TASK_ROWS, tasks
 
 VALUE_COLUMNS = ("value_integer", "value_float", "value_text", "value_varchar", "value_date", "value_zip")
 
@@ -53,8 +54,11 @@ def property_list(samples: DataFrame, fields: list[str], eav: DataFrame | None =
     if eav is not None:
         rows = rows.unionByName(eav.select(entity, "name", F.col("value").cast("string").alias("value")).where("value IS NOT NULL"))
     if lengths is not None:
-        rows = rows.unionByName(lengths.groupBy(F.col(entity).cast(kinds[entity]).alias(entity)).agg(F.array_join(F.transform(F.array_sort(F.collect_set("length")), lambda x: x.cast("string")), ",").alias("value")).select(entity, F.lit("lengths").alias("name"), "value"))
-    return rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("properties"))
+        lengths = lengths.withColumn(entity, F.col(entity).cast(kinds[entity]))
+        rows = rows.unionByName(lengths.repartition(tasks(lengths), entity).groupBy(entity).agg(F.array_join(F.transform(F.array_sort(F.collect_set("length")), lambda x: x.cast("string")), ",").alias("value")).select(entity, F.lit("lengths").alias("name"), "value"))
+    # A sample has few rows, and lists are no smaller than these: dealt by rows, a task's memory does not grow with the table.
+    n = len(fields) * samples.count() // TASK_ROWS + (0 if eav is None else tasks(eav)) + 1
+    return rows.repartition(n, entity).groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("properties"))
 
 
 def wide_profiles(calls: DataFrame, names: list[str], entity: str = "sample", name: str = "replicon") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.scalars import aa_label, annotation_text, nt_label, rendered_pr
 from ..operators import bitmap_index, lineage_index, match, paging, reshape, stats
 from ..operators import filters as f
 from ..operators.filters import Tables
-from ..operators.scale import shared_dir
+from ..operators.scale import existing, shared_dir
 from .bindings import CALLS, EAV, EAV_TEXT, EDGES, ORACLE_SQL, PLACED, SAMPLES, calls, eav, eav_text, edges, nt, query, samples, table, tables
 
 HAS = f"s.sample IN (SELECT sample FROM {CALLS} WHERE {{}})"
@@ -341,7 +341,7 @@ def aa_labels(spark, sf):
 def property_list(spark, sf):
     s = samples(spark, sf)
     lengths = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("length"))
-    own = reshape.property_list(s, ["status", "priority"], eav_text(spark, sf).join(s, "sample", "left_semi"), lengths.join(s, "sample", "left_semi"))
+    own = reshape.property_list(s, ["status", "priority"], existing(eav_text(spark, sf), s, ["sample"], "left_semi"), existing(lengths, s, ["sample"], "left_semi"))
     return own.select("sample", F.array_join(F.transform("properties", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ", ").alias("properties"))
 
 
