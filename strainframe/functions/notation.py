@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.scale import cut, dimension
 from .scalars import AA_CODES, NT_CODES, lookup
 
+#: Notations that a task parses.
+PARSED_ROWS = 20_000
+
 NAMES = r"^(\^*)(?:([A-Za-z0-9_.-]+):)?(?:([A-Za-z0-9_.-]+):)?"
 CHANGE = NAMES + r"([A-Z*]+)([0-9]+)(=?[A-Zxn*]+)$"
 DELETION = NAMES + r"del:(=?[0-9]+)(?:-(=?[0-9]+))?$"
@@ -34,6 +37,8 @@ def resolved(notations: DataFrame, genes: DataFrame, replicons: DataFrame, colum
     A notation without a replicon takes the only one there is; where there are several it is an error to leave it out of an nt notation.
     Both tables are small dimensions.
     """
+    # A file of a million notations is one task, and parsing is the work here.
+    notations = notations.repartition(notations.count() // PARSED_ROWS + 1)
     p = notations.withColumn("_p", parsed(F.col(column))).select("*", "_p.*").drop("_p")
     gene_names = genes.select(F.col("gene").alias("_gene")).distinct()
     names = replicons.select(F.col("replicon").alias("_replicon")).distinct()
@@ -58,8 +63,8 @@ PLACE = ["kind", "replicon", "gene", "start", "end", "ref", "k_alt"]
 
 
 def _wanted(profiles: DataFrame) -> DataFrame:
-    """The notations without errors, each with member: a hash of what it says."""
-    return profiles.where(F.col("error").isNull()).withColumn("member", F.xxhash64("kind", "replicon", "gene", "ref", "first", "last", F.array_join("alts", ",")))
+    """The notations without errors, each with member: a hash of what it says. A table, as several passes read it and each would parse again."""
+    return cut(profiles.where(F.col("error").isNull()).withColumn("member", F.xxhash64("kind", "replicon", "gene", "ref", "first", "last", F.array_join("alts", ","))))
 
 
 def _keys(wanted: DataFrame) -> DataFrame:
