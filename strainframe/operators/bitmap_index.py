@@ -1,9 +1,9 @@
 """Filter trees by a bitmap index: a tree is AND, OR and NOT of bitmaps, whatever the number of its leaves.
 
-Samples have dense ordinals. The index has, for each mutation and bucket of 32,768 ordinals, a bitmap of the samples that carry it: a mutation of
-all samples is one row a bucket. A leaf on mutations is the OR of the rows that it selects, a leaf on anything else a bitmap made from the
-samples that meet it; the tree is worked out bucket by bucket. What is new goes in by OR. A sample that changes gets a new ordinal, and its old
-one is nobody's, so its old bits count for nothing.
+Samples have dense ordinals. The index has, for each mutation and bucket of 32,768 ordinals, a bitmap of the samples that carry it, as those of its
+512 words of 64 bits that are not 0: a mutation of all samples is one row of 512 words a bucket, one of a single sample a row of one word. A leaf on
+mutations is the OR of the rows that it selects, a leaf on anything else a bitmap made from the samples that meet it; the tree is worked out
+bucket by bucket. What is new goes in by OR. A sample that changes gets a new ordinal, and its old one is nobody's, so its old bits count for nothing.
 
 Results are those of filters.matching. Samples without a key are in no index and no result; repeated facts count once; rows of
 one key are one sample, which has a property where any of them has it.
@@ -22,16 +22,18 @@ from pyspark.sql.window import Window
 
 from . import filters
 from .filters import Tables
-from .scale import cut
+from .scale import cut, dimension, tasks
 
 #: What tells mutations apart, of those columns that a fact has; ordinals of a bucket. The latter is Spark's.
 KEYS = {"nt": ("replicon", "start", "end", "ref", "alt"), "aa": ("replicon", "gene", "start", "end", "ref", "alt")}
 BUCKET = 32_768
+#: Bits of a word of a bitmap.
+WORD = 64
 
 
 @dataclass
 class BitmapIndex:
-    """ordinals: entity, ordinal. facts: by name the rows of mutation, bucket and bits."""
+    """ordinals: entity, ordinal. facts: by name the rows of mutation, bucket and words (word, bits), those of the bitmap that are not 0."""
 
     ordinals: DataFrame
     facts: dict[str, DataFrame]
@@ -52,9 +54,18 @@ def _bits(position: Column) -> Column:
     return F.bitmap_construct_agg(F.bitmap_bit_position(position))
 
 
+def _gathered(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """keys, bucket and words from rows of keys, bucket, word and bits, by OR, in n tasks. A group has the rows of one mutation and bucket at most."""
+    words = rows.repartition(n, *keys, "bucket").groupBy(*keys, "bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy(*keys, "bucket").agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+
+
 def constructed(fact: DataFrame, ordinals: DataFrame, keys: list[str], entity: str) -> DataFrame:
-    """The keys, bucket and bits of a fact's rows; rows of entities without an ordinal are left out."""
-    return fact.join(ordinals, entity).groupBy(*keys, F.bitmap_bucket_number("ordinal").alias("bucket")).agg(_bits(F.col("ordinal")).alias("bits"))
+    """The keys, bucket and words of a fact's rows; rows of entities without an ordinal are left out."""
+    at = F.bitmap_bit_position("ordinal")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % WORD).cast("int"))
+    rows = fact.select(entity, *keys).join(dimension(ordinals), entity)
+    return _gathered(rows.select(*keys, F.bitmap_bucket_number("ordinal").alias("bucket"), F.floor(at / WORD).cast("short").alias("word"), bit.alias("bits")), keys, tasks(fact))
 
 
 def _keys(fact: DataFrame, name: str) -> list[str]:
@@ -77,8 +88,11 @@ def updated(index: BitmapIndex, t: Tables) -> BitmapIndex:
     for n in KEYS:
         if (fact := getattr(t, n)) is not None:
             keys = _keys(fact, n)
-            more = constructed(fact, new, keys, index.entity)
-            facts[n] = cut(facts[n].unionByName(more).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits")) if n in facts else more)
+            more = cut(constructed(fact, new, keys, index.entity))
+            if n in facts:
+                rows = facts[n].unionByName(more).select(*keys, "bucket", F.inline("words"))
+                more = cut(_gathered(rows, keys, tasks(rows)))
+            facts[n] = more
     return BitmapIndex(ordinals, facts, index.entity)
 
 
@@ -109,6 +123,16 @@ def _evaluated(tree: dict, leaves: list[dict], excluded: list[bool]) -> Callable
     return run
 
 
+def _bytes(bits: bytes | list[dict] | None) -> np.ndarray:
+    """A bitmap's bytes, from these or from its words that are not 0."""
+    if isinstance(bits, bytes):
+        return np.frombuffer(bits, np.uint8)
+    out = np.zeros(BUCKET // WORD, "<i8")
+    for w in bits or []:
+        out[w["word"]] = w["bits"]
+    return out.view(np.uint8)
+
+
 def matching(t: Tables, index: BitmapIndex, tree: dict, reference: str | None = None) -> DataFrame:
     """The samples that a tree keeps, as filters.matching. Facts that the index has are not read."""
     samples = t.samples
@@ -126,19 +150,20 @@ def matching(t: Tables, index: BitmapIndex, tree: dict, reference: str | None =
         some = F.lit(False)
         for h in hits.values():
             some = some | h
-        out = out.join(index.facts[name].where(some).groupBy("bucket").agg(*(F.bitmap_or_agg(F.when(h, F.col("bits"))).alias(f"_leaf{i}") for i, h in hits.items())), "bucket", "left")
+        rows = index.facts[name].where(some).select("bucket", *(h.alias(f"_leaf{i}") for i, h in hits.items()), F.inline("words"))
+        words = rows.groupBy("bucket", "word").agg(*(F.coalesce(F.bit_or(F.when(F.col(f"_leaf{i}"), F.col("bits"))), F.lit(0)).alias(f"_leaf{i}") for i in hits))
+        out = out.join(words.groupBy("bucket").agg(*(F.collect_list(F.struct("word", F.col(f"_leaf{i}").alias("bits"))).alias(f"_leaf{i}") for i in hits)), "bucket", "left")
     for i, x in enumerate(made):
         if x.column is None and x.fact not in index.facts:
             met = x.members if x.fact is None else getattr(t, x.fact).where(x.rows)
             out = out.join(met.select(t.entity).distinct().join(index.ordinals, t.entity).groupBy(bucket).agg(_bits(F.col("ordinal")).alias(f"_leaf{i}")), "bucket", "left")
     run, names = _evaluated(tree, leaves, [x.exclude for x in made]), [f"_leaf{i}" for i in range(len(made))]
-    blank = bytes(BUCKET // 8)
 
     def found(batches):
         for batch in batches:
             for number, every, *leaf_bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 every = np.frombuffer(every, np.uint8)
-                kept = run([np.frombuffer(b or blank, np.uint8) for b in leaf_bits])
+                kept = run([_bytes(b) for b in leaf_bits])
                 kept = every if kept is None else kept & every
                 ordinals = np.flatnonzero(np.unpackbits(kept, bitorder="little")) + (number - 1) * BUCKET + 1
                 yield pa.RecordBatch.from_arrays([pa.array(ordinals, pa.int64())], names=["ordinal"])

@@ -84,6 +84,20 @@ def test_ordinals_over_buckets(spark):
     assert out.count() == 66_667 and out.where("sample % 3 = 1").count() == 0
 
 
+def test_rare_mutations_take_no_whole_bitmap(spark):
+    many = spark.range(40_000).select(F.col("id").alias("sample"))
+    call = lambda at: many.select("sample", F.lit("r").alias("replicon"), at.cast("int").alias("start"), (at + 1).cast("int").alias("end"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    t = Tables(samples=many, nt=call(F.col("sample") + 1).unionByName(call(F.lit(0))))
+    index = b.build(t)
+    for _ in range(2):
+        sizes = index.facts["nt"].groupBy(F.col("start") == 0).agg(F.count("*"), F.max(F.size("words")), F.sum(F.size("words"))).collect()
+        # One word for a mutation of one sample, 512 and the rest of them for one of all.
+        assert {tuple(r) for r in sizes} == {(False, 40_000, 1, 40_000), (True, 2, 512, 40_000 // 64)}
+        # No sample is new: what is merged is the same.
+        index = b.updated(index, Tables(samples=many.limit(0), nt=t.nt))
+    assert [r.sample for r in b.matching(t, index, {"andFilter": [snp(1, "C"), snp(35_001, "C")]}).collect()] == [34_999]
+
+
 def test_updates(spark, star, index):
     rng = random.Random(8)
     names = [f"s{i}" for i in range(0, 40)] + [f"new{i}" for i in range(30)]
