@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,12 @@ def chunks(tokens: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.sort(np.concatenate((first, ends - OVERLAP + 1))), stops, h[stops] == 0
 
 
+def distinct_words(tokens: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct tokens, and the number of each token among them."""
+    found = tokens.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+
+
 PARSED = pa.schema([("lang", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary()), ("n", pa.int64())])
 
 
@@ -110,8 +117,11 @@ def _parsed(batches):
         for lang, texts in by_lang.items():
             for i in range(0, len(texts), 1000):
                 tokens = tokens_of(texts[i : i + 1000])
-                words[lang].update(tokens)
-                first, stop, last = chunks(tokens, hashes.of(tokens))
+                own, ids = distinct_words(pa.array(tokens, pa.binary()))
+                counts = words[lang]
+                for word, n in zip(own, np.bincount(ids).tolist(), strict=True):
+                    counts[word] += n
+                first, stop, last = chunks(tokens, hashes.of(own)[ids])
                 # A chunk of one word has no phrase.
                 several = stop - first > 1
                 found = [b" ".join(tokens[a:b]) for a, b in zip(first[several].tolist(), stop[several].tolist(), strict=True)]
@@ -153,18 +163,20 @@ def seeds(langs: list[str]) -> np.ndarray:
 
 
 class Phrases:
-    """Chunks as tokens, with the hash of lang and word, and which phrases begin at each."""
+    """Chunks as numbers of words, with the hash of lang and word, and which phrases begin at each."""
 
     def __init__(self, rows: pa.Table, hashes: Hashes) -> None:
         names = rows.column(0).combine_chunks().dictionary_encode()
         self.names, self.lang = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int64)
-        lasts, texts, ns = rows.column(1).to_numpy(), rows.column(2).to_pylist(), rows.column(3).to_numpy()
-        self.tokens = END.join(texts).split(b" ") + [b"."]
-        words = list(dict.fromkeys(self.tokens))
-        self.ids = np.fromiter(map(dict(zip(words, range(len(words)), strict=True)).__getitem__, self.tokens), dtype=np.int64, count=len(self.tokens))
-        self.n_words, h = len(words), hashes.of(words)[self.ids]
-        stop = np.flatnonzero(h == 0)
-        size = np.diff(stop, prepend=-1)
+        lasts, ns = rows.column(1).to_numpy(), rows.column(3).to_numpy()
+        split = pc.split_pattern(rows.column(2).combine_chunks(), b" ")
+        words, ids = distinct_words(split.flatten())
+        # A separator of number and hash 0 follows each chunk.
+        many = pc.list_value_length(split).to_numpy()
+        size, stop = many + 1, np.cumsum(many + 1) - 1
+        self.words, self.ids = pa.array([b".", *words], pa.binary()), np.zeros(len(ids) + len(many), dtype=np.int64)
+        self.ids[np.arange(len(ids)) + np.repeat(np.arange(len(many)), many)] = ids + 1
+        self.n_words, h = len(self.words), np.concatenate((np.zeros(1, dtype=np.uint64), hashes.of(words)))[self.ids]
         self.row = np.repeat(np.arange(len(stop)), size)
         self.left = stop[self.row] - np.arange(len(h))  # tokens from here to the end of the chunk
         self.n = ns[self.row]
@@ -241,7 +253,7 @@ def counted_phrases(chunk_rows: DataFrame, words, pairs) -> DataFrame:
             phrases = Phrases(rows, hashes)
             at = phrases.pairs(often)
             at = at[together_often[phrases.two[at]]]
-            is_pair = np.zeros(len(phrases.tokens) + 1, dtype=bool)
+            is_pair = np.zeros(len(phrases.ids) + 1, dtype=bool)
             # The second pair of a triple may begin in the overlap.
             whole = np.flatnonzero(phrases.left >= 3)
             is_pair[at] = True
@@ -249,9 +261,9 @@ def counted_phrases(chunk_rows: DataFrame, words, pairs) -> DataFrame:
             second = second[often[phrases.one[second + 1]] & together_often[phrases.two[second]]]
             for size, places in ((2, at), (3, second - 1)):
                 first, n = phrases.distinct(places, size)
-                found = [b" ".join(phrases.tokens[i : i + size]) for i in first.tolist()]
+                found = pc.binary_join_element_wise(*(phrases.words.take(pa.array(phrases.ids[first + j])) for j in range(size)), b" ")
                 langs = pa.array(phrases.names, pa.string()).take(pa.array(phrases.lang[phrases.row[first]]))
-                yield pa.RecordBatch.from_arrays([langs, pa.repeat(pa.scalar(size, pa.int32()), len(found)), pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([langs, pa.repeat(pa.scalar(size, pa.int32()), len(found)), found, pa.array(n, pa.int64())], names=["lang", "words", "phrase", "f"])
 
     rows = chunk_rows.mapInArrow(named, "lang string, words int, phrase binary, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return rows.where(F.col("f") >= LEAST).withColumn("phrase", F.col("phrase").cast("string"))
@@ -281,8 +293,10 @@ def collocations(docs: DataFrame) -> DataFrame:
     part = lambda a, n: F.concat_ws(" ", F.slice("w", a, n))
     cuts = left.withColumn("w", w).select("lang", "phrase", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: F.struct(k.alias("k"), part(F.lit(1), k).alias("head"), part(k + 1, F.col("words") - k).alias("rest")))).alias("cut")).select("lang", "phrase", "a", "cut.*")
     side = lambda name, c: f.select("lang", F.col("phrase").alias(name), F.col("f").alias(c))
-    # A word may be a part of very many candidates.
-    cuts = met(met(cuts, side("head", "l"), ["lang", "head"], "inner", F.col("phrase")), side("rest", "r"), ["lang", "rest"], "inner", F.col("phrase"))
+    # A word may be a part of very many candidates, a pair of no more than there are words.
+    one = lambda c: ~F.contains(c, F.lit(" "))
+    cuts = met(cuts, side("head", "l"), ["lang", "head"], "inner", F.col("phrase"), one("head"))
+    cuts = met(cuts, side("rest", "r"), ["lang", "rest"], "inner", F.col("phrase"), one("rest"))
     best = cuts.withColumn("score", _score(F.col("l"), F.col("r"))).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = best.withColumn("slot", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(*order))).where(F.col("rank") <= TOP)

@@ -59,13 +59,21 @@ def cleared(spark: SparkSession):
         _written.reset(token)
 
 
-def met(rows: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column) -> DataFrame:
+def dealt(rows: DataFrame, few: DataFrame, spread: Column, hot: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows with a _salt by the hash of spread, and few once for each of SALTS; where hot, a condition on the key, is not met: with one salt, and once."""
+    every, own = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    if hot is not None:
+        every, own = F.when(hot, every).otherwise(F.array(F.lit(0))), F.when(hot, own).otherwise(0)
+    return rows.withColumn("_salt", own), few.withColumn("_salt", F.explode(every))
+
+
+def met(rows: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column, hot: Column | None = None) -> DataFrame:
     """rows joined with few, which has one row a key: by broadcast up to BROADCAST_ROWS; beyond that a key's rows are
-    dealt to SALTS tasks by the hash of spread, so that no task meets all rows of a hot key."""
+    dealt to SALTS tasks by the hash of spread, so that no task meets all rows of a hot key. hot: which keys may be that, all if not given."""
     if small_enough(few, BROADCAST_ROWS):
         return rows.join(F.broadcast(few), on, how)
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    rows, few = dealt(rows, few, spread, hot)
+    return rows.join(few, [*on, "_salt"], how).drop("_salt")
 
 
 def text_of(df: DataFrame, *more: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from strainframe.llm import collocations, filter_audit, language_id
+from strainframe.llm import collocations, common, filter_audit, language_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, n string, part string, chunk string, rank long"
 SYLLABLES = {"en": "th ing er on the and of tion".split(), "de": "sch ein ung der ä ö keit und".split(), "fr": "é eau les ç que ment la è".split()}
@@ -191,6 +191,22 @@ def test_collocations_against_plain_counts(spark, docs, rows, monkeypatch, bits)
     assert len(got) > 50 and got == plain_collocations(rows)
 
 
+def test_collocations_repeat_words_alone_for_their_joins(spark, docs, rows, monkeypatch):
+    made, dealt = [], common.dealt
+
+    def seen(left, few, spread, hot=None):
+        out = dealt(left, few, spread, hot)
+        key = "head" if "head" in few.columns else "rest"
+        words = few.where(~F.contains(key, F.lit(" "))).count()
+        made.append((out[1].count(), common.SALTS * words + few.count() - words))
+        return out
+
+    monkeypatch.setattr(common, "dealt", seen)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = sorted(tuple(r) for r in collocations.collocations(docs).collect())
+    assert got == plain_collocations(rows) and len(made) == 2 and all(a == b for a, b in made)
+
+
 def test_collocations_of_no_rows(spark, empty):
     assert collocations.collocations(empty).count() == 0
 
