@@ -99,3 +99,25 @@ def test_a_call_is_two_rows_at_most(spark):
     spans = spark.createDataFrame([(s, s + n) for s in (0, 63, 64, 12_345_678) for n in (0, 1, 62, 63, 64, 255, 256, 10**6)], "start long, end long")
     level = v._level(F.col("end") - F.col("start") + 1)
     assert spans.where(v._bin(F.col("end"), level) - v._bin(F.col("start"), level) > 1).count() == 0
+
+
+def test_codons_of_segments_in_one_pass(spark):
+    segments = spark.createDataFrame([("r", "f", "g", 1, 0, 2, 1), ("r", "f", "g", 2, 3, 8, 1), ("r", "b", "g", 1, 4, 8, -1)], "replicon string, cds string, gene string, order int, start int, end int, strand int")
+    df = v.codon_table(segments, spark.createDataFrame([("r", "ATCGATTG")], "replicon string, sequence string"))
+    rows = [tuple(r) for r in df.select("cds", "aa_pos", "slot", "pos", "base", "aa").orderBy("cds", "aa_pos", "slot").collect()]
+    # ATG ATT G forwards, CAA T backwards; the last codons lack bases.
+    assert rows == [("b", 0, 0, 7, "C", "Q"), ("b", 0, 1, 6, "A", "Q"), ("b", 0, 2, 5, "A", "Q"), ("b", 1, 0, 4, "T", None)] + [
+        ("f", i // 3, i % 3, p, b, "MI"[i // 3] if i < 6 else None) for i, (p, b) in enumerate(zip((0, 1, 3, 4, 5, 6, 7), "ATGATTG", strict=True))
+    ]
+    # The sequences are joined with; the bases of a codon are not grouped and joined with their rows again.
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_many_codons_are_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(v, "few", lambda df: False)
+    calls = spark.createDataFrame([("s", "r", 1, 2, "T", "G", 1)], "id string, replicon string, start int, end int, ref string, alt string, number int")
+    segments = spark.createDataFrame([("r", "f", "g", 1, 0, 6, 1)], "replicon string, cds string, gene string, order int, start int, end int, strand int")
+    found = v.aa_from_nt(calls, v.codon_table(segments, spark.createDataFrame([("r", "ATGATT")], "replicon string, sequence string")))
+    assert [(r.start, r.ref, r.alt) for r in found.collect()] == [(0, "M", "R")]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
