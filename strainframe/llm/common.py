@@ -69,11 +69,12 @@ def dealt(rows: DataFrame, few: DataFrame, spread: Column, hot: Column | None =
 
 def met(rows: DataFrame, few: DataFrame, on: list[str], how: str, spread: Column, hot: Column | None = None) -> DataFrame:
     """rows joined with few, which has one row a key: by broadcast up to BROADCAST_ROWS; beyond that a key's rows are
-    dealt to SALTS tasks by the hash of spread, so that no task meets all rows of a hot key. hot: which keys may be that, all if not given."""
+    dealt to SALTS tasks by the hash of spread, so that no task meets all rows of a hot key. hot: which keys may be that, all if not given.
+    Such a join is sorted and merged: left to itself Spark broadcasts what takes under 10 MB on disk, whatever its rows, and here SALTS times."""
     if small_enough(few, BROADCAST_ROWS):
         return rows.join(F.broadcast(few), on, how)
     rows, few = dealt(rows, few, spread, hot)
-    return rows.join(few, [*on, "_salt"], how).drop("_salt")
+    return rows.join(few.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def text_of(df: DataFrame, *more: str) -> DataFrame:
